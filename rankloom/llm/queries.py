@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.chat import format_turns, read_turns
 from rankloom.llm.common import LOWER, UPPER
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
+from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.sharding import interleave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(docs_of(spark, sf_dir), n_shards=16)
+
+
+@register("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(docs_of(spark, sf_dir), k=5, percent=85)

@@ -12,8 +12,8 @@ BUCKET_ROWS = 50_000
 
 
 def _buckets(n: int) -> int:
-    """A power of two from 16 to 65,536."""
-    return min(65_536, max(16, 1 << (max(1, n // BUCKET_ROWS) - 1).bit_length()))
+    """A power of two from 256 to 65,536."""
+    return min(65_536, max(256, 1 << (max(1, n // BUCKET_ROWS) - 1).bit_length()))
 
 
 def interleave(
