@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.chat import format_turns, read_turns
 from rankloom.llm.common import LOWER, UPPER
+from rankloom.llm.decontam import find_contamination
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.sharding import interleave
@@ -132,3 +133,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs_of(spark, sf_dir), k=5, percent=85)
+
+
+def item_digest(items: str) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ","), 256)
+
+
+@register(
+    "op8_decontamination",
+    f"""
+    WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+         items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+         windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS win
+                     FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) WHERE len(w) > 0),
+         lengths AS (SELECT DISTINCT n FROM windows),
+         spots AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS win FROM words, lengths, unnest(range(1, len(w) - n + 2)) t(i) WHERE len(w) >= n),
+         found AS (SELECT doc_id, item_id, i, s.n FROM spots s JOIN windows USING (win)),
+         hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+         listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"), window=13, percent=5)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", item_digest("items").alias("items_sha256"), "contaminated")
