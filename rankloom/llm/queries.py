@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.chat import format_turns, read_turns
 from rankloom.llm.common import LOWER, UPPER
 from rankloom.llm.decontam import find_contamination
+from rankloom.llm.langid import identify, learn
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.sharding import interleave
@@ -158,3 +159,16 @@ def item_digest(items: str) -> Column:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"), window=13, percent=5)
     return found.select("doc_id", "n_words", "n_hit", "n_items", item_digest("items").alias("items_sha256"), "contaminated")
+
+
+def fold(modulus: int) -> Column:
+    """crc32 of the document id as text, modulo ``modulus``; a null id is the text ``null``."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(modulus))
+
+
+@register("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    samples = learn(docs.where(fold(4) != 2))
+    rows = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
+    return identify(rows, samples)
