@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.bpe import encode
 from rankloom.llm.chat import format_turns, read_turns
 from rankloom.llm.common import LOWER, UPPER
 from rankloom.llm.decontam import find_contamination
@@ -172,3 +173,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = learn(docs.where(fold(4) != 2))
     rows = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
     return identify(rows, samples)
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op4_bpe_chunk_reuse")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(docs_of(spark, sf_dir).select("doc_id", "text"), word_tokenizer(), digests=True)
