@@ -15,6 +15,7 @@ from rankloom.llm.langid import identify, learn
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.sharding import interleave
+from rankloom.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -184,3 +185,17 @@ def word_tokenizer() -> str:
 @register("op4_bpe_chunk_reuse")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs_of(spark, sf_dir).select("doc_id", "text"), word_tokenizer(), digests=True)
+
+
+@register(
+    "op3_arc_to_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+         r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM r""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(docs_of(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
