@@ -15,6 +15,7 @@ from rankloom.llm.langid import identify, learn
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.sharding import interleave
+from rankloom.llm.topk import top_k
 from rankloom.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +200,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(docs_of(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register(
+    "op1_maxscore_topk",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+               FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = docs_of(spark, sf_dir, "embeddings").where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    items = vectors.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("vector"))
+    return top_k(items.where("id % 100 = 0"), items, k=10)
