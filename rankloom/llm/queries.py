@@ -13,6 +13,7 @@ from rankloom.llm.common import LOWER, UPPER
 from rankloom.llm.decontam import find_contamination
 from rankloom.llm.langid import identify, learn
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
+from rankloom.llm.lm import score_texts
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.sharding import interleave
 from rankloom.llm.topk import top_k
@@ -216,3 +217,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = docs_of(spark, sf_dir, "embeddings").where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     items = vectors.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("vector"))
     return top_k(items.where("id % 100 = 0"), items, k=10)
+
+
+@register("op6_deleted_interpolation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, model = score_texts(docs_of(spark, sf_dir), fold(7) != 2)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
