@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of test items that one automaton holds. A longer test set is cut into several automata, over
-#: which a text is scanned in turn, so that no task ever holds more than one of them.
+#: which a batch of texts is scanned in turn, so that no task ever holds more than one of them.
 ITEM_BYTES = 16 << 20
 
 OUT = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
@@ -95,8 +95,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple
     return blocks
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per document the columns ``keep`` (the id) and n_words, n_hit, n_items, items, spans, contaminated.
 
     Texts are lower-cased in A-Z; words are runs of ASCII letters, digits and all non-ASCII. A window is
     ``window`` words of an item in a row, or a whole shorter item. A document word inside any occurrence of a
@@ -110,43 +110,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     repeated ids too.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind = dict(docs.dtypes)["doc_id"]
-    parts = item_blocks(benchmark, item_col, item_text_col)
-    if len(parts) == 1:
-        out = docs.mapInArrow(scanner(spark.sparkContext.broadcast({"items": parts[0]}), window, 1), f"doc_id {kind}, {OUT}")
-    else:
-        out = _merged(docs, parts, window, kind)
+    keep = [id_col] if keep is None else keep
+    docs = docs.select(*keep, F.col(text_col).cast("binary").alias("__scanned"))
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.drop("__scanned").dtypes) + OUT
+    parts = [spark.sparkContext.broadcast({"items": p}) for p in item_blocks(benchmark, item_col, item_text_col)]
+    out = docs.mapInArrow(scanner(parts[0], window, len(keep)) if len(parts) == 1 else merger(parts, window, len(keep)), schema)
     over = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", over)
 
 
-def _merged(docs: DataFrame, parts: list, window: int, kind: str) -> DataFrame:
-    """Scans by one block after another, in one pass over the rows; each adds to what the blocks before found."""
-    held = [docs.sparkSession.sparkContext.broadcast({"items": p}) for p in parts]
+def merger(held: list, window: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As ``scanner``, for items in several blocks: rows are scanned with one block's automaton after another's."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = normal_table()
         for batch in batches:
             each = []
             for h in held:
-                each.append(next(scanner(h, window, 1)(iter([batch]))))
+                each.append(next(scanner(h, window, at)(iter([batch]))))
                 h.value.pop("built", None)
-            table = normal_table()
-            rows = [x.select(["n_words", "items", "spans"]).to_pylist() for x in each]
+            found_by_row = zip(*(x.select(["items", "spans"]).to_pylist() for x in each), strict=True)
             n_hit, items, spans = [], [], []
-            for value, *found in zip(batch.column(1), *rows, strict=True):
+            for value, found in zip(batch.column(at), found_by_row, strict=True):
                 flat = (value.as_py() or b"").translate(table)
                 mark = np.zeros(len(flat) + 1, np.int64)
                 for s in (s for f in found for s in f["spans"]):
                     mark[s["start"]] += 1
                     mark[s["end"]] -= 1
                 b = np.frombuffer(flat, np.uint8) != 32
-                heads = np.flatnonzero(b & ~np.concatenate([[False], b[:-1]])[: len(b)])
+                heads = np.flatnonzero(b & ~np.concatenate([[False], b])[: len(b)])
                 n_hit.append(int((np.cumsum(mark)[heads] > 0).sum()))
                 items.append(sorted({i for f in found for i in f["items"]}))
                 spans.append(sorted((s for f in found for s in f["spans"]), key=lambda s: (s["start"], s["end"])))
+            new = {"n_hit": n_hit, "items": items, "spans": spans}
             kinds = each[0].schema
-            cols = [batch.column(0), each[0].column("n_words"), pa.array(n_hit, pa.int64()), pa.array(items, kinds.field("items").type), pa.array(spans, kinds.field("spans").type)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            cols = [pa.array(new[f.name], f.type) if f.name in new else each[0].column(f.name) for f in kinds]
+            yield pa.RecordBatch.from_arrays(cols, names=kinds.names)
 
-    return docs.mapInArrow(scan, f"doc_id {kind}, {OUT}")
+    return scan
