@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,29 +13,34 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import stored
 from rankloom.llm.textvec import U64, blocks, mix, powers, shingle_hashes, shingle_sets, text_bytes, word_hashes
 
-#: Bands and MinHash rows in each: a pair of similarity 0.85 shares no band with a chance of 4e-7.
-BANDS, ROWS = 20, 4
-#: MinHash samples of a sketch, one of each part of the hash range, and the sketch's parity bits.
-SAMPLES, BITS = 512, 2048
-#: Standard deviations of the sample that an estimate may lie below the threshold and still be confirmed.
+#: MinHash rows of a band, and the chance that a pair of just the least similarity shares no band.
+ROWS, MISS = 4, 4e-7
+#: A sketch folds the least hashes of a set (all of them up to SAMPLES, about that many of a larger set) into BITS parity bits.
+SAMPLES, BITS = 8192, 2048
+#: Standard deviations that the estimated difference of two sketches may be too large by and still be confirmed.
 DEVIATIONS = 6.0
 #: Members of a bucket compared in one task at once.
 BLOCK = 2048
 #: Bits of the filter that spares texts of uninvolved documents a shuffle; its table has FILTER / 64 rows at most.
 FILTER = 1 << 22
 
-SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, n_samples int, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, rate int, n_samples int, sketch array<long>"
 
 
-def signer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text) -> SIGNATURE."""
+def n_bands(percent: int) -> int:
+    """Bands that keep the chance of a miss at MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+def signer(k: int, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, text) -> SIGNATURE with ``count`` bands."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
-        + [("bands", pa.list_(pa.int64())), ("n_samples", pa.int32()), ("sketch", pa.list_(pa.int64()))]
+        + [("bands", pa.list_(pa.int64())), ("rate", pa.int32()), ("n_samples", pa.int32()), ("sketch", pa.list_(pa.int64()))]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
+        factors = mix(np.arange(1, count * ROWS + 1, dtype=U64)) | U64(1)
         weights = powers(ROWS + 1)[1:]
         for batch in batches:
             ids = batch.column(0)
@@ -44,30 +50,28 @@ def signer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 sets = [np.unique(sh[s:e]) for s, e in zip(soff[:-1], soff[1:], strict=True)]
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
-                bands = np.zeros((j - i, BANDS), U64)
+                bands = np.zeros((j - i, count), U64)
                 sketch = np.zeros((j - i, BITS), np.uint8)
-                samples = np.zeros(j - i, np.int32)
+                rate, samples = np.zeros(j - i, np.int32), np.zeros(j - i, np.int32)
                 s1, s2 = np.zeros(j - i, U64), np.zeros(j - i, U64)
                 if len(full):
                     u = np.concatenate([sets[d] for d in full])
                     first = np.cumsum(size[full]) - size[full]
-                    least = np.stack([np.minimum.reduceat(u * f, first) for f in factors], 1).reshape(len(full), BANDS, ROWS)
-                    bands[full] = mix((mix(least) * weights).sum(2, dtype=U64) + np.arange(BANDS, dtype=U64))
+                    least = np.stack([np.minimum.reduceat(u * f, first) for f in factors], 1).reshape(len(full), count, ROWS)
+                    bands[full] = mix((mix(least) * weights).sum(2, dtype=U64) + np.arange(count, dtype=U64))
                     s1[full] = np.add.reduceat(mix(u ^ U64(0xA5A5A5A5)), first)
                     s2[full] = np.add.reduceat(mix(u + U64(0x5851F42D4C957F2D)), first)
-                    # Sets are sorted, so the first hash of each part of the hash range is that part's least.
-                    part = u >> U64(64 - SAMPLES.bit_length() + 1)
-                    fresh = np.ones(len(u), bool)
-                    fresh[1:] = part[1:] != part[:-1]
-                    fresh[first] = True
-                    owner = np.repeat(np.arange(len(full)), size[full])[fresh]
-                    bit = (mix(u[fresh] ^ U64(0x2545F4914F6CDD1D)) & U64(BITS - 1)).astype(np.int64)
+                    # Sets are sorted; of one of more than SAMPLES only hashes below 2^(64 - rate) count.
+                    rate[full] = np.maximum(0, np.ceil(np.log2(size[full] / SAMPLES))).astype(np.int32)
+                    few = u >> (U64(63) - np.repeat(rate[full], size[full]).astype(U64)) <= U64(1)
+                    owner = np.repeat(np.arange(len(full)), size[full])[few]
+                    bit = (mix(u[few] ^ U64(0x2545F4914F6CDD1D)) & U64(BITS - 1)).astype(np.int64)
                     sketch[full] = (np.bincount(owner * BITS + bit, minlength=len(full) * BITS) & 1).reshape(len(full), BITS)
                     samples[full] = np.bincount(owner, minlength=len(full))
                 packed = np.packbits(sketch, axis=1).view(np.int64)
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands.view(np.int64)), pa.array(samples), lists(packed)],
+                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands.view(np.int64)), pa.array(rate), pa.array(samples), lists(packed)],
                     schema=schema,
                 )
 
@@ -89,30 +93,34 @@ def confirmer(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return confirm
 
 
-def margin(most: np.ndarray, percent: int) -> np.ndarray:
-    """The least estimate, for sketches of up to ``most`` samples, of pairs that are confirmed."""
-    s = percent / 100
-    return s - DEVIATIONS * np.sqrt(s * (1 - s) / np.maximum(most, 1))
+def allowed(percent: int) -> float:
+    """The most that two sets of the least similarity differ by, for each element of both."""
+    return (100 - percent) / (100 + percent)
 
 
 def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, node, component, n_shingles, n_samples, sketch), sorted by key -> pairs (a, b) of a key.
+    """Rows (key, node, component, n_shingles, rate, n_samples, sketch), sorted by key -> pairs (a, b) of a key.
 
     Pairs of different components whose sketches allow the similarity; with ``best`` only each node's best.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, samples: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, rate: np.ndarray, samples: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lo in range(0, len(node), BLOCK // 4):
             rows = slice(lo, lo + BLOCK // 4)
             odd = np.zeros((len(node[rows]), len(node)), np.int64)
             for w in range(sketch.shape[1]):
                 odd += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None])
-            apart = -BITS / 2 * np.log1p(-2 * np.minimum(odd, BITS // 2 - 1) / BITS)
-            most = np.maximum(samples[rows][:, None], samples[None])
-            score = (samples[rows][:, None] + samples[None] - apart) / 2 / most
+            both = samples[rows][:, None] + samples[None]
+            most = allowed(percent) * both
+            same = rate[rows][:, None] == rate[None]
+            left = np.maximum(1 - 2 * odd / BITS, 1 / BITS)
+            apart = -BITS / 2 * np.log(left)
+            error = DEVIATIONS * np.sqrt(np.maximum(BITS / 4 * (1 - left**2) - apart * left**2, 0)) / left
+            error += np.where(rate[rows][:, None] > 0, DEVIATIONS * np.sqrt(2 * most), 0)
             small, large = np.minimum(n[rows][:, None], n[None]), np.maximum(n[rows][:, None], n[None])
-            ok = (score >= margin(most, percent)) & (comp[rows][:, None] != comp[None]) & (100 * small >= percent * large)
+            ok = (~same | (apart - error <= most)) & (comp[rows][:, None] != comp[None]) & (100 * small >= percent * large)
+            score = np.where(same, 1 - apart / both, 1.0)
             if best:
                 i = np.flatnonzero(ok.any(1))
                 j = np.where(ok, score, -9)[i].argmax(1)
@@ -131,8 +139,8 @@ def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             key = table.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
             last = len(cuts) - 1 if final else len(cuts) - 2
-            cols = [table.column(c).to_numpy() for c in (1, 2, 3, 4)]
-            flat = table.column(5).combine_chunks().flatten().to_numpy().reshape(len(key), BITS // 64).view(U64)
+            cols = [table.column(c).to_numpy() for c in (1, 2, 3, 4, 5)]
+            flat = table.column(6).combine_chunks().flatten().to_numpy().reshape(len(key), BITS // 64).view(U64)
             found = [p for s, e in zip(cuts[:last], cuts[1 : last + 1], strict=True) for p in pairs(*(c[s:e] for c in cols), flat[s:e])]
             held[:] = [] if final else table.slice(cuts[last]).to_batches()
             if found:
@@ -194,12 +202,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     then all that remain. Every link is confirmed on full sets. No bucket's pairs are all emitted, none is cut.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(docs.mapInArrow(signer(k), SIGNATURE), "signatures")
+    signed = stored(docs.mapInArrow(signer(k, n_bands(percent)), SIGNATURE), "signatures")
     usable = signed.where("doc_id is not null and n_shingles > 0")
     copies = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     copies = stored(copies, "copies")
     first = usable.dropDuplicates(["doc_id", "s1", "s2"]).join(copies, ["s1", "s2"]).where("doc_id = node")
-    nodes = stored(first.select("node", "copies", "n_shingles", "n_samples", "bands", "sketch"), "nodes")
+    nodes = stored(first.select("node", "copies", "n_shingles", "rate", "n_samples", "bands", "sketch"), "nodes")
 
     members = nodes.select("node", "copies", "n_shingles", F.explode("bands").alias("key"))
     leader = F.struct("node", "n_shingles")
@@ -210,9 +218,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     met = members.join(buckets, "key").select("node", "n_shingles", F.explode(F.array("l1", "l2")).alias("l"))
     alike = F.least("n_shingles", "l.n_shingles") * 100 >= F.greatest("n_shingles", "l.n_shingles") * percent
     led = met.where((F.col("node") != F.col("l.node")) & alike).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-    sides = nodes.select("node", "n_samples", "sketch")
-    led = led.join(sides.toDF("a", "na", "sa"), "a").join(sides.toDF("b", "nb", "sb"), "b")
-    tried = stored(led.where(estimate("na", "sa", "nb", "sb", percent)).select("a", "b"), "tried")
+    sides = nodes.select("node", "rate", "n_samples", "sketch")
+    led = led.join(sides.toDF("a", "ra", "na", "sa"), "a").join(sides.toDF("b", "rb", "nb", "sb"), "b")
+    tried = stored(led.where(alike_sketches(percent)).select("a", "b"), "tried")
     same_id = copies.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
     links = stored(confirmed(docs, tried, k, percent).unionByName(same_id), "confirmed")
 
@@ -226,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         others = others.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
         task = F.when(F.col("n_blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
         rows = others.select(task.alias("key"), "node", "component", "n_shingles").join(sides, "node")
-        rows = rows.select("key", "node", "component", "n_shingles", "n_samples", "sketch").repartition("key").sortWithinPartitions("key")
+        rows = rows.select("key", "node", "component", "n_shingles", "rate", "n_samples", "sketch").repartition("key").sortWithinPartitions("key")
         found = rows.mapInArrow(crosser(percent, best), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         found = stored(found, "found")
         if found.isEmpty():
@@ -242,11 +250,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def estimate(na: str, sa: str, nb: str, sb: str, percent: int) -> Column:
-    """Whether two sketches allow the similarity; as in ``crosser``."""
-    s = percent / 100
-    odd = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    apart = -BITS / 2 * F.log1p(-2 * F.least(odd, F.lit(BITS // 2 - 1)) / BITS)
-    most = F.greatest(F.col(na), F.col(nb))
-    score = (F.col(na) + F.col(nb) - apart) / 2 / most
-    return score >= s - DEVIATIONS * F.sqrt(s * (1 - s) / F.greatest(most, F.lit(1)))
+def alike_sketches(percent: int) -> Column:
+    """Whether the sketches (ra, na, sa) and (rb, nb, sb) allow the similarity; as in ``crosser``."""
+    odd = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = allowed(percent) * (F.col("na") + F.col("nb"))
+    left = F.greatest(1 - 2 * odd / BITS, F.lit(1 / BITS))
+    apart = -BITS / 2 * F.log(left)
+    error = DEVIATIONS * F.sqrt(F.greatest(BITS / 4 * (1 - left * left) - apart * left * left, F.lit(0.0))) / left
+    error = error + F.when(F.col("ra") > 0, DEVIATIONS * F.sqrt(2 * most)).otherwise(0.0)
+    return (F.col("ra") != F.col("rb")) | (apart - error <= most)
