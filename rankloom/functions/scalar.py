@@ -16,8 +16,8 @@ FUSION_CONFIDENCE = {"high": 3.0, "medium": 2.0, "low": 1.0}
 
 
 def rounded(c: Column, digits: int = 4) -> Column:
-    """Half-up on the binary value; the same on every engine, unlike the engines' own round()."""
-    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+    """Half-up on the binary value; the same on every engine, unlike the engines' own round(). Values that have no such digits stay."""
+    return F.when(F.abs(c) >= 1e15 / 10.0**digits, c).otherwise(F.floor(c * 10.0**digits + 0.5) / 10.0**digits)
 
 
 def clip01(c: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.contexts import MAX_TOP_N
 from rankloom.functions.scalar import clip01, rounded
 
 # Datasets and units of a trace, cards a type and the claims they make.
@@ -103,6 +104,14 @@ def fingerprint(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def frozen(ranked: DataFrame) -> DataFrame:
+    """The rows of a request's short list, ranked once; a longer list is refused."""
+    rows = ranked.orderBy("rank").limit(MAX_TOP_N + 1).collect()
+    if len(rows) > MAX_TOP_N:
+        raise ValueError(f"a short list of {MAX_TOP_N} rows at most is expected")
+    return ranked.sparkSession.createDataFrame(rows, ranked.schema)
+
+
 def four(c: str) -> Column:
     return F.format_string("%.4f", F.col(c))
 
@@ -112,7 +121,12 @@ def evidence_id(kind: str, *parts: Column) -> Column:
 
 
 def cards(ranked: DataFrame, mode: str, gene: str | None, protein: str | None) -> DataFrame:
-    """Cards of a short ranked list: position, evidence_id, card_type, text, source, DepMap_ID, cellLine, target, values."""
+    """Cards of a short ranked list: position, evidence_id, card_type, text, source, DepMap_ID, cellLine, target, values.
+
+    The list is what a request returns, MAX_TOP_N rows at most, and is brought to the driver once, so that the
+    cards' plan doesn't rank again for every kind of card.
+    """
+    ranked = frozen(ranked)
     target = f"gene {gene} and protein {protein}" if gene and protein else f"gene {gene}" if gene else f"protein {protein}"
     top = ranked.where("rank = 1")
 
