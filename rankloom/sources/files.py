@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 from rankloom.functions.headers import find_column
 from rankloom.functions.scalar import finite
 
+#: Bytes of a table that the driver may decode.
+SMALL_FILE = 16 << 20
+
 
 @dataclass(frozen=True)
 class SourceFile:
@@ -41,15 +46,24 @@ def read_table(spark: SparkSession, path: str, columns: dict[str, Sequence[str]]
     return raw.select(*((text(F.col(f"`{old}`")) if old else F.lit(None).cast("string")).alias(new) for new, old in found.items()))
 
 
-def read_table_any_encoding(spark: SparkSession, path: str, columns: dict[str, Sequence[str]], encodings: Sequence[str] = ("UTF-8", "windows-1250", "windows-1252")) -> DataFrame:
-    """As ``read_table``, with the first encoding that decodes every value; a byte order mark is no part of a name."""
+def read_table_any_encoding(spark: SparkSession, path: str, columns: dict[str, Sequence[str]], encodings: Sequence[str] = ("utf-8-sig", "cp1250", "cp1252")) -> DataFrame:
+    """A small hand-edited table, as ``read_table`` gives it, in the first encoding that decodes the whole file.
+
+    Spark reads few encodings, and a reviewed sheet is small: its size is checked, and the driver decodes it.
+    """
+    found = spark.read.format("binaryFile").load(path).where(F.col("length") <= SMALL_FILE).select("content").head(2)
+    if len(found) != 1:
+        raise ValueError(f"{path}: one file of {SMALL_FILE} bytes at most is expected")
     for encoding in encodings:
-        df = read_table(spark, path, columns, encoding=encoding)
-        bad = F.lit(False)
-        for c in df.columns:
-            bad = bad | F.coalesce(F.contains(F.col(c), F.lit("�")), F.lit(False))
-        if df.where(bad).limit(1).isEmpty():
-            return df
+        try:
+            text = bytes(found[0]["content"]).decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        head, *rows = csv.reader(io.StringIO(text))
+        at = {new: head.index(find_column(head, words)) for new, words in columns.items()}
+        cell = lambda r, i: None if i >= len(r) or r[i].strip() in ("", "NA", "NaN", "nan") else r[i]
+        schema = ", ".join(f"`{c}` string" for c in at)
+        return spark.createDataFrame([tuple(cell(r, i) for i in at.values()) for r in rows], schema)
     raise ValueError(f"{path}: none of {list(encodings)}")
 
 
