@@ -62,7 +62,8 @@ def maxscore(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.n
         guess = np.unique(np.concatenate([heavy[t][int(q[i, t] > 0)] for t in order[i, -2:]])) if items.shape[1] else np.arange(0)
         guess = guess[ids[guess] != qids[i]]
         scores = np.sort(d[guess] @ q[i]) if len(guess) else []
-        floors.append(scores[-k] if len(scores) >= k else None)
+        # Beyond a long all scores are equal, so the threshold goes no higher.
+        floors.append(min(scores[-k], 2**63 - 1) if len(scores) >= k else None)
     bound = np.take_along_axis(top, order, 1).cumsum(1) if items.shape[1] else top
     spared = [int((bound[i] < f).sum()) if f is not None else 0 for i, f in enumerate(floors)]
     essential = q.copy()
@@ -82,6 +83,8 @@ def maxscore(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.n
                 score = score + d[live][:, terms] @ q[i, terms]
                 ok = score + (bound[i, left - 1] if left else 0) >= floors[i]
                 live, score = live[ok], score[ok]
+            if kind is object:
+                score = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in score], np.int64)
             chosen = best(ids[live], score, k) if n else np.arange(0)
             out.append((ids[live][chosen], score[chosen]))
     return out
@@ -95,9 +98,8 @@ def searcher(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         width = max(int(pa.compute.max(pa.compute.list_value_length(t.column("vector"))).as_py()) for t in (queries, items))
         qids = queries.column("id").to_numpy()
         found = maxscore(qids, matrix(queries, width), items.column("id").to_numpy(), matrix(items, width), k)
-        fit = lambda s: [max(-(2**63), min(2**63 - 1, int(x))) for x in s]
         return pa.table(
-            [pa.array(np.repeat(qids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array([x for _, s in found for x in fit(s)], pa.int64())],
+            [pa.array(np.repeat(qids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]).astype(np.int64))],
             schema=schema,
         )
 
