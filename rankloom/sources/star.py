@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import fusion_confidence, log2_plus_one
-from rankloom.operators.evidence import long_table, packed, standardise
+from rankloom.operators.evidence import SOURCES, UNIFIED, long_table, standardise
 from rankloom.session import table
 
 VERSION = "star-1"
@@ -38,39 +38,59 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(bridge, line.l_orderkey == bridge.o_orderkey).join(features, line.l_partkey == features.p_partkey)
 
 
-def rna_source(rows: DataFrame, flag: str, source: str) -> DataFrame:
-    mine = rows.where((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == flag))
-    return packed(mine, source, "DepMap_ID", F.col("p_brand"), log2_plus_one(F.col("l_extendedprice")), "log2(x+1)", VERSION, F.col("p_type"))
+def unified(rows: DataFrame, source: Column, value: Column, unit: Column, alt: Column | None = None) -> DataFrame:
+    """Rows in the unified schema, the source told by a column, so that several sources are read in one pass."""
+    layer = F.create_map(*(F.lit(x) for pair in SOURCES.items() for x in pair))
+    out = rows.select(
+        "DepMap_ID",
+        F.upper(F.trim("p_brand")).alias("gene_symbol"),
+        (F.lit(None) if alt is None else alt).cast("string").alias("ensembl_id"),
+        value.cast("double").alias("value_raw"),
+        unit.alias("value_unit"),
+        source.alias("source"),
+        F.lit(VERSION).alias("source_version"),
+    )
+    return out.withColumn("omics_layer", layer[F.col("source")]).dropna(subset=["DepMap_ID", "gene_symbol"]).select(*UNIFIED)
 
 
-def protein_source(rows: DataFrame) -> DataFrame:
-    mine = rows.where("l_linestatus = 'F' and l_returnflag = 'N'")
-    return packed(mine, "ccle_gygi_protein", "DepMap_ID", F.col("p_brand"), F.col("l_quantity"), "quantity", VERSION, F.col("p_type"))
+def value_sources(rows: DataFrame) -> DataFrame:
+    """The three RNA sources and the protein source."""
+    flag = F.col("l_returnflag")
+    rna = F.when(flag == "N", "depmap_rna").when(flag == "A", "hpa_rna").when(flag == "R", "geo_rna")
+    source = F.when(F.col("l_linestatus") == "O", rna).when((F.col("l_linestatus") == "F") & (flag == "N"), "ccle_gygi_protein")
+    mine = rows.withColumn("source", source).where("source is not null")
+    protein = F.col("source") == "ccle_gygi_protein"
+    value = F.when(protein, F.col("l_quantity").cast("double")).otherwise(log2_plus_one(F.col("l_extendedprice")))
+    return unified(mine, F.col("source"), value, F.when(protein, "quantity").otherwise("log2(x+1)"), F.col("p_type"))
 
 
-def mutation_sources(rows: DataFrame) -> list[DataFrame]:
+def event_sources(events: DataFrame, values: dict[str, str]) -> DataFrame:
+    """A source for each of the columns (source -> column) of counted events."""
+    pairs = F.array(*(F.struct(F.lit(s).alias("source"), F.col(c).cast("double").alias("value")) for s, c in values.items()))
+    return unified(events.withColumn("e", F.explode(pairs)), F.col("e.source"), F.col("e.value"), F.lit("events"))
+
+
+def mutation_events(rows: DataFrame) -> DataFrame:
     """Events counted by entity and feature, and whether one of them is of high impact."""
     mine = rows.where("l_linestatus = 'F' and l_returnflag = 'A'")
-    events = mine.groupBy("DepMap_ID", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("l_discount") > 0.05).cast("int")).alias("high"))
-    pack = lambda source, value: packed(events, source, "DepMap_ID", F.col("p_brand"), F.col(value), "events", VERSION)
-    return [pack("depmap_mutation", "n"), pack("depmap_mutation_highimpact", "high")]
+    return mine.groupBy("DepMap_ID", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("l_discount") > 0.05).cast("int")).alias("high"))
 
 
-def fusion_sources(rows: DataFrame, part: DataFrame, n_parts: int) -> list[DataFrame]:
+def fusion_events(rows: DataFrame, part: DataFrame, n_parts: int) -> DataFrame:
     """Each event counts for both partners; the best confidence of an entity and feature stays."""
     mine = rows.where("l_linestatus = 'F' and l_returnflag = 'R'").withColumn("other", (F.col("l_partkey") * 7 + 1) % n_parts)
     other = part.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("other_brand"))
     tax = F.when(F.col("l_tax") >= 0.06, "high").when(F.col("l_tax") >= 0.03, "medium").otherwise("low")
     partners = mine.join(other, "other").select("DepMap_ID", tax.alias("confidence"), F.explode(F.array("p_brand", "other_brand")).alias("p_brand"))
-    events = partners.groupBy("DepMap_ID", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.max(fusion_confidence(F.col("confidence"))).alias("best"))
-    pack = lambda source, value: packed(events, source, "DepMap_ID", F.col("p_brand"), F.col(value), "events", VERSION)
-    return [pack("depmap_fusion", "n"), pack("depmap_fusion_confidence", "best")]
+    return partners.groupBy("DepMap_ID", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.max(fusion_confidence(F.col("confidence"))).alias("best"))
 
 
 def raw_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources, in three passes over the line items."""
     rows, part = measurements(spark, sf_dir), table(spark, sf_dir, "part")
-    rna = [rna_source(rows, flag, source) for flag, source in (("N", "depmap_rna"), ("A", "hpa_rna"), ("R", "geo_rna"))]
-    return long_table([*rna, protein_source(rows), *mutation_sources(rows), *fusion_sources(rows, part, part.count())])
+    mutated = event_sources(mutation_events(rows), {"depmap_mutation": "n", "depmap_mutation_highimpact": "high"})
+    fused = event_sources(fusion_events(rows, part, part.count()), {"depmap_fusion": "n", "depmap_fusion_confidence": "best"})
+    return long_table([value_sources(rows), mutated, fused])
 
 
 def standard_long(spark: SparkSession, sf_dir: str) -> DataFrame:
