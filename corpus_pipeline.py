@@ -14,11 +14,16 @@ from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.queries import fold, word_tokenizer
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """All columns as one, whatever their names, beside the text to be scanned."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__scanned"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; texts that are null or without a letter go."""
     samples = learn(docs.where(fold(4) != 2))
-    found = identify(docs.withColumn("__scanned", F.col("text")), samples, text_col="__scanned")
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    found = identify(whole_rows(docs), samples, text_col="__scanned")
+    return found.where(F.col("lang_pred") != "und").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words fewer than 5 % lie in passages of benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_contamination(docs, items, keep=docs.columns).where("not contaminated").select(*docs.columns)
+    found = find_contamination(whole_rows(docs), items, text_col="__scanned", keep=["__row"])
+    return found.where("not contaminated").select("__row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankloom.llm.common import bounded_batches
 from rankloom.llm.textvec import U64, blocks, mix, tables, text_bytes
 
 #: Bytes whose rolling hash decides on a cut, and the share of word starts (1 - 1 / KEEP) that are cuts.
 WINDOW, KEEP = 8, 16
 #: Chunks in each of the two generations that a Python worker remembers; a full one becomes the old one.
-MEMO = 600_000
+MEMO = 200_000
 #: Bytes before and after a join that its check is remembered by.
 BEFORE, AFTER = 3, 2
 
@@ -86,6 +87,8 @@ class Codec:
         """The ids of some texts of one buffer, by their n + 1 offsets."""
         b = data[off[0] : off[-1]]
         raw, off = b.tobytes(), off - off[0]
+        if not raw:
+            return [np.zeros(0, self.kind)] * (len(off) - 1)
         starts = self.cuts(b, off)
         ends = np.append(starts[1:], len(b))
         chunks = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -180,7 +183,7 @@ def encoder(held, at: int, digests: bool) -> Callable[[Iterator[pa.RecordBatch]]
             data, off = text_bytes(batch.column(at))
             rest = [i for i in range(batch.num_columns) if i != at]
             names = [*(batch.schema.names[i] for i in rest), "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])]
-            for i, j in blocks(off, 4 << 20):
+            for i, j in blocks(off):
                 ids = c.encode(data, off[i : j + 1])
                 if digests:
                     two = [digest(c, digits, x) for x in ids]
@@ -194,6 +197,7 @@ def encoder(held, at: int, digests: bool) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def _held(df: DataFrame, tokenizer_path: str, keep: int):
+    bounded_batches(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast({"json": f.read(), "keep": keep})
 
@@ -205,10 +209,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: i
     starts where a rolling hash of the bytes before says so, so equal passages of different documents give
     equal chunks. A worker encodes each chunk once and remembers up to MEMO of them; a task needs no other
     task, and nothing is shuffled. Joins are checked by encoding both sides together and, where that differs,
-    repaired by encoding longer and longer runs of chunks as one until both ends agree. Null texts are empty.
+    repaired by encoding longer and longer runs of chunks as one until both ends agree. Null texts are empty. Columns that are named like
+    a result are replaced.
     """
-    rest = [c for c in docs.columns if c != text_col]
-    kinds = "".join(f"`{c}` {t}, " for c, t in docs.drop(text_col).dtypes)
+    rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256")]
+    kinds = "".join(f"`{c}` {t}, " for c, t in docs.select(*rest).dtypes)
     out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     held = _held(docs, tokenizer_path, keep)
     return docs.select(*rest, text_col).mapInArrow(encoder(held, len(rest), digests), f"{kinds}n_tokens long, {out}")
@@ -216,8 +221,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: i
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
     """All columns but the ids, with the decoded text; null ids are none."""
-    rest = [c for c in encoded.columns if c != ids_col]
-    kinds = "".join(f"`{c}` {t}, " for c, t in encoded.drop(ids_col).dtypes)
+    rest = [c for c in encoded.columns if c not in (ids_col, "text")]
+    kinds = "".join(f"`{c}` {t}, " for c, t in encoded.select(*rest).dtypes)
     held = _held(encoded, tokenizer_path, KEEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import bounded_batches
+
 #: UTF-8 bytes of test items that one automaton holds. A longer test set is cut into several automata, over
 #: which a batch of texts is scanned in turn, so that no task ever holds more than one of them.
 ITEM_BYTES = 16 << 20
@@ -107,10 +109,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     one over ITEM_BYTES goes in several blocks, whose hits are merged by position; the corpus is never
     shuffled, except to merge blocks. Null texts and texts without words have no words and no hits. Items
     without words match nothing; items with a null id count as hits but aren't listed. Rows are kept apart,
-    repeated ids too.
+    repeated ids too. Kept columns that are named like a result are replaced.
     """
     spark = docs.sparkSession
-    keep = [id_col] if keep is None else keep
+    bounded_batches(spark)
+    own = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in own]
     docs = docs.select(*keep, F.col(text_col).cast("binary").alias("__scanned"))
     schema = "".join(f"`{c}` {t}, " for c, t in docs.drop("__scanned").dtypes) + OUT
     parts = [spark.sparkContext.broadcast({"items": p}) for p in item_blocks(benchmark, item_col, item_text_col)]

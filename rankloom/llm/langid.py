@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import bounded_batches
 from rankloom.llm.textvec import blocks, text_bytes
 
 #: Bound of what is learned from: documents a language, and characters a language.
@@ -72,13 +73,13 @@ def build(samples: dict[str, str]) -> dict:
         codes = classes[np.frombuffer(samples[name].encode("utf-32-le", "replace"), np.uint32)]
         codes = codes[(codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)]
         step = suffix_automaton(codes.tolist())
-        table = np.full((len(step), width), -1, np.int64)
+        table = np.full((len(step), width), -1, np.int32)
         for s, to in enumerate(step):
             for c, t in to.items():
                 table[s, c] = t
         root = np.where(table[0] < 0, 0, table[0])
         table = np.where(table < 0, root[None] * width + base + int(BREAK), table * width + base)
-        tables.append(table.astype(np.int32).reshape(-1))
+        tables.append(table.astype(np.int32, copy=False).reshape(-1))
         starts.append(base)
         logs.append(np.log2(max(2, len(codes))))
         base += table.size
@@ -118,7 +119,7 @@ def predictor(held, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             data, off = text_bytes(batch.column(at))
             langs: list[str] = []
             scores: list[float] = []
-            for i, j in blocks(off, 8 << 20):
+            for i, j in blocks(off, 2 << 20):
                 b = data[off[i] : off[j]]
                 points = np.frombuffer(b.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
                 where = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[off[i : j + 1] - off[i]]
@@ -167,10 +168,11 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", k
     phrases that a language's sample holds (a suffix automaton reads them; pieces of 1,024 characters are
     parsed in step); phrases * log2(sample length) / length estimates the cross entropy, and the language of
     the least wins, ties to the first name. score is 1 - least / second least. A null text, or one without
-    a letter, is ``und`` with score 0. Every text is parsed whole. An empty sample makes every text ``und``.
+    a letter, is ``und`` with score 0. Every text is parsed whole. An empty sample makes every text ``und``. Kept columns that are named lang_pred or score are replaced.
     """
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "lang_pred", "score")]
     rows = docs.select(*keep, text_col)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop(text_col).dtypes)
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast({"samples": samples})
     return rows.mapInArrow(predictor(held, len(keep)), f"{kinds}, lang_pred string, score double")

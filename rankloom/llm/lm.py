@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored
+from rankloom.llm.common import bounded_batches, stored
 from rankloom.llm.textvec import U64, blocks, mix, text_bytes, word_hashes
 
 #: Words with a class of their own, at most; all others share the class of rare words.
@@ -48,8 +48,9 @@ def unpack_sorted(b: bytes, kind: type) -> np.ndarray:
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of some texts with END after each text, and the number of tokens of each text."""
-    words, woff = word_hashes(data, off)
-    return np.insert(words, woff[1:], END), np.diff(woff) + 1
+    parts = [word_hashes(data, off[i : j + 1]) for i, j in blocks(off)]
+    t = np.concatenate([np.insert(words, woff[1:], END) for words, woff in parts])
+    return t, np.concatenate([np.diff(woff) + 1 for _, woff in parts])
 
 
 def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -324,6 +325,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     groups. Null texts are empty (one token, the end). Rows are kept apart, repeated ids too.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     broadcast = spark.sparkContext.broadcast
     groups = max(8, -(-docs.select(text_col).rdd.getNumPartitions() // 2))
     deleted = F.pmod(F.xxhash64(F.col(id_col), F.lit("deleted")), F.lit(DELETED)) == 0

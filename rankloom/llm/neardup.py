@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored
+from rankloom.llm.common import bounded_batches, stored
 from rankloom.llm.textvec import U64, blocks, mix, powers, shingle_hashes, shingle_sets, text_bytes, word_hashes
 
 #: MinHash rows of a band, and the chance that a pair of just the least similarity shares no band.
@@ -106,9 +106,10 @@ def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, rate: np.ndarray, samples: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo in range(0, len(node), BLOCK // 4):
-            rows = slice(lo, lo + BLOCK // 4)
-            odd = np.zeros((len(node[rows]), len(node)), np.int64)
+        step = max(1, BLOCK // 16)
+        for lo in range(0, len(node), step):
+            rows = slice(lo, lo + step)
+            odd = np.zeros((len(node[rows]), len(node)), np.int32)
             for w in range(sketch.shape[1]):
                 odd += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None])
             both = samples[rows][:, None] + samples[None]
@@ -201,6 +202,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     different components are estimated by the XOR of their odd sketches, in blocks, first each member's best,
     then all that remain. Every link is confirmed on full sets. No bucket's pairs are all emitted, none is cut.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(docs.mapInArrow(signer(k, n_bands(percent)), SIGNATURE), "signatures")
     usable = signed.where("doc_id is not null and n_shingles > 0")

@@ -23,7 +23,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
 
 
-def blocks(off: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(off: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of ``limit`` bytes at most, or of one longer text."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -97,7 +97,7 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndar
     return out, soff
 
 
-def shingle_sets(column: pa.Array, k: int, limit: int = 1 << 21) -> Iterator[tuple[int, list[np.ndarray]]]:
+def shingle_sets(column: pa.Array, k: int, limit: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The sorted distinct shingle hashes of each text, block by block: the number of the first text, and the sets."""
     data, off = text_bytes(column)
     for i, j in blocks(off, limit):

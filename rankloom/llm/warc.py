@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import remove, scratch, stored
+from rankloom.llm.common import bounded_batches, remove, scratch, stored
 
 #: Payloads of fewer bytes are never turned into revisits.
 MIN_REVISIT = 1000
@@ -69,6 +69,7 @@ def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """One gzipped ARC file for each partition of the pages, of version 1 or 2 in turn; null html is an empty payload."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string").cast("binary"))
     rows.mapInArrow(_arc_records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
