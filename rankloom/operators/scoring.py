@@ -69,16 +69,18 @@ def candidates(wide: DataFrame, annotations: DataFrame, aliases: list[str], mode
     protein-only mode a row needs protein, else RNA or protein.
     """
     main, prot = gene or protein, protein or gene
-    rows = wide.where(F.col("gene_symbol") == main).join(annotations, "DepMap_ID", "left")
-    rows = context_filter(rows, aliases)
-    side = wide.where(F.col("gene_symbol") == prot).select("DepMap_ID", F.col("ccle_gygi_protein__std").alias("protExpr"), F.col("ccle_gygi_protein__raw").alias("proteinRaw"))
-    rows = rows.join(side, "DepMap_ID", "left")
     std = [F.col(f"{s}__std") for s in RNA]
-    if exclusion:
-        out = wide.where(F.col("gene_symbol") == exclusion).select("DepMap_ID", mean_available(std).alias("exclusionExpr"))
-        rows = rows.join(out, "DepMap_ID", "left")
-    else:
-        rows = rows.withColumn("exclusionExpr", F.lit(None).cast("double"))
+    # One pass over the wide table: the rows of an entity's two or three features meet in one group.
+    own = [c for c in wide.columns if c not in ("DepMap_ID", "gene_symbol")]
+    of = lambda symbol, value: F.max(F.when(F.col("gene_symbol") == symbol, value))
+    rows = wide.groupBy("DepMap_ID").agg(
+        of(main, F.struct(*own)).alias("own"),
+        of(prot, F.col("ccle_gygi_protein__std")).alias("protExpr"),
+        of(prot, F.col("ccle_gygi_protein__raw")).alias("proteinRaw"),
+        (of(exclusion, mean_available(std)) if exclusion else F.lit(None).cast("double")).alias("exclusionExpr"),
+    )
+    rows = rows.select("DepMap_ID", "own.*", "protExpr", "proteinRaw", "exclusionExpr").join(annotations, "DepMap_ID", "left")
+    rows = context_filter(rows, aliases)
     rows = rows.withColumn("nRna", count_available(std))
     rows = rows.where(F.col("protExpr").isNotNull() if mode == "PROTEIN_ONLY" else (F.col("nRna") > 0) | F.col("protExpr").isNotNull())
     mutated, fused, high = (positive(F.col(f"{s}__raw")) for s in ("depmap_mutation", "depmap_fusion", "depmap_mutation_highimpact"))

@@ -26,7 +26,8 @@ class EvidenceStore:
     def wide(self, *symbols: str | None) -> DataFrame:
         names = list(dict.fromkeys(s.strip().upper() for s in symbols if s))
         features = self.spark.createDataFrame([(n,) for n in names], "gene_symbol string")
-        return wide_table(self.long, self.spine, features)
+        # A literal filter on the grouping key: it reaches the scans, below the statistics of standardisation.
+        return wide_table(self.long.where(F.col("gene_symbol").isin(names)), self.spine, features)
 
     def has_evidence(self, symbol: str, protein: bool = False) -> bool:
         sources = ["ccle_gygi_protein"] if protein else EVIDENCE

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import astuple, fields
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import count_available, mean_available, rounded
@@ -26,11 +27,13 @@ def rows_of(spark, sf_dir):
     w = store(spark, sf_dir).wide(*TARGETS, EXCLUDED)
     std = [F.col(f"{s}__std") for s in RNA]
     w = w.withColumns({"rnaExpr": mean_available(std), "nRna": count_available(std), "protExpr": F.col("ccle_gygi_protein__std")})
-    out = w.where(F.col("gene_symbol") == EXCLUDED).select("DepMap_ID", F.col("rnaExpr").alias("exclusionExpr"))
+    excluded = F.max(F.when(F.col("gene_symbol") == EXCLUDED, F.col("rnaExpr"))).over(Window.partitionBy("DepMap_ID"))
     known = spark.createDataFrame(list(TARGETS.items()), "gene_symbol string, correlation double")
-    rows = w.join(F.broadcast(known), "gene_symbol").join(out, "DepMap_ID", "left").where("nRna > 0 or protExpr is not null")
+    rows = w.withColumn("exclusionExpr", excluded).join(F.broadcast(known), "gene_symbol").where("nRna > 0 or protExpr is not null")
     flags = [F.col(f"{s}__std").isNotNull().alias(f) for f, s in FLAGS.items()]
-    return rows.select(F.col("gene_symbol").alias("query"), "DepMap_ID", "rnaExpr", "protExpr", "exclusionExpr", "correlation", *flags, F.col("protExpr").isNotNull().alias("hasProteomics"))
+    rows = rows.select(F.col("gene_symbol").alias("query"), "DepMap_ID", "rnaExpr", "protExpr", "exclusionExpr", "correlation", *flags, F.col("protExpr").isNotNull().alias("hasProteomics"))
+    # Scaling, sweeping and labelling all start from these rows; a lost part is computed again.
+    return rows.persist()
 
 
 def labels_of(rows):
