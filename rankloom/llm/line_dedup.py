@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import WHITE, ascii_lower
+from rankloom.llm.common import WHITE, ascii_lower, stored
 
 #: Parts that a line key is split into, so that a very common line is streamed by several tasks.
 SALTS = 64
+#: Keys of more documents than HOT are joined by salted parts. Which keys these are is told by a bit filter on
+#: hashes, whose table has FILTER / 64 rows at most.
+HOT, FILTER = 500, 1 << 22
 
 
 def line_key(line: Column) -> Column:
@@ -31,7 +34,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
     128-bit key hashes are range-partitioned with a salt from the document, so that a key with a third of all
     lines is spread over tasks, and sorted by document and position; each task streams its runs, marking the
     first line that a document adds to a run. The marks are summed by key with map-side combining. Common keys
-    are then joined back to the lines, a join whose skewed partitions Spark splits.
+    are then joined back to the lines; those of more than HOT documents are in SALTS parts, each met by the lines
+    of some documents.
 
     Rows that agree in id and text are one document. Null texts are one empty line; null ids are one id.
     """
@@ -59,7 +63,18 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
         .where(F.col("n_docs") >= min_docs)
     )
-    decided = lines.join(common, ["h1", "h2"], "left")
+    common = stored(common, "common-lines")
+    slot = F.pmod("h1", F.lit(FILTER))
+    hot = common.where(F.col("n_docs") > HOT).select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits"))
+
+    def flagged(df: DataFrame) -> DataFrame:
+        df = df.withColumn("slot", slot).join(F.broadcast(hot), F.expr("slot div 64 = w"), "left")
+        return df.withColumn("hot", F.expr("coalesce(shiftrightunsigned(bits, int(slot % 64)) & 1L, 0L) = 1L")).drop("slot", "w", "bits")
+
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    common = flagged(common).withColumn("salt", F.explode(every)).drop("hot")
+    lines = flagged(lines).withColumn("salt", F.when(F.col("hot"), F.pmod("text_hash", F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    decided = lines.join(common, ["h1", "h2", "salt"], "left")
     stays = F.col("n_docs").isNull()
     if keep_first:
         stays = stays | place.eqNullSafe(F.col("first"))

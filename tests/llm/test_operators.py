@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, decontam, langid, lm, neardup, queries, sharding, textvec, topk, warc
+from rankloom.llm import bpe, chat, decontam, langid, line_dedup, lm, neardup, queries, sharding, textvec, topk, warc
 from rankloom.llm.line_dedup import dedup_lines, keep_bitmaps
 from tests.conftest import SF, agree
 
@@ -121,6 +121,19 @@ def test_line_dedup_keeps_first(spark):
     assert dedup_lines(df).columns == df.columns and dedup_lines(df).count() == 4
 
 
+@pytest.mark.parametrize(("hot", "first"), [(3, True), (3, False), (10**9, False)])
+def test_line_dedup_of_hot_lines(spark, monkeypatch, hot, first):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rows = [(i, f"everywhere\nown {i}\nhalf {i % 2}\nthird {i // 3}\n", "", "", 0) for i in range(30)]
+    seen = Counter(x for r in rows for x in set(r[1].split("\n")) if x)
+    used, expected = set(), {}
+    for i, text, *_ in rows:
+        kept = [x for x in text.split("\n") if not x or seen[x] < 3 or (first and x not in used)]
+        used |= set(text.split("\n"))
+        expected[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(docs(spark, rows), min_docs=3, keep_first=first).collect()} == expected
+
+
 def test_line_dedup_odd_rows(spark):
     out = dedup_lines(docs(spark, ODD), min_docs=2)
     assert sorted(map(str, (r["text"] for r in out.collect()))) == sorted(map(str, (r[1] for r in ODD)))
