@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bounded_batches, stored
 from rankloom.llm.textvec import U64, blocks, mix, text_bytes, word_hashes
 
-#: Words with a class of their own, at most; all others share the class of rare words.
-VOCABULARY = 50_000
 #: One training document of DELETED is held out from the counts that mixture weights are learned with.
 DELETED = 10
 #: Context-frequency buckets (powers of two), and cells of the logarithm of a ratio: CELLS each octave over +-SPAN octaves.
 BUCKETS, CELLS, SPAN = 48, 16, 40
-#: The hash that stands for the end of a text, and the classes of rare words and of ends.
-END, RARE, STOP = U64(0x123456789ABCDEF), 0, 1
+#: The hashes that stand for the end of a text and, where a vocabulary is given, for all words outside it.
+END, RARE = U64(0x123456789ABCDEF), U64(0x0FEDCBA987654321)
 BYTES = 4 << 20
 
 
@@ -101,27 +99,37 @@ def word_counter(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return count
 
 
-def class_pairs(t: np.ndarray, n: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of tokens, and the bigram key of each: context class * 2^32 + class. A text follows an end."""
-    at = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
-    known = words[at] == t if len(words) else np.zeros(len(t), bool)
-    cls = np.where(t == END, STOP, np.where(known, at + 2, RARE)).astype(np.uint64)
-    before = np.concatenate([[STOP], cls[:-1]]).astype(np.uint64)
-    before[np.cumsum(n) - n] = STOP
-    return cls, before << U64(32) | cls
+def classes(t: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """The class of each token: the word itself, or RARE where a vocabulary (sorted hashes) is given and lacks it."""
+    if own is None:
+        return t
+    at = np.minimum(np.searchsorted(own, t), max(len(own) - 1, 0))
+    known = own[at] == t if len(own) else np.zeros(len(t), bool)
+    return np.where(known | (t == END), t, RARE)
+
+
+def contexts(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class before each token; a text follows an end."""
+    before = np.concatenate([[END], cls[:-1]])
+    before[np.cumsum(n) - n] = END
+    return before
+
+
+def pair_keys(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bigrams that end at each token."""
+    return mix(contexts(cls, n) * U64(0x9E3779B97F4A7C15) + cls)
 
 
 def pair_counter(held, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(fold, text) -> COUNTS of bigrams of classes."""
+    """(fold, text) -> COUNTS of bigrams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value["words"]
         for batch in batches:
             fold = batch.column(0).to_numpy()
             data, off = text_bytes(batch.column(1))
             for i, j in blocks(off, BYTES):
                 t, n = tokens(data, off[i : j + 1])
-                pairs = class_pairs(t, n, words)[1]
+                pairs = pair_keys(classes(t, held.value), n)
                 f = np.repeat(fold[i:j], n)
                 keys, kept, deleted = summed(pairs[f > 0], (f[f > 0] == 1).astype(np.int64), (f[f > 0] == 2).astype(np.int64))
                 yield count_rows(group_of(keys, groups), keys, kept, deleted)
@@ -129,26 +137,6 @@ def pair_counter(held, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return count
 
 
-def ratio_cells(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """COUNTS of bigrams -> (bucket, cell, n): held-out counts by the context's bucket and by the ratio of the
-    bigram's relative frequency to the class's own probability; cell -1 is the ratio 0."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in batches:
-            for _, k, a, b in zip(*batch.columns, strict=True):
-                keys, kept, deleted = unpack_sorted(k.as_py(), np.uint64), unpack(a.as_py(), np.int64), unpack(b.as_py(), np.int64)
-                at = deleted > 0
-                h, c = (keys[at] >> U64(32)).astype(np.int64), (keys[at] & U64(0xFFFFFFFF)).astype(np.int64)
-                ratio = kept[at] / np.maximum(m["kept"][h], 1) / m["single_kept"][c]
-                cell = np.where(ratio > 0, np.clip(np.floor(np.log2(np.maximum(ratio, 1e-300)) * CELLS), -SPAN * CELLS, SPAN * CELLS), -SPAN * CELLS - 1).astype(np.int64)
-                both = bucket_of(m["kept"][h]) * (1 << 16) + cell + (1 << 15)
-                both, n = summed(both, deleted[at])
-                yield pa.RecordBatch.from_arrays([pa.array(both >> 16), pa.array((both & 0xFFFF) - (1 << 15)), pa.array(n)], names=["bucket", "cell", "n"])
-
-    return cells
-
-
 def bucket_of(context_count: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(context_count + 1.0)).astype(np.int64), BUCKETS - 1)
 
@@ -164,209 +152,225 @@ def learn_weight(ratio: np.ndarray, n: np.ndarray) -> float:
     return w
 
 
-REQUESTS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64()))])
-REQUESTS_SQL = "g int, block long, keys binary, doc binary, n binary, id array<long>, held_out array<boolean>, n_tokens array<long>, base array<double>, score array<double>"
+#: Of a block: its distinct words or bigrams of one group, or (g < 0) its documents and its tokens as numbers of its distinct words.
+REQUESTS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("tokens", pa.binary()), ("id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64()))])
+REQUESTS_SQL = "g int, block long, keys binary, tokens binary, id array<long>, held_out array<boolean>, n_tokens array<long>"
+
+
+def by_group(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The groups of some keys, and where the keys of each are, in order."""
+    group = group_of(keys, groups)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(groups + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield p, order[cuts[p] : cuts[p + 1]]
 
 
 def requester(held, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(fold, held_out, id, text) -> REQUESTS of each block of texts: its rare words (even groups), its bigrams
-    (odd groups), and its documents (group -1 and below) with what the vocabulary alone tells of them."""
-
-    def entries(keys: np.ndarray, doc: np.ndarray, kind: int, block: int) -> list[dict]:
-        group = group_of(keys, groups)
-        order = np.lexsort((doc, keys, group))
-        keys, doc, group = keys[order], doc[order], group[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]) if len(keys) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(keys)))
-        keys, doc, group = keys[first], doc[first].astype(np.uint32), group[first]
-        cuts = np.searchsorted(group, np.arange(groups + 1))
-        parts = [(p, slice(cuts[p], cuts[p + 1])) for p in range(groups) if cuts[p] < cuts[p + 1]]
-        return [{"g": 2 * p + kind, "block": block, "keys": pack_sorted(keys[s]), "doc": pack(doc[s]), "n": pack(n[s])} for p, s in parts]
+    """(held_out, id, text) -> REQUESTS of each block of texts: its words (even groups), its bigrams (odd groups),
+    and its documents (group -1 and below)."""
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out_of, ids = batch.column(1), batch.column(2)
-            data, off = text_bytes(batch.column(3))
+            out_of, ids = batch.column(0), batch.column(1)
+            data, off = text_bytes(batch.column(2))
             for i, j in blocks(off, BYTES):
                 t, n = tokens(data, off[i : j + 1])
-                cls, pairs = class_pairs(t, n, m["words"])
-                doc = np.repeat(np.arange(j - i), n)
-                rare = cls == RARE
-                log = np.where(rare, 0.0, np.log10(m["count"][cls.astype(np.int64)] + 1.0))
-                base = np.bincount(doc, log, j - i) - n * m["log_total"]
-                known = np.bincount(doc, ~rare, j - i) if m["texts"] else np.bincount(doc, ~rare & (cls != STOP), j - i)
-                score = -np.bincount(doc, rare, j - i) * m["log_rare"]
-                row = {"g": -1 - block % groups, "block": block, "id": ids.slice(i, j - i).to_pylist(), "held_out": out_of.slice(i, j - i).to_pylist(), "n_tokens": n.tolist(), "base": base.tolist(), "score": score.tolist(), "n": pack(known.astype(np.int64))}
-                rows = [row, *entries(t[rare], doc[rare], 0, block), *entries(pairs, doc, 1, block)]
+                words, nth = np.unique(t, return_inverse=True)
+                rows = [{"g": -1 - block % groups, "block": block, "keys": pack_sorted(words), "tokens": pack(nth.astype(np.uint32)), "id": ids.slice(i, j - i).to_pylist(), "held_out": out_of.slice(i, j - i).to_pylist(), "n_tokens": n.tolist()}]
+                for kind, keys in enumerate((words, np.unique(pair_keys(classes(t, held.value), n)))):
+                    rows += [{"g": 2 * p + kind, "block": block, "keys": pack_sorted(keys[at])} for p, at in by_group(keys, groups)]
                 yield pa.RecordBatch.from_pylist(rows, REQUESTS)
                 block += 1
 
     return request
 
 
-ANSWERS = pa.schema([("block", pa.int64()), ("doc", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("known", pa.binary()), *[REQUESTS.field(i) for i in (5, 6, 7)]])
-ANSWERS_SQL = "block long, doc binary, base binary, score binary, known binary, id array<long>, held_out array<boolean>, n_tokens array<long>"
+#: Of a block: the counts of the words or bigrams it asked a group for, in the order asked, or its row of documents.
+ANSWERS = pa.schema([REQUESTS.field(0), REQUESTS.field(1), ("counts", pa.binary()), *[REQUESTS.field(i) for i in range(2, 7)]])
+ANSWERS_SQL = "g int, block long, counts binary, keys binary, tokens binary, id array<long>, held_out array<boolean>, n_tokens array<long>"
 
 
-def answerer(held) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """REQUESTS of a group and the counts of that group -> ANSWERS: sums by document."""
-
-    def find(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        if not len(table[0]):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return np.where(table[0][at] == keys, table[1][at], 0)
+def answerer(kept_only: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """REQUESTS of a group and the counts of that group (one row, if any) -> ANSWERS."""
 
     def answer(requests: pa.Table, counts: pa.Table) -> pa.Table:
-        m = held.value
-        rows = []
-        table = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if counts.num_rows:
-            one = merge_counts(counts.select(["g", "keys", "kept", "deleted"])).to_pylist()[0]
-            table = unpack_sorted(one["keys"], np.uint64), unpack(one["kept"], np.int64) + unpack(one["deleted"], np.int64)
+        held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for one in counts.select(["keys", "kept", "deleted"]).to_pylist():
+            held, n = unpack_sorted(one["keys"], np.uint64), unpack(one["kept"], np.int64)
+            if not kept_only:
+                n = n + unpack(one["deleted"], np.int64)
+        parts = []
         for batch in requests.to_batches(max_chunksize=16):
+            rows = []
             for r in batch.to_pylist():
                 if r["g"] < 0:
-                    size = len(r["id"])
-                    rows.append({"block": r["block"], "doc": pack(np.arange(size, dtype=np.uint32)), "base": pack(np.array(r["base"])), "score": pack(np.array(r["score"])), "known": r["n"], "id": r["id"], "held_out": r["held_out"], "n_tokens": r["n_tokens"]})
+                    rows.append(r)
                     continue
-                keys, doc, n = unpack_sorted(r["keys"], np.uint64), unpack(r["doc"], np.uint32), unpack(r["n"], np.int64)
-                c = find(keys, table)
-                if r["g"] % 2 == 0:
-                    base = score = n * np.log10(c + 1.0)
-                    known = n * (c > 0)
-                else:
-                    h, w = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-                    weight = m["weights"][bucket_of(m["count"][h])]
-                    score = n * np.log10(weight * c / np.maximum(m["count"][h], 1) + (1 - weight) * m["single"][w])
-                    base, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
-                doc, base, score, known = summed(doc, base, score, known)
-                rows.append({"block": r["block"], "doc": pack_sorted(doc), "base": pack(base), "score": pack(score), "known": pack(known)})
-        return pa.Table.from_pylist(rows, ANSWERS)
+                keys = unpack_sorted(r["keys"], np.uint64)
+                found = np.zeros(len(keys), np.int64)
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                    found = np.where(held[at] == keys, n[at], 0)
+                rows.append({"g": r["g"], "block": r["block"], "counts": pack(found)})
+            parts.append(pa.RecordBatch.from_pylist(rows, ANSWERS))
+        return pa.Table.from_batches(parts, ANSWERS)
 
     return answer
 
 
+def counted(table: pa.Table, held, groups: int, rare: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ANSWERS of a block -> its row of documents, and of each token its count, whether its class is RARE, and the
+    counts of its class, of the class before and of the bigram."""
+    rows = table.to_pylist()
+    docs = next(r for r in rows if r["id"] is not None)
+    answers = {r["g"]: r["counts"] for r in rows if r["g"] >= 0}
+
+    def counts_of(keys: np.ndarray, kind: int) -> np.ndarray:
+        out = np.zeros(len(keys), np.int64)
+        for p, at in by_group(keys, groups):
+            out[at] = unpack(answers[2 * p + kind], np.int64)
+        return out
+
+    words, nth, n = unpack_sorted(docs["keys"], np.uint64), unpack(docs["tokens"], np.uint32), np.array(docs["n_tokens"])
+    of_words = counts_of(words, 0)
+    of_class = np.where(classes(words, held.value) == RARE, rare, of_words)
+    cls = classes(words[nth], held.value)
+    pairs, which = np.unique(pair_keys(cls, n), return_inverse=True)
+    # The end stands before the first token of a text, and each text has one.
+    start, before = np.cumsum(n) - n, np.concatenate([[0], of_class[nth[:-1]]])
+    before[start] = of_class[np.searchsorted(words, END)]
+    return docs, of_words[nth], cls == RARE, of_class[nth], before, counts_of(pairs, 1)[which]
+
+
+def cell_finder(held, groups: int, m: dict) -> Callable[[pa.Table], pa.Table]:
+    """ANSWERS of a block of deleted documents, with kept counts -> (bucket, cell, n): its tokens by the context's bucket
+    and by the ratio of the bigram's relative frequency to the class's own probability; cell -1 - SPAN * CELLS is the ratio 0."""
+
+    def cells(table: pa.Table) -> pa.Table:
+        _, _, _, c, before, pair = counted(table, held, groups, m["rare_kept"])
+        single = m["own"] * c / max(m["total_kept"], 1) + (1 - m["own"]) / m["classes"]
+        ratio = pair / np.maximum(before, 1) / single
+        cell = np.where(ratio > 0, np.clip(np.floor(np.log2(np.maximum(ratio, 1e-300)) * CELLS), -SPAN * CELLS, SPAN * CELLS), -SPAN * CELLS - 1).astype(np.int64)
+        both, n = summed(bucket_of(before) * (1 << 16) + cell + (1 << 15), np.ones(len(cell), np.int64))
+        return pa.table([pa.array(both >> 16), pa.array((both & 0xFFFF) - (1 << 15)), pa.array(n)], names=["bucket", "cell", "n"])
+
+    return cells
+
+
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def gather(table: pa.Table) -> pa.Table:
+def scorer(held, groups: int, m: dict) -> Callable[[pa.Table], pa.Table]:
     """ANSWERS of a block -> a row for each of its documents."""
-    rows = table.to_pylist()
-    docs = next(r for r in rows if r["id"] is not None)
-    size = len(docs["id"])
-    base, score, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-    for r in sorted(rows, key=lambda r: (r["doc"], r["score"])):
-        doc = np.arange(size) if r is docs else unpack_sorted(r["doc"], np.uint32)
-        base[doc] += unpack(r["base"], np.float64)
-        score[doc] += unpack(r["score"], np.float64)
-        known[doc] += unpack(r["known"], np.int64)
-    return pa.table([pa.array(docs["id"], pa.int64()), pa.array(docs["held_out"], pa.bool_()), pa.array(docs["n_tokens"], pa.int64()), pa.array(known), pa.array(base), pa.array(score)], schema=SCORES)
 
+    def score(table: pa.Table) -> pa.Table:
+        docs, count, rare, c, before, pair = counted(table, held, groups, m["rare"])
+        n = np.array(docs["n_tokens"])
+        doc = np.repeat(np.arange(len(n)), n)
+        weight = m["weights"][bucket_of(before)]
+        single = m["own"] * c / max(m["total"], 1) + (1 - m["own"]) / m["classes"]
+        log = np.log10(weight * pair / np.maximum(before, 1) + (1 - weight) * single)
+        log += np.where(rare, np.log10(count + 1.0) - m["log_rare"], 0.0)
+        add = lambda x: np.bincount(doc, x, len(n))
+        return pa.table([pa.array(docs["id"], pa.int64()), pa.array(docs["held_out"], pa.bool_()), pa.array(n), pa.array(add(count > 0).astype(np.int64)), pa.array(add(np.log10(count + 1.0)) - n * m["log_total"]), pa.array(add(log))], schema=SCORES)
 
-def frequent(words: DataFrame, vocabulary: int) -> tuple[dict, int, int]:
-    """The words that get a class (hashes in order, kept and deleted counts), all training tokens and all distinct ones.
+    return score
 
-    A histogram of counts by eighths of an octave gives the least count that leaves ``vocabulary`` words at
-    most; only those are brought to the driver.
-    """
+
+def by_kept(words: DataFrame) -> list:
+    """COUNTS of words by their kept count: (kept, n, deleted), the end apart with n = 0. Rows are fewer than the root of twice all tokens."""
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column("kept"), batch.column("deleted"), strict=True):
-                c = unpack(a.as_py(), np.int64) + unpack(b.as_py(), np.int64)
-                step, n, total = summed(np.floor(np.log2(c) * 8).astype(np.int64), np.ones(len(c), np.int64), c)
-                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n), pa.array(total)], names=["step", "n", "total"])
-
-    def chosen(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, a, b in zip(*(batch.column(c) for c in ("keys", "kept", "deleted")), strict=True):
-                    keys, kept, deleted = unpack_sorted(k.as_py(), np.uint64), unpack(a.as_py(), np.int64), unpack(b.as_py(), np.int64)
-                    at = (np.floor(np.log2(kept + deleted) * 8) >= least) | (keys == END)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(kept[at]), pa.array(deleted[at])], names=["word", "kept", "deleted"])
-
-        return choose
-
-    steps = words.mapInArrow(histogram, "step long, n long, total long").groupBy("step").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    least, room = 10**9, vocabulary
-    for r in sorted(steps, key=lambda r: -r["step"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["step"]
-    rows = words.mapInArrow(chosen(least), "word long, kept long, deleted long").collect()
+            for k, a, b in zip(*(batch.column(c) for c in ("keys", "kept", "deleted")), strict=True):
+                words = (unpack_sorted(k.as_py(), np.uint64) != END).astype(np.int64)
+                kept, n, deleted = summed(unpack(a.as_py(), np.int64) * 2 + words, words, unpack(b.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(kept >> 1), pa.array(n), pa.array(deleted), pa.array(kept & 1)], names=["kept", "n", "deleted", "word"])
+
+    rows = words.mapInArrow(histogram, "kept long, n long, deleted long, word long")
+    return rows.groupBy("kept", "word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted")).orderBy("kept", "word").collect()
+
+
+def frequent(words: DataFrame, vocabulary: int) -> np.ndarray:
+    """The ``vocabulary`` most frequent words (all, if fewer): rows of hash, kept and deleted count, by hash. Of equal counts the lower hash is in."""
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, a, b in zip(*(batch.column(c) for c in ("keys", "kept", "deleted")), strict=True):
+                keys, kept, deleted = unpack_sorted(k.as_py(), np.uint64), unpack(a.as_py(), np.int64), unpack(b.as_py(), np.int64)
+                at = np.lexsort((keys.view(np.int64), -kept - deleted))
+                at = at[keys[at] != END][:vocabulary]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(kept[at]), pa.array(deleted[at])], names=["word", "kept", "deleted"])
+
+    rows = words.mapInArrow(most, "word long, kept long, deleted long").orderBy(F.desc(F.expr("kept + deleted")), "word").limit(vocabulary).collect()
     table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
-    table = table[np.argsort(table[:, 0].view(np.uint64))]
-    end = table[:, 0].view(np.uint64) == END
-    ends = table[end].sum(0)[1:] if end.any() else np.zeros(2, np.int64)
-    table = table[~end]
-    found = {"words": table[:, 0].copy().view(np.uint64), "kept": np.array([0, ends[0], *table[:, 1]]), "deleted": np.array([0, ends[1], *table[:, 2]])}
-    return found, sum(r["total"] for r in steps), sum(r["n"] for r in steps)
+    return table[np.argsort(table[:, 0].view(np.uint64))]
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> tuple[DataFrame, dict]:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> tuple[DataFrame, dict]:
     """Scores of all documents (doc_id, held_out, n_tokens, n_known, base_score, score), and the model's figures.
 
-    Tokens are words with A-Z lower-cased and an end after each text. A token's class is the word itself for
-    the ``vocabulary`` most frequent words and the end, else the class of rare words. Its probability is
-    P(class | class before) * P(word | class). The first mixes the bigram's relative frequency with the class's
-    own probability, by the bucket of the context's frequency; the second factor is 1, or (c + 1) / (rare
-    tokens + distinct rare words + 1) for rare words, new ones included. The class's own probability mixes
-    its relative frequency with the uniform one. All weights are learned by expectation-maximisation on counts
+    Tokens are words with A-Z lower-cased and an end after each text. A token's class is the word itself. With a
+    ``vocabulary`` it is the word for that many of the most frequent words and the end, else the class of rare
+    words. Its probability is P(class | class before) * P(word | class). The first mixes the bigram's relative
+    frequency with the class's own probability, by the bucket of the context's frequency; the second factor is
+    1, or (c + 1) / (rare tokens + distinct rare words + 1) for rare words, new ones included. Without a
+    vocabulary the words that no training text has are one class. The class's own probability mixes its
+    relative frequency with the uniform one. All weights are learned by expectation-maximisation on counts
     of the documents held out from training counts (one of DELETED by hash); the final relative frequencies
     use all training documents. base_score is add-one unigram.
 
     Counts are made in blocks of texts and merged by hashed groups, so a frequent word or pair is one entry a
-    block; scores come from one exchange of each block's distinct rare words and bigrams with the counts'
-    groups. Null texts are empty (one token, the end). Rows are kept apart, repeated ids too.
+    block. Words and bigrams are told apart by 64-bit hashes. A block asks each group for the counts of its
+    distinct words and bigrams; they meet at the block's own tokens, so no table of words is broadcast (but for
+    a ``vocabulary``). Null texts are empty (one token, the end). Rows are kept apart, repeated ids too.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    broadcast = spark.sparkContext.broadcast
-    groups = max(8, -(-docs.select(text_col).rdd.getNumPartitions() // 2))
+    groups = max(8, docs.select(text_col).rdd.getNumPartitions())
     deleted = F.pmod(F.xxhash64(F.col(id_col), F.lit("deleted")), F.lit(DELETED)) == 0
     fold = F.when(~training, 0).when(deleted, 2).otherwise(1).cast("int")
     texts = docs.select(fold.alias("fold"), (~training).alias("held_out"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     merged = lambda counts: counts.groupBy("g").applyInArrow(merge_counts, COUNTS_SQL)
 
     words = stored(merged(texts.select("fold", "text").mapInArrow(word_counter(groups), COUNTS_SQL)), "words")
-    m, total, distinct = frequent(words, vocabulary)
-    rare_kept = _total(words, "kept") - m["kept"].sum()
-    rare_deleted = total - m["deleted"].sum() - m["kept"].sum() - rare_kept
-    m["kept"][RARE], m["deleted"][RARE] = rare_kept, rare_deleted
-    m["count"] = m["kept"] + m["deleted"]
-    n_classes = len(m["count"])
-    share = lambda c: c / max(c.sum(), 1)
-    own = learn_weight(share(m["kept"]) * n_classes, m["deleted"])
-    m |= {"single": own * share(m["count"]) + (1 - own) / n_classes, "single_kept": own * share(m["kept"]) + (1 - own) / n_classes}
-    rare_words = distinct - len(m["words"]) - int(m["count"][STOP] > 0)
-    m |= {"log_total": np.log10(total + distinct + 1.0), "log_rare": np.log10(m["count"][RARE] + rare_words + 1.0), "texts": int(m["count"][STOP])}
-
-    held = broadcast(m)
+    steps = by_kept(words)
+    kept = np.array([r["kept"] * (r["n"] if r["word"] else 1) for r in steps], np.int64)
+    m = {"total_kept": int(kept.sum()), "total": int(kept.sum()) + sum(r["deleted"] for r in steps), "rare_kept": 0, "rare": 0, "log_rare": 0.0}
+    distinct = sum(r["n"] if r["word"] else 1 for r in steps)
+    # Of each class, or of classes with equal kept counts together: the kept count of one, and all deleted counts.
+    one, lost = (np.array([r[c] for r in steps], np.int64) for c in ("kept", "deleted"))
+    own, m["classes"] = None, distinct + 1
+    if vocabulary is not None:
+        table = frequent(words, vocabulary)
+        own = table[:, 0].copy().view(np.uint64)
+        ends = np.array([[r["kept"], r["deleted"]] for r in steps if not r["word"]], np.int64).reshape(-1, 2)
+        one, lost = np.concatenate([table[:, 1:], ends]).T
+        m["rare_kept"], rare_deleted = m["total_kept"] - int(one.sum()), m["total"] - m["total_kept"] - int(lost.sum())
+        one, lost = np.append(one, m["rare_kept"]), np.append(lost, rare_deleted)
+        m["rare"], m["classes"] = m["rare_kept"] + rare_deleted, len(own) + 2
+        m["log_rare"] = np.log10(m["rare"] + distinct - len(ends) - len(own) + 1.0)
+    m["own"] = learn_weight(one / max(m["total_kept"], 1) * m["classes"], lost)
+    m["log_total"] = np.log10(m["total"] + distinct + 1.0)
+
+    held = spark.sparkContext.broadcast(own)
     pairs = stored(merged(texts.select("fold", "text").mapInArrow(pair_counter(held, groups), COUNTS_SQL)), "pairs")
-    cells = pairs.mapInArrow(ratio_cells(held), "bucket long, cell long, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n")).collect()
+    counts = words.withColumn("g", F.col("g") * 2).unionByName(pairs.withColumn("g", F.col("g") * 2 + 1))
+
+    def answers(some: DataFrame, kept_only: bool):
+        requests = some.select("held_out", "id", "text").mapInArrow(requester(held, groups), REQUESTS_SQL)
+        return requests.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(answerer(kept_only), ANSWERS_SQL).groupBy("block")
+
+    cells = answers(texts.where("fold = 2"), True).applyInArrow(cell_finder(held, groups, m), "bucket long, cell long, n long")
+    cells = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).collect()
     weights = np.zeros(BUCKETS)
     for b in {r["bucket"] for r in cells}:
         mine = [(r["cell"], r["n"]) for r in cells if r["bucket"] == b]
         ratio = np.array([2 ** ((c + 0.5) / CELLS) if c >= -SPAN * CELLS else 0.0 for c, _ in mine])
         weights[b] = learn_weight(ratio, np.array([n for _, n in mine], float))
-    m = m | {"weights": weights}
-
-    held = broadcast(m)
-    counts = words.withColumn("g", F.col("g") * 2).unionByName(pairs.withColumn("g", F.col("g") * 2 + 1))
-    requests = texts.select("fold", "held_out", "id", "text").mapInArrow(requester(held, groups), REQUESTS_SQL)
-    answers = requests.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(answerer(held), ANSWERS_SQL)
-    scores = answers.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scores, {"train_tokens": int(total), "distinct": int(distinct), "classes": n_classes, "own_weight": own, "weights": weights.tolist()}
-
-
-def _total(counts: DataFrame, column: str) -> int:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack(x.as_py(), np.int64).sum()) for x in batch.column(0))])], names=["n"])
+    m["weights"] = weights
 
-    return counts.select(column).mapInArrow(add, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scores = answers(texts, False).applyInArrow(scorer(held, groups, m), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores, {"train_tokens": m["total"], "distinct": distinct, "classes": m["classes"], "own_weight": m["own"], "weights": weights.tolist()}

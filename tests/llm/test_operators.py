@@ -299,6 +299,30 @@ def test_language_model_odd_rows(spark):
     assert lm.score_texts(docs(spark, []), F.lit(True))[0].count() == 0
 
 
+def test_language_model_of_many_equally_rare_words(spark):
+    """Every word keeps its own bigrams, however many there are and however rare they are."""
+    rows = [(i, " ".join(f"w{(i * 150 + j) % 60_000}" for j in range(300)), "", "", 0) for i in range(400)]
+    asked = [(1000, "w7 w8 w9", "", "", 0), (1001, "w7 w9 new w8", "", "", 0)]
+    scores, model = lm.score_texts(docs(spark, rows + asked), F.col("doc_id") < 1000)
+    assert (model["distinct"], model["classes"]) == (60_001, 60_002)
+    p, got = brute_lm([t for _, t, *_ in rows], vocabulary=None), by_id(scores)
+    for i, text, *_ in [*rows[:20], *asked]:
+        assert got[i]["score"] == pytest.approx(p(text, model), abs=1e-6)
+    assert got[1000]["n_known"] == 4 and got[1001]["n_known"] == 4
+
+
+def test_vocabulary_is_filled_where_counts_tie(spark):
+    rows = [(i, "a b c d e f", "", "", 0) for i in range(30)]
+    for vocabulary, expected in ((0, 2), (4, 6), (6, 8), (50, 8)):
+        scores, model = lm.score_texts(docs(spark, [*rows, (99, "", "", "", 0)]), F.col("doc_id") < 50, vocabulary=vocabulary)
+        assert model["classes"] == expected
+    # Rare words: the class by its bigrams, the word by its count within the class.
+    scores, model = lm.score_texts(docs(spark, [*rows, (99, "a new", "", "", 0)]), F.col("doc_id") < 50, vocabulary=0)
+    p = brute_lm([" ".join(["rare"] * 6)] * 30, vocabulary=None)
+    expected = p("rare rare", model) + math.log10(31 / 187) + math.log10(1 / 187)
+    assert by_id(scores)[99]["score"] == pytest.approx(expected, abs=1e-6)
+
+
 # ---------------------------------------------------------------- op7
 
 
