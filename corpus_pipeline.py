@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored
+from rankloom.llm.common import WHITE, stored
 from rankloom.llm.bpe import encode
 from rankloom.llm.decontam import find_contamination
 from rankloom.llm.langid import identify, learn
-from rankloom.llm.line_dedup import dedup_lines
+from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.queries import fold, word_tokenizer
 
@@ -27,8 +27,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay in the first only. All documents stay; n_chars follows the text."""
-    return dedup_lines(docs, min_docs=10, keep_first=True).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Lines found in ten documents or more stay in the first only; n_chars follows the text.
+
+    Documents that lost lines and have none but blank ones left go, so ten or more copies leave one row.
+    Documents that lost nothing stay, without words too.
+    """
+    out = apply_bitmaps(docs, keep_bitmaps(docs, min_docs=10, keep_first=True))
+    emptied = (F.col("__n_dropped") > 0) & (F.btrim("__kept_text", F.lit(WHITE)) == "")
+    out = out.where(~emptied).withColumn("text", F.col("__kept_text")).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

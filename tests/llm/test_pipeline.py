@@ -50,3 +50,14 @@ def test_stages_on_odd_and_no_rows(spark):
             assert out.columns == df.columns
             df = stored(out, "odd")
         assert P.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+def test_copies_emptied_by_line_dedup_go(spark):
+    copies = [(i, "Same line\n\n  other LINE ", "en", "a", 0) for i in range(12)]
+    rest = [(20, "same line\nown words", "en", "a", 0), (21, "\n \n", "en", "a", 0), (22, "", "en", "a", 0), (23, None, "en", "a", 0)]
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.line_dedup(spark, docs(spark, copies + rest), SF).collect()}
+    assert out == {0: (copies[0][1], 24), 20: ("own words", 9), 21: ("\n \n", 3), 22: ("", 0), 23: (None, None)}
+    df = docs(spark, copies)
+    for name, stage in P.STAGES[1:]:
+        df = stored(stage(spark, df, SF), name)
+    assert [r["doc_id"] for r in df.collect()] == [0]
