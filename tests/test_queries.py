@@ -1,5 +1,7 @@
 """Every registered query against its SQL in another engine, over the smallest tables."""
 
+import re
+
 import pytest
 
 from rankloom.queries import ORACLE_SQL, QUERIES
@@ -28,3 +30,15 @@ def test_every_query_is_callable_and_sql_has_a_query():
 def test_bootstrap_repeats(spark):
     once, twice = (sorted(map(tuple, QUERIES["bootstrap_deltas"](spark, SF).collect())) for _ in range(2))
     assert once == twice and all(r[2] <= r[1] + 1e-6 <= r[3] + 1e-5 or r[1] == 0 for r in once)
+
+
+def test_numbers_in_all_texts(spark, tmp_path):
+    """Every document is there, with letters before digits or without a text."""
+    odd = [(1, "ACH-000001 v2 B12 -3.5"), (2, None), (3, ""), (4, "no digits"), (5, "x1.5 7"), (6, "1,234 and +2")]
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for sf in (SF, str(tmp_path)):
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        found = {i: [float(x) for x in re.findall(r"(?<![A-Za-z])[-+]?[0-9]+(?:\.[0-9]+)?", t or "")] for i, t in texts.items()}
+        got = {r["doc_id"]: (r["n"], r["most"]) for r in QUERIES["numbers_in_all_texts"](spark, sf).collect()}
+        assert got == {i: (len(xs), max(xs, default=None)) for i, xs in found.items()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[2] == got[3] == (0, None)
