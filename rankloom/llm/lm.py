@@ -15,11 +15,14 @@ from rankloom.llm.textvec import U64, blocks, mix, text_bytes, word_hashes
 
 #: One training document of DELETED is held out from the counts that mixture weights are learned with.
 DELETED = 10
-#: Context-frequency buckets (powers of two), and cells of the logarithm of a ratio: CELLS each octave over +-SPAN octaves.
-BUCKETS, CELLS, SPAN = 48, 16, 40
-#: The hashes that stand for the end of a text and, where a vocabulary is given, for all words outside it.
-END, RARE = U64(0x123456789ABCDEF), U64(0x0FEDCBA987654321)
-BYTES = 4 << 20
+#: Context-frequency buckets: 0 for contexts never seen, then powers of two.
+BUCKETS = 48
+#: The hash that stands for the end of a text.
+END = U64(0x123456789ABCDEF)
+#: Tokens of a block, whose words and bigrams are counted and asked for together, and bytes of text for each group of counts.
+BLOCK, GROUP_BYTES = 1_250_000, 16 << 20
+#: Expectation-maximisation ends when no weight moves by more than this, or after so many rounds.
+MOVES, ROUNDS = 1e-4, 60
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -51,326 +54,268 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, np.concatenate([np.diff(woff) + 1 for _, woff in parts])
 
 
-def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of their weights."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], *(np.add.reduceat(w[order], first) if len(keys) else w for w in weights)
-
-
-COUNTS = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("kept", pa.binary()), ("deleted", pa.binary())])
-COUNTS_SQL = "g int, keys binary, kept binary, deleted binary"
-
-
-def count_rows(g: np.ndarray, keys: np.ndarray, kept: np.ndarray, deleted: np.ndarray) -> pa.RecordBatch:
-    """Rows of COUNTS from entries sorted by key; g: the group of each entry."""
-    rows = []
-    for p in np.unique(g).tolist():
-        at = g == p
-        rows.append({"g": p, "keys": pack_sorted(keys[at]), "kept": pack(kept[at].astype(np.int64)), "deleted": pack(deleted[at].astype(np.int64))})
-    return pa.RecordBatch.from_pylist(rows, COUNTS)
-
-
-def merge_counts(table: pa.Table) -> pa.Table:
-    """All rows of a group as one."""
-    parts = [(unpack_sorted(k, np.uint64), unpack(a, np.int64), unpack(b, np.int64)) for k, a, b in zip(*(table.column(c).to_pylist() for c in ("keys", "kept", "deleted")), strict=True)]
-    keys, kept, deleted = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-    return pa.Table.from_batches([count_rows(np.full(len(keys), table.column("g")[0].as_py()), keys, kept, deleted)])
-
-
-def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(keys) % U64(groups)).astype(np.int64)
-
-
-def word_counter(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(fold, text) -> COUNTS of words. fold: 0 not for training, 1 kept, 2 deleted."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold = batch.column(0).to_numpy()
-            data, off = text_bytes(batch.column(1))
-            for i, j in blocks(off, BYTES):
-                t, n = tokens(data, off[i : j + 1])
-                f = np.repeat(fold[i:j], n)
-                keys, kept, deleted = summed(t[f > 0], (f[f > 0] == 1).astype(np.int64), (f[f > 0] == 2).astype(np.int64))
-                yield count_rows(group_of(keys, groups), keys, kept, deleted)
-
-    return count
-
-
-def classes(t: np.ndarray, own: np.ndarray | None) -> np.ndarray:
-    """The class of each token: the word itself, or RARE where a vocabulary (sorted hashes) is given and lacks it."""
-    if own is None:
-        return t
-    at = np.minimum(np.searchsorted(own, t), max(len(own) - 1, 0))
-    known = own[at] == t if len(own) else np.zeros(len(t), bool)
-    return np.where(known | (t == END), t, RARE)
-
-
-def contexts(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The class before each token; a text follows an end."""
-    before = np.concatenate([[END], cls[:-1]])
+def contexts(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The token before each token; a text follows an end."""
+    before = np.concatenate([[END], t[:-1]])
     before[np.cumsum(n) - n] = END
     return before
 
 
-def pair_keys(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+def pair_keys(t: np.ndarray, n: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bigrams that end at each token."""
-    return mix(contexts(cls, n) * U64(0x9E3779B97F4A7C15) + cls)
-
-
-def pair_counter(held, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(fold, text) -> COUNTS of bigrams."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold = batch.column(0).to_numpy()
-            data, off = text_bytes(batch.column(1))
-            for i, j in blocks(off, BYTES):
-                t, n = tokens(data, off[i : j + 1])
-                pairs = pair_keys(classes(t, held.value), n)
-                f = np.repeat(fold[i:j], n)
-                keys, kept, deleted = summed(pairs[f > 0], (f[f > 0] == 1).astype(np.int64), (f[f > 0] == 2).astype(np.int64))
-                yield count_rows(group_of(keys, groups), keys, kept, deleted)
-
-    return count
-
-
-def bucket_of(context_count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(np.log2(context_count + 1.0)).astype(np.int64), BUCKETS - 1)
-
-
-def learn_weight(ratio: np.ndarray, n: np.ndarray) -> float:
-    """The weight w that makes the held-out counts likeliest under w * ratio + 1 - w, by expectation-maximisation."""
-    w = 0.5
-    for _ in range(200):
-        share = float((n * w * ratio / (w * ratio + 1 - w)).sum() / n.sum()) if n.sum() else 0.0
-        if abs(share - w) < 1e-9:
-            break
-        w = min(max(share, 1e-6), 1 - 1e-6)
-    return w
-
-
-#: Of a block: its distinct words or bigrams of one group, or (g < 0) its documents and its tokens as numbers of its distinct words.
-REQUESTS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("tokens", pa.binary()), ("id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64()))])
-REQUESTS_SQL = "g int, block long, keys binary, tokens binary, id array<long>, held_out array<boolean>, n_tokens array<long>"
+    return mix(contexts(t, n) * U64(0x9E3779B97F4A7C15) + t)
 
 
 def by_group(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
     """The groups of some keys, and where the keys of each are, in order."""
-    group = group_of(keys, groups)
+    group = (mix(keys) % U64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(groups + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         yield p, order[cuts[p] : cuts[p + 1]]
 
 
-def requester(held, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(held_out, id, text) -> REQUESTS of each block of texts: its words (even groups), its bigrams (odd groups),
-    and its documents (group -1 and below)."""
+def block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
+    """(fold, held_out, id, text) -> blocks of rows of BLOCK tokens or of one longer text: number, the other columns, tokens, tokens of each row.
+
+    Deleted rows (fold 2) are in blocks of their own, with odd numbers. Where blocks end depends on the rows
+    of their kind and on nothing else, so a second pass over some of the kinds gives the same blocks.
+    """
+    base = TaskContext.get().partitionId() << 32
+    held: dict[int, list] = {0: [], 1: []}
+    size, number = [0, 0], [0, 0]
+
+    def flush(kind: int) -> tuple[int, pa.Table, np.ndarray, np.ndarray]:
+        rows, t, n = zip(*held[kind], strict=True)
+        held[kind], size[kind], number[kind] = [], 0, number[kind] + 1
+        return base | (2 * (number[kind] - 1) + kind), pa.concat_tables(rows), np.concatenate(t), np.concatenate(n)
+
+    for batch in batches:
+        odd = batch.column(0).to_numpy() == 2
+        for kind in (0, 1):
+            part = pa.Table.from_batches([batch]).filter(pa.array(odd if kind else ~odd))
+            if not part.num_rows:
+                continue
+            rest = part.select([0, 1, 2])
+            data, off = text_bytes(part.column(3))
+            t, n = tokens(data, off)
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(n):
+                before = int(ends[i - 1]) if i else 0
+                j = max(i + (0 if size[kind] else 1), int(np.searchsorted(ends, before + BLOCK - size[kind], "right")))
+                if j > i:
+                    held[kind].append((rest.slice(i, j - i), t[before : ends[j - 1]], n[i:j]))
+                    size[kind] += int(ends[j - 1]) - before
+                if j < len(n):
+                    yield flush(kind)
+                i = j
+    for kind in (0, 1):
+        if held[kind]:
+            yield flush(kind)
+
+
+#: Of a block: its distinct words (even groups) or bigrams (odd groups) of one group, and how often its training rows, kept and deleted, have them.
+REQUESTS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("kept", pa.binary()), ("deleted", pa.binary())])
+REQUESTS_SQL = "g int, block long, keys binary, kept binary, deleted binary"
+
+
+def requester(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(fold, held_out, id, text) -> REQUESTS."""
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            out_of, ids = batch.column(0), batch.column(1)
-            data, off = text_bytes(batch.column(2))
-            for i, j in blocks(off, BYTES):
-                t, n = tokens(data, off[i : j + 1])
-                words, nth = np.unique(t, return_inverse=True)
-                rows = [{"g": -1 - block % groups, "block": block, "keys": pack_sorted(words), "tokens": pack(nth.astype(np.uint32)), "id": ids.slice(i, j - i).to_pylist(), "held_out": out_of.slice(i, j - i).to_pylist(), "n_tokens": n.tolist()}]
-                for kind, keys in enumerate((words, np.unique(pair_keys(classes(t, held.value), n)))):
-                    rows += [{"g": 2 * p + kind, "block": block, "keys": pack_sorted(keys[at])} for p, at in by_group(keys, groups)]
-                yield pa.RecordBatch.from_pylist(rows, REQUESTS)
-                block += 1
+        for block, rows, t, n in block_texts(batches):
+            fold = np.repeat(rows.column(0).to_numpy(), n)
+            for kind, every in enumerate((t, pair_keys(t, n))):
+                keys, nth = np.unique(every, return_inverse=True)
+                kept, deleted = (np.bincount(nth[fold == f], minlength=len(keys)).astype(np.uint32) for f in (1, 2))
+                parts = [{"g": 2 * p + kind, "block": block, "keys": pack_sorted(keys[at]), "kept": pack(kept[at]), "deleted": pack(deleted[at])} for p, at in by_group(keys, groups)]
+                yield pa.RecordBatch.from_pylist(parts, REQUESTS)
 
     return request
 
 
-#: Of a block: the counts of the words or bigrams it asked a group for, in the order asked, or its row of documents.
-ANSWERS = pa.schema([REQUESTS.field(0), REQUESTS.field(1), ("counts", pa.binary()), *[REQUESTS.field(i) for i in range(2, 7)]])
-ANSWERS_SQL = "g int, block long, counts binary, keys binary, tokens binary, id array<long>, held_out array<boolean>, n_tokens array<long>"
-
-
-def answerer(kept_only: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """REQUESTS of a group and the counts of that group (one row, if any) -> ANSWERS."""
-
-    def answer(requests: pa.Table, counts: pa.Table) -> pa.Table:
-        held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for one in counts.select(["keys", "kept", "deleted"]).to_pylist():
-            held, n = unpack_sorted(one["keys"], np.uint64), unpack(one["kept"], np.int64)
-            if not kept_only:
-                n = n + unpack(one["deleted"], np.int64)
-        parts = []
-        for batch in requests.to_batches(max_chunksize=16):
-            rows = []
-            for r in batch.to_pylist():
-                if r["g"] < 0:
-                    rows.append(r)
-                    continue
-                keys = unpack_sorted(r["keys"], np.uint64)
-                found = np.zeros(len(keys), np.int64)
-                if len(held):
-                    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-                    found = np.where(held[at] == keys, n[at], 0)
-                rows.append({"g": r["g"], "block": r["block"], "counts": pack(found)})
-            parts.append(pa.RecordBatch.from_pylist(rows, ANSWERS))
-        return pa.Table.from_batches(parts, ANSWERS)
-
-    return answer
-
-
-def counted(table: pa.Table, held, groups: int, rare: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ANSWERS of a block -> its row of documents, and of each token its count, whether its class is RARE, and the
-    counts of its class, of the class before and of the bigram."""
-    rows = table.to_pylist()
-    docs = next(r for r in rows if r["id"] is not None)
-    answers = {r["g"]: r["counts"] for r in rows if r["g"] >= 0}
+#: Of a block: the corpus counts of the words or bigrams it asked a group for, in the order asked. Of a group of words
+#: (block -1): its distinct training words, and its kept and deleted training tokens.
+ANSWERS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("kept", pa.binary()), ("deleted", pa.binary()), ("distinct", pa.int64()), ("n_kept", pa.int64()), ("n_deleted", pa.int64())])
+ANSWERS_SQL = "g int, block long, kept binary, deleted binary, distinct long, n_kept long, n_deleted long"
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """REQUESTS of a group -> ANSWERS."""
+    asked, kept, deleted = [], [], []
+    for r in table.select(["keys", "kept", "deleted"]).to_pylist():
+        asked.append(unpack_sorted(r["keys"], np.uint64))
+        kept.append(unpack(r["kept"], np.uint32))
+        deleted.append(unpack(r["deleted"], np.uint32))
+    cuts = np.cumsum([0, *map(len, asked)])
+    keys, nth = np.unique(np.concatenate(asked), return_inverse=True)
+    # Sums of whole numbers in doubles are exact below 2^53.
+    k, d = (np.bincount(nth, np.concatenate(x), len(keys)).astype(np.int64) for x in (kept, deleted))
+    g = table.column("g")[0].as_py()
+    rows = []
+    for block, s, e in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+        rows.append({"g": g, "block": block, "kept": pack(k[nth[s:e]]), "deleted": pack(d[nth[s:e]])})
+    if g % 2 == 0:
+        rows.append({"g": g, "block": -1, "distinct": int((k + d > 0).sum()), "n_kept": int(k.sum()), "n_deleted": int(d.sum())})
+    return pa.Table.from_pylist(rows, ANSWERS)
+
+
+#: Of a block: its rows, its distinct words and its tokens as numbers of them.
+BLOCKS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("tokens", pa.binary()), ("id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64()))])
+BLOCKS_SQL = "block long, keys binary, tokens binary, id array<long>, held_out array<boolean>, n_tokens array<long>"
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fold, held_out, id, text) -> BLOCKS."""
+    for block, rows, t, n in block_texts(batches):
+        words, nth = np.unique(t, return_inverse=True)
+        row = {"block": block, "keys": pack_sorted(words), "tokens": pack(nth.astype(np.uint32)), "id": rows.column(2).to_pylist(), "held_out": rows.column(1).to_pylist(), "n_tokens": n.tolist()}
+        yield pa.RecordBatch.from_pylist([row], BLOCKS)
+
+
+def counted(rows: pa.Table, answers: pa.Table, groups: int, columns: list[str]) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """BLOCKS and ANSWERS of a block -> its row, and of each token the count of the token, of the one before and of the
+    bigram, summed over ``columns``."""
+    (row,) = rows.to_pylist()
+    by_g = {r["g"]: sum(unpack(r[c], np.int64) for c in columns) for r in answers.select(["g", *columns]).to_pylist()}
 
     def counts_of(keys: np.ndarray, kind: int) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for p, at in by_group(keys, groups):
-            out[at] = unpack(answers[2 * p + kind], np.int64)
+            found = by_g.get(2 * p + kind)
+            if found is None or len(found) != len(at):
+                raise RuntimeError("The texts came in another order when read again; store them first.")
+            out[at] = found
         return out
 
-    words, nth, n = unpack_sorted(docs["keys"], np.uint64), unpack(docs["tokens"], np.uint32), np.array(docs["n_tokens"])
+    words, nth, n = unpack_sorted(row["keys"], np.uint64), unpack(row["tokens"], np.uint32), np.array(row["n_tokens"])
     of_words = counts_of(words, 0)
-    of_class = np.where(classes(words, held.value) == RARE, rare, of_words)
-    cls = classes(words[nth], held.value)
-    pairs, which = np.unique(pair_keys(cls, n), return_inverse=True)
+    pairs, which = np.unique(pair_keys(words[nth], n), return_inverse=True)
     # The end stands before the first token of a text, and each text has one.
-    start, before = np.cumsum(n) - n, np.concatenate([[0], of_class[nth[:-1]]])
-    before[start] = of_class[np.searchsorted(words, END)]
-    return docs, of_words[nth], cls == RARE, of_class[nth], before, counts_of(pairs, 1)[which]
+    before = np.concatenate([[0], of_words[nth[:-1]]])
+    before[np.cumsum(n) - n] = of_words[np.searchsorted(words, END)]
+    return row, of_words[nth], before, counts_of(pairs, 1)[which]
 
 
-def cell_finder(held, groups: int, m: dict) -> Callable[[pa.Table], pa.Table]:
-    """ANSWERS of a block of deleted documents, with kept counts -> (bucket, cell, n): its tokens by the context's bucket
-    and by the ratio of the bigram's relative frequency to the class's own probability; cell -1 - SPAN * CELLS is the ratio 0."""
+def bucket_of(context_count: np.ndarray) -> np.ndarray:
+    """0 for 0, 1 for 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
+    return np.where(context_count > 0, np.minimum(np.floor(np.log2(np.maximum(context_count, 1))).astype(np.int64) + 1, BUCKETS - 1), 0)
 
-    def cells(table: pa.Table) -> pa.Table:
-        _, _, _, c, before, pair = counted(table, held, groups, m["rare_kept"])
-        single = m["own"] * c / max(m["total_kept"], 1) + (1 - m["own"]) / m["classes"]
-        ratio = pair / np.maximum(before, 1) / single
-        cell = np.where(ratio > 0, np.clip(np.floor(np.log2(np.maximum(ratio, 1e-300)) * CELLS), -SPAN * CELLS, SPAN * CELLS), -SPAN * CELLS - 1).astype(np.int64)
-        both, n = summed(bucket_of(before) * (1 << 16) + cell + (1 << 15), np.ones(len(cell), np.int64))
-        return pa.table([pa.array(both >> 16), pa.array((both & 0xFFFF) - (1 << 15)), pa.array(n)], names=["bucket", "cell", "n"])
 
-    return cells
+def probability(weights: np.ndarray, pair: np.ndarray, before: np.ndarray, count: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Of each token, given the one before: relative frequencies of the bigram and of the token, and one over all words, mixed by the context's bucket.
 
+    The probabilities of all training words and of one for all other words are 1 together.
+    """
+    w = weights[bucket_of(before)]
+    return w[:, 0] * pair / np.maximum(before, 1) + w[:, 1] * count / max(total, 1) + w[:, 2] / (distinct + 1)
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+def tallier(groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Blocks of deleted rows -> (before, pair, count, n): their tokens by the kept counts of context, bigram and token."""
 
-def scorer(held, groups: int, m: dict) -> Callable[[pa.Table], pa.Table]:
-    """ANSWERS of a block -> a row for each of its documents."""
+    def tally(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = np.zeros((0, 3), np.int64)
+        n = np.zeros(0, np.int64)
+        if rows.num_rows:
+            _, count, before, pair = counted(rows, answers, groups, ["kept"])
+            kinds, n = np.unique(np.stack([before, pair, count], 1), axis=0, return_counts=True)
+        return pa.table([*(pa.array(kinds[:, c]) for c in range(3)), pa.array(n)], names=["before", "pair", "count", "n"])
 
-    def score(table: pa.Table) -> pa.Table:
-        docs, count, rare, c, before, pair = counted(table, held, groups, m["rare"])
-        n = np.array(docs["n_tokens"])
-        doc = np.repeat(np.arange(len(n)), n)
-        weight = m["weights"][bucket_of(before)]
-        single = m["own"] * c / max(m["total"], 1) + (1 - m["own"]) / m["classes"]
-        log = np.log10(weight * pair / np.maximum(before, 1) + (1 - weight) * single)
-        log += np.where(rare, np.log10(count + 1.0) - m["log_rare"], 0.0)
-        add = lambda x: np.bincount(doc, x, len(n))
-        return pa.table([pa.array(docs["id"], pa.int64()), pa.array(docs["held_out"], pa.bool_()), pa.array(n), pa.array(add(count > 0).astype(np.int64)), pa.array(add(np.log10(count + 1.0)) - n * m["log_total"]), pa.array(add(log))], schema=SCORES)
+    return tally
 
-    return score
 
+def learn_weights(tallies: DataFrame, total: int, distinct: int) -> np.ndarray:
+    """The weights of bigram, token and uniform probability by bucket (BUCKETS x 3) that make the deleted rows likeliest.
 
-def by_kept(words: DataFrame) -> list:
-    """COUNTS of words by their kept count: (kept, n, deleted), the end apart with n = 0. Rows are fewer than the root of twice all tokens."""
+    Expectation-maximisation over the counts themselves: in each round one aggregation sums, by bucket, what
+    share of each token every part explains. A context never seen has no bigrams. Buckets without deleted tokens
+    take the weights of all buckets together.
+    """
+    bucket = F.when(F.col("before") > 0, F.least(F.floor(F.log2("before")) + 1, F.lit(BUCKETS - 1))).otherwise(0).cast("int")
+    parts = [F.col("pair") / F.greatest("before", F.lit(1)), F.col("count") / max(total, 1), F.lit(1 / (distinct + 1))]
+    rows = stored(tallies.groupBy("before", "pair", "count").agg(F.sum("n").alias("n")).select(bucket.alias("bucket"), "n", *(p.alias(f"p{i}") for i, p in enumerate(parts))), "tallies")
+    weights = np.full((BUCKETS, 3), 1 / 3)
+    weights[0] = (0, 0.5, 0.5)
+    for _ in range(ROUNDS):
+        shares = [F.get(F.array(*map(F.lit, weights[:, i].tolist())), F.col("bucket")) * F.col(f"p{i}") for i in range(3)]
+        summed = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * s / sum(shares[1:], shares[0])).alias(f"s{i}") for i, s in enumerate(shares))).collect()
+        if not summed:
+            return weights
+        new = np.tile(np.array([sum(r[f"s{i}"] for r in summed) for i in range(3)]) / sum(r["n"] for r in summed), (BUCKETS, 1))
+        new[0] = (0, new[0, 1] / max(new[0, 1:].sum(), 1e-300), new[0, 2] / max(new[0, 1:].sum(), 1e-300))
+        for r in summed:
+            new[r["bucket"]] = [r[f"s{i}"] / r["n"] for i in range(3)]
+        # No part's weight falls to 0, where a token it alone explains would be impossible.
+        new[1:] = np.maximum(new[1:], 1e-9)
+        new[0, 1:] = np.maximum(new[0, 1:], 1e-9)
+        new /= new.sum(1, keepdims=True)
+        moved, weights = np.abs(new - weights).max(), new
+        if moved < MOVES:
+            break
+    return weights
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, a, b in zip(*(batch.column(c) for c in ("keys", "kept", "deleted")), strict=True):
-                words = (unpack_sorted(k.as_py(), np.uint64) != END).astype(np.int64)
-                kept, n, deleted = summed(unpack(a.as_py(), np.int64) * 2 + words, words, unpack(b.as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(kept >> 1), pa.array(n), pa.array(deleted), pa.array(kept & 1)], names=["kept", "n", "deleted", "word"])
 
-    rows = words.mapInArrow(histogram, "kept long, n long, deleted long, word long")
-    return rows.groupBy("kept", "word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted")).orderBy("kept", "word").collect()
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def frequent(words: DataFrame, vocabulary: int) -> np.ndarray:
-    """The ``vocabulary`` most frequent words (all, if fewer): rows of hash, kept and deleted count, by hash. Of equal counts the lower hash is in."""
+def scorer(groups: int, weights: np.ndarray, total: int, distinct: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block and its answers -> a row for each of its documents."""
 
-    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, a, b in zip(*(batch.column(c) for c in ("keys", "kept", "deleted")), strict=True):
-                keys, kept, deleted = unpack_sorted(k.as_py(), np.uint64), unpack(a.as_py(), np.int64), unpack(b.as_py(), np.int64)
-                at = np.lexsort((keys.view(np.int64), -kept - deleted))
-                at = at[keys[at] != END][:vocabulary]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(kept[at]), pa.array(deleted[at])], names=["word", "kept", "deleted"])
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return SCORES.empty_table()
+        row, count, before, pair = counted(rows, answers, groups, ["kept", "deleted"])
+        n = np.array(row["n_tokens"])
+        doc = np.repeat(np.arange(len(n)), n)
+        log = np.log10(probability(weights, pair, before, count, total, distinct))
+        add = lambda x: np.bincount(doc, x, len(n))
+        base = add(np.log10(count + 1.0)) - n * np.log10(total + distinct + 1.0)
+        return pa.table([pa.array(row["id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n), pa.array(add(count > 0).astype(np.int64)), pa.array(base), pa.array(add(log))], schema=SCORES)
 
-    rows = words.mapInArrow(most, "word long, kept long, deleted long").orderBy(F.desc(F.expr("kept + deleted")), "word").limit(vocabulary).collect()
-    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
-    return table[np.argsort(table[:, 0].view(np.uint64))]
+    return score
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> tuple[DataFrame, dict]:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
     """Scores of all documents (doc_id, held_out, n_tokens, n_known, base_score, score), and the model's figures.
 
-    Tokens are words with A-Z lower-cased and an end after each text. A token's class is the word itself. With a
-    ``vocabulary`` it is the word for that many of the most frequent words and the end, else the class of rare
-    words. Its probability is P(class | class before) * P(word | class). The first mixes the bigram's relative
-    frequency with the class's own probability, by the bucket of the context's frequency; the second factor is
-    1, or (c + 1) / (rare tokens + distinct rare words + 1) for rare words, new ones included. Without a
-    vocabulary the words that no training text has are one class. The class's own probability mixes its
-    relative frequency with the uniform one. All weights are learned by expectation-maximisation on counts
-    of the documents held out from training counts (one of DELETED by hash); the final relative frequencies
-    use all training documents. base_score is add-one unigram.
-
-    Counts are made in blocks of texts and merged by hashed groups, so a frequent word or pair is one entry a
-    block. Words and bigrams are told apart by 64-bit hashes. A block asks each group for the counts of its
-    distinct words and bigrams; they meet at the block's own tokens, so no table of words is broadcast (but for
-    a ``vocabulary``). Null texts are empty (one token, the end). Rows are kept apart, repeated ids too.
+    Tokens are words with A-Z lower-cased and an end after each text. The probability of a token mixes the
+    relative frequencies of its bigram and of itself and the uniform probability, with weights by the bucket of
+    the context's frequency. The weights are learned by expectation-maximisation on the counts of the documents
+    held out from training counts (one of DELETED by hash of id and text); the final relative frequencies use all
+    training documents. Words of no training text share one place beside the training words. base_score is
+    add-one unigram.
+
+    Texts are read in blocks. A block sends its distinct words and bigrams with its own counts to hashed groups,
+    which add up the counts of all blocks and send each block back what it asked for, so a frequent word or
+    bigram is one entry a block, no table of words is broadcast, and groups grow in number with the bytes of
+    text. Words and bigrams are told apart by 64-bit hashes. The blocks are made a second time from the texts,
+    rather than stored, to meet the answers; rows that come in another order then are an error (files don't).
+
+    Null texts are empty (one token, the end), as are all texts of white space. Null ids are kept. Rows are kept
+    apart, repeated ids too. An empty table gives no rows; without training documents all tokens are unknown.
+    Other columns don't matter.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    groups = max(8, docs.select(text_col).rdd.getNumPartitions())
-    deleted = F.pmod(F.xxhash64(F.col(id_col), F.lit("deleted")), F.lit(DELETED)) == 0
+    size = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    groups = max(8, -(-size // GROUP_BYTES))
+    deleted = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("deleted")), F.lit(DELETED)) == 0
     fold = F.when(~training, 0).when(deleted, 2).otherwise(1).cast("int")
     texts = docs.select(fold.alias("fold"), (~training).alias("held_out"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    merged = lambda counts: counts.groupBy("g").applyInArrow(merge_counts, COUNTS_SQL)
-
-    words = stored(merged(texts.select("fold", "text").mapInArrow(word_counter(groups), COUNTS_SQL)), "words")
-    steps = by_kept(words)
-    kept = np.array([r["kept"] * (r["n"] if r["word"] else 1) for r in steps], np.int64)
-    m = {"total_kept": int(kept.sum()), "total": int(kept.sum()) + sum(r["deleted"] for r in steps), "rare_kept": 0, "rare": 0, "log_rare": 0.0}
-    distinct = sum(r["n"] if r["word"] else 1 for r in steps)
-    # Of each class, or of classes with equal kept counts together: the kept count of one, and all deleted counts.
-    one, lost = (np.array([r[c] for r in steps], np.int64) for c in ("kept", "deleted"))
-    own, m["classes"] = None, distinct + 1
-    if vocabulary is not None:
-        table = frequent(words, vocabulary)
-        own = table[:, 0].copy().view(np.uint64)
-        ends = np.array([[r["kept"], r["deleted"]] for r in steps if not r["word"]], np.int64).reshape(-1, 2)
-        one, lost = np.concatenate([table[:, 1:], ends]).T
-        m["rare_kept"], rare_deleted = m["total_kept"] - int(one.sum()), m["total"] - m["total_kept"] - int(lost.sum())
-        one, lost = np.append(one, m["rare_kept"]), np.append(lost, rare_deleted)
-        m["rare"], m["classes"] = m["rare_kept"] + rare_deleted, len(own) + 2
-        m["log_rare"] = np.log10(m["rare"] + distinct - len(ends) - len(own) + 1.0)
-    m["own"] = learn_weight(one / max(m["total_kept"], 1) * m["classes"], lost)
-    m["log_total"] = np.log10(m["total"] + distinct + 1.0)
-
-    held = spark.sparkContext.broadcast(own)
-    pairs = stored(merged(texts.select("fold", "text").mapInArrow(pair_counter(held, groups), COUNTS_SQL)), "pairs")
-    counts = words.withColumn("g", F.col("g") * 2).unionByName(pairs.withColumn("g", F.col("g") * 2 + 1))
-
-    def answers(some: DataFrame, kept_only: bool):
-        requests = some.select("held_out", "id", "text").mapInArrow(requester(held, groups), REQUESTS_SQL)
-        return requests.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(answerer(kept_only), ANSWERS_SQL).groupBy("block")
-
-    cells = answers(texts.where("fold = 2"), True).applyInArrow(cell_finder(held, groups, m), "bucket long, cell long, n long")
-    cells = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).collect()
-    weights = np.zeros(BUCKETS)
-    for b in {r["bucket"] for r in cells}:
-        mine = [(r["cell"], r["n"]) for r in cells if r["bucket"] == b]
-        ratio = np.array([2 ** ((c + 0.5) / CELLS) if c >= -SPAN * CELLS else 0.0 for c, _ in mine])
-        weights[b] = learn_weight(ratio, np.array([n for _, n in mine], float))
-    m["weights"] = weights
-
-    scores = answers(texts, False).applyInArrow(scorer(held, groups, m), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scores, {"train_tokens": m["total"], "distinct": distinct, "classes": m["classes"], "own_weight": m["own"], "weights": weights.tolist()}
+
+    requests = texts.mapInArrow(requester(groups), REQUESTS_SQL).repartition(groups, "g")
+    answers = stored(requests.groupBy("g").applyInArrow(answer, ANSWERS_SQL), "answers")
+    figures = answers.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "n_kept", "n_deleted"))).first()
+    distinct, total = figures["distinct"], figures["n_kept"] + figures["n_deleted"]
+
+    def with_answers(some: DataFrame, blocks_: DataFrame, parts: int):
+        rows = some.mapInArrow(block_rows, BLOCKS_SQL).repartition(parts, "block")
+        return rows.groupBy("block").cogroup(blocks_.select("g", "block", "kept", "deleted").repartition(parts, "block").groupBy("block"))
+
+    odd = with_answers(texts.where("fold = 2"), answers.where("block % 2 = 1"), max(8, groups // DELETED))
+    weights = learn_weights(odd.applyInArrow(tallier(groups), "before long, pair long, count long, n long"), figures["n_kept"], distinct)
+    every = with_answers(texts, answers.where("block >= 0"), groups)
+    scores = every.applyInArrow(scorer(groups, weights, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores, {"train_tokens": total, "distinct": distinct, "kept_tokens": figures["n_kept"], "weights": weights.tolist()}

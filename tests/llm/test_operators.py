@@ -309,42 +309,92 @@ def test_language_model(spark, corpus):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_probabilities_sum_to_one(spark, monkeypatch):
-    """All one-word continuations of a context, the unknown word once: their probabilities are 1 together."""
-    rows = [(i, t, "", "", 0) for i, t in enumerate(["a b a c", "a b", "b a d", "c c c a", "a b e", "d a b"] * 5)]
-    known = ["a", "b", "c", "d", "e"]
-    asked = [(100 + k, f"a {w}", "", "", 0) for k, w in enumerate([*known, "new"])] + [(99, "a", "", "", 0)]
-    for vocabulary in (50, 2, 0):
-        scores, _ = lm.score_texts(docs(spark, rows + asked), F.col("doc_id") < 50, vocabulary=vocabulary)
-        s = {r["doc_id"]: r["score"] for r in scores.where("doc_id >= 99").collect()}
-        # P(a w end) / P(end | w) isn't at hand, so compare whole texts: "a end" and "a w end" over P(w end | a).
-        assert all(math.isfinite(x) and x < 0 for x in s.values())
-    p = brute_lm([t for _, t, *_ in rows], vocabulary=50)
-    scores, model = lm.score_texts(docs(spark, rows + asked), F.col("doc_id") < 50, vocabulary=50)
-    for r in scores.collect():
-        text = next(t for i, t, *_ in rows + asked if i == r["doc_id"])
-        assert r["score"] == pytest.approx(p(text, model), abs=1e-6)
-
-
-def brute_lm(train, vocabulary):
-    tokens = [[*words(t), None] for t in train]
+def brute_lm(spark, train):
+    """A deleted-interpolation model of (id, text) in plain Python, its weights learned here: text -> score, and P(b after a)."""
+    hashed = spark.createDataFrame(train, "doc_id long, text string").select("doc_id", F.pmod(F.xxhash64("doc_id", "text", F.lit("deleted")), F.lit(lm.DELETED)).alias("h"))
+    deleted = {r["doc_id"] for r in hashed.collect() if r["h"] == 0}
+    tokens = {i: [*words(t), None] for i, t in train}
+    bigrams = lambda ts: zip([None, *ts[:-1]], ts, strict=True)
+    c = Counter(w for ts in tokens.values() for w in ts)
+    kept = Counter(w for i, ts in tokens.items() if i not in deleted for w in ts)
+    pairs, kept_pairs = (Counter(p for i, ts in tokens.items() if every or i not in deleted for p in bigrams(ts)) for every in (True, False))
+    out = Counter(p for i in deleted for p in bigrams(tokens[i]))
+    bucket = lambda n: 0 if not n else int(math.log2(n)) + 1
+    parts = lambda a, b, c, p: (p[a, b] / max(c[a], 1), c[b] / max(sum(c.values()), 1), 1 / (len(tally) + 1))
+    tally = c
+    seen = {p: (bucket(kept[p[0]]), parts(*p, kept, kept_pairs)) for p in out}
+    weights = {b: [1 / 3] * 3 if b else [0, 0.5, 0.5] for b in range(lm.BUCKETS)}
+    for _ in range(3000):
+        sums = {b: [0.0] * 3 for b in weights}
+        for p, n in out.items():
+            b, f = seen[p]
+            whole = sum(w * x for w, x in zip(weights[b], f, strict=True))
+            for k in range(3):
+                sums[b][k] += n * weights[b][k] * f[k] / whole
+        pooled = [sum(s[k] for s in sums.values()) for k in range(3)]
+        for b, s in sums.items():
+            s = s if sum(s) else (pooled if b else [0, *pooled[1:]])
+            if sum(s):
+                weights[b] = [x / sum(s) for x in s]
+
+    def p(a, b):
+        return sum(w * x for w, x in zip(weights[bucket(c[a])], parts(a, b, c, pairs), strict=True))
+
+    return (lambda text: sum(math.log10(p(a, b)) for a, b in bigrams([*words(text), None]))), p, c
+
+
+def test_scores_are_those_of_a_brute_model(spark, monkeypatch):
+    """Weights learned apart, frequent and rare words, unknown words and contexts, blocks and groups smaller than the corpus."""
+    monkeypatch.setattr(lm, "BLOCK", 60)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 64)
+    monkeypatch.setattr(lm, "MOVES", 1e-10)
+    monkeypatch.setattr(lm, "ROUNDS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 30)) if x < 500)) for i in range(120)]
+    asked = [(1000, "w1 w2 w1"), (1001, "new w1 newer newest w2"), (1002, None), (1003, "w3 " * 200)]
+    score, p, c = brute_lm(spark, rows)
+    scores, model = lm.score_texts(docs(spark, [(i, t, "", "", 0) for i, t in rows + asked]), F.col("doc_id") < 1000)
+    got = by_id(scores)
+    assert len(got) == len(rows) + len(asked)
+    for i, text in rows + asked:
+        assert got[i]["score"] == pytest.approx(score(text), abs=2e-3 * got[i]["n_tokens"])
+    assert (model["train_tokens"], model["distinct"]) == (sum(c.values()), len(c))
+
+
+def test_probabilities_sum_to_one(spark):
+    """After every context, seen or not, all training words, the end and one place for all other words are 1 together."""
+    rows = [(i, t) for i, t in enumerate(["a b a c", "a b", "b a d", "c c c a", "a b e", "d a b", ""] * 5)]
+    _, model = lm.score_texts(docs(spark, [(i, t, "", "", 0) for i, t in rows]), F.lit(True))
+    tokens = [[*words(t), None] for _, t in rows]
     c = Counter(w for ts in tokens for w in ts)
-    pairs = Counter((a, b) for ts in tokens for a, b in zip([None, *ts[:-1]], ts, strict=True))
+    pairs = Counter(p for ts in tokens for p in zip([None, *ts[:-1]], ts, strict=True))
+    weights = np.array(model["weights"])
+    for a in [*c, "unknown"]:
+        all_ = [lm.probability(weights, np.array([pairs[a, b]]), np.array([c[a]]), np.array([c[b]]), model["train_tokens"], model["distinct"])[0] for b in [*c, "unknown"]]
+        assert sum(all_) == pytest.approx(1, abs=1e-9) and min(all_) > 0
 
-    def score(text, model):
-        classes, own, total = model["classes"], model["own_weight"], sum(c.values())
-        weights, ts, out = model["weights"], [*words(text), None], 0.0
-        for a, b in zip([None, *ts[:-1]], ts, strict=True):
-            weight = weights[int(math.log2(c[a] + 1))] if c[a] else weights[0]
-            single = own * c[b] / total + (1 - own) / classes
-            out += math.log10(weight * pairs[a, b] / max(c[a], 1) + (1 - weight) * single)
-        return out
 
-    return score
+def test_weights_are_the_likeliest(spark):
+    """No small move of a bucket's weights makes the deleted counts likelier."""
+    rng = np.random.default_rng(1)
+    rows = [(int(b), int(min(b, p)), int(n), int(m)) for b, p, n, m in zip(rng.integers(0, 40, 300), rng.integers(0, 9, 300), rng.integers(0, 50, 300), rng.integers(1, 5, 300), strict=True)]
+    weights = lm.learn_weights(spark.createDataFrame(rows, "before long, pair long, count long, n long"), 1000, 99)
+    b, p, c, n = (np.array(x) for x in zip(*rows, strict=True))
+    likely = lambda w: float((n * np.log(lm.probability(w, p, b, c, 1000, 99))).sum())
+    for k in set(lm.bucket_of(b).tolist()):
+        for i, j in ((0, 1), (1, 2), (2, 0)):
+            moved = weights.copy()
+            step = min(0.02, moved[k, i] * 0.9)
+            if k or 0 not in (i, j):
+                moved[k, i] -= step
+                moved[k, j] += step
+                assert likely(moved) <= likely(weights) + 1e-2
+    assert (weights[0, 0], weights.sum(1).round(9).tolist()) == (0, [1.0] * lm.BUCKETS)
 
 
 def test_language_model_odd_rows(spark):
-    scores, model = lm.score_texts(docs(spark, ODD), F.lit(True))
+    clash = docs(spark, ODD).withColumn("fold", F.lit("own")).withColumn("held_out", F.lit(1)).withColumn("block", F.lit(2))
+    scores, model = lm.score_texts(clash, F.lit(True))
     assert scores.count() == len(ODD) and model["train_tokens"] == sum(len(words(r[1])) + 1 for r in ODD)
     none, model = lm.score_texts(docs(spark, ODD), F.lit(False))
     assert model["train_tokens"] == 0 and {r["n_known"] for r in none.collect()} == {0}
@@ -356,23 +406,9 @@ def test_language_model_of_many_equally_rare_words(spark):
     rows = [(i, " ".join(f"w{(i * 150 + j) % 60_000}" for j in range(300)), "", "", 0) for i in range(400)]
     asked = [(1000, "w7 w8 w9", "", "", 0), (1001, "w7 w9 new w8", "", "", 0)]
     scores, model = lm.score_texts(docs(spark, rows + asked), F.col("doc_id") < 1000)
-    assert (model["distinct"], model["classes"]) == (60_001, 60_002)
-    p, got = brute_lm([t for _, t, *_ in rows], vocabulary=None), by_id(scores)
-    for i, text, *_ in [*rows[:20], *asked]:
-        assert got[i]["score"] == pytest.approx(p(text, model), abs=1e-6)
-    assert got[1000]["n_known"] == 4 and got[1001]["n_known"] == 4
-
-
-def test_vocabulary_is_filled_where_counts_tie(spark):
-    rows = [(i, "a b c d e f", "", "", 0) for i in range(30)]
-    for vocabulary, expected in ((0, 2), (4, 6), (6, 8), (50, 8)):
-        scores, model = lm.score_texts(docs(spark, [*rows, (99, "", "", "", 0)]), F.col("doc_id") < 50, vocabulary=vocabulary)
-        assert model["classes"] == expected
-    # Rare words: the class by its bigrams, the word by its count within the class.
-    scores, model = lm.score_texts(docs(spark, [*rows, (99, "a new", "", "", 0)]), F.col("doc_id") < 50, vocabulary=0)
-    p = brute_lm([" ".join(["rare"] * 6)] * 30, vocabulary=None)
-    expected = p("rare rare", model) + math.log10(31 / 187) + math.log10(1 / 187)
-    assert by_id(scores)[99]["score"] == pytest.approx(expected, abs=1e-6)
+    assert model["distinct"] == 60_001
+    got = by_id(scores)
+    assert got[1000]["n_known"] == 4 and got[1001]["n_known"] == 4 and got[1000]["score"] > got[1001]["score"] + 3
 
 
 # ---------------------------------------------------------------- op7
