@@ -39,6 +39,13 @@ def sql_crc32(text: str) -> str:
     return f"xor({reduced}, 4294967295::BIGINT)"
 
 
+def sql_put(table: str, groups: str) -> str:
+    """A recursive step: the next of ``groups`` (k, grp, m) goes to the first shard of those with most room, if that is enough (else -1)."""
+    top, spot = "list_max(p.room)", "list_position(p.room, list_max(p.room))"
+    room = f"CASE WHEN {top} >= g.m THEN list_transform(p.room, lambda r, i: CASE WHEN i = {spot} THEN r - g.m ELSE r END) ELSE p.room END"
+    return f"SELECT p.k + 1, {room}, g.grp, CASE WHEN {top} >= g.m THEN {spot} - 1 ELSE -1 END FROM {table} p JOIN {groups} g ON g.k = p.k + 1"
+
+
 def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -109,21 +116,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "op10_interleaved_shards",
     f"""
-    WITH {SQL_CRC}, docs AS (SELECT doc_id, source, text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+    WITH RECURSIVE {SQL_CRC}, docs AS (SELECT doc_id, source, text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
                          CASE WHEN text IS NULL THEN 0 ELSE {sql_crc32("coalesce(text, '')")} END AS text_crc32,
                          coalesce(md5(text), 'null') AS grp, md5('2024:' || coalesce(doc_id::VARCHAR, 'null')) AS mix FROM documents, crc),
          ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY mix, doc_id, grp) - 1 + 0.5::DOUBLE)
                               / (count(*) OVER (PARTITION BY source))::DOUBLE AS fraction, count(*) OVER () AS n FROM docs),
          placed AS (SELECT *, row_number() OVER (ORDER BY fraction, mix, doc_id, grp) - 1 AS pos FROM ranked),
-         groups AS (SELECT grp, count(*) AS m, min(pos) AS first, ((min(pos) + 1) * 16 - 1) // any_value(n) AS shard, any_value(n) AS n
-                    FROM placed GROUP BY grp HAVING count(*) > 1),
-         fitting AS (SELECT *, (shard + 1) * n // 16 - shard * n // 16 AS target FROM groups),
-         filled AS (SELECT *, sum(m) OVER (PARTITION BY shard ORDER BY first) AS upto FROM fitting WHERE m <= target),
-         whole AS (SELECT grp, m, shard FROM filled WHERE upto <= target),
-         total AS (SELECT max(n) AS n FROM placed),
-         free AS (SELECT s, (s + 1) * n // 16 - s * n // 16 - coalesce((SELECT sum(m) FROM whole WHERE shard = s), 0) AS f
-                  FROM range(16) t(s), total),
-         ends AS (SELECT s, sum(f) OVER (ORDER BY s) AS e FROM free),
+         groups AS (SELECT grp, count(*) AS m, min(pos) AS first, any_value(n) AS n FROM placed GROUP BY grp HAVING count(*) > 1),
+         big AS (SELECT grp, m, row_number() OVER (ORDER BY m DESC, first) AS k FROM groups WHERE m * 16 > n // 16 AND m <= (n + 15) // 16),
+         big_put AS (SELECT 0::BIGINT AS k, (SELECT list((s + 1) * n // 16 - s * n // 16 ORDER BY s) FROM range(16) t(s), (SELECT count(*) AS n FROM docs)) AS room,
+                            NULL::VARCHAR AS grp, -1::BIGINT AS shard
+                     UNION ALL {sql_put("big_put", "big")}),
+         rooms AS (SELECT s, room[s + 1] AS r, sum(room[s + 1]) OVER (ORDER BY s) AS e, sum(room[s + 1]) OVER () AS total
+                   FROM range(16) t(s), (SELECT room FROM big_put ORDER BY k DESC LIMIT 1)),
+         laid AS (SELECT grp, m, first, coalesce(sum(m) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, sum(m) OVER () AS total
+                  FROM groups WHERE m * 16 <= n // 16),
+         small AS (SELECT grp, m, first, (SELECT count(*) FROM rooms WHERE floor(upto::DOUBLE / laid.total::DOUBLE * rooms.total::DOUBLE) >= e) AS shard FROM laid),
+         tried AS (SELECT grp, m, first, shard, sum(m) OVER (PARTITION BY shard ORDER BY first) <= r AS fits FROM small JOIN rooms ON s = shard),
+         late AS (SELECT grp, m, row_number() OVER (ORDER BY m DESC, first) AS k FROM tried WHERE NOT fits),
+         late_put AS (SELECT 0::BIGINT AS k, (SELECT list(r - coalesce((SELECT sum(m) FROM tried WHERE shard = s AND fits), 0)::BIGINT ORDER BY s) FROM rooms) AS room,
+                             NULL::VARCHAR AS grp, -1::BIGINT AS shard
+                      UNION ALL {sql_put("late_put", "late")}),
+         whole AS (SELECT grp, shard FROM big_put WHERE shard >= 0 UNION ALL SELECT grp, shard FROM late_put WHERE shard >= 0
+                   UNION ALL SELECT grp, shard FROM tried WHERE fits),
+         ends AS (SELECT s, sum(room[s + 1]) OVER (ORDER BY s) AS e FROM range(16) t(s), (SELECT room FROM late_put ORDER BY k DESC LIMIT 1)),
          single AS (SELECT p.*, row_number() OVER (ORDER BY pos) - 1 AS q FROM placed p WHERE grp NOT IN (SELECT grp FROM whole)),
          dealt AS (SELECT doc_id, source, size, text_crc32, pos, (SELECT count(*) FROM ends WHERE q >= e) AS shard FROM single
                    UNION ALL SELECT doc_id, source, size, text_crc32, pos, w.shard FROM placed p JOIN whole w USING (grp))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import exact_cumsum, exact_rank, stored
 
 #: Rows that one sorted bucket holds on average.
 BUCKET_ROWS = 50_000
+#: A group of more than one BIG-th of a shard's rows is big. There are fewer than BIG + 1 big groups for each shard.
+BIG = 16
 
 
 def _buckets(n: int) -> int:
@@ -16,6 +20,21 @@ def _buckets(n: int) -> int:
     return min(65_536, max(256, 1 << (max(1, n // BUCKET_ROWS) - 1).bit_length()))
 
 
+def past(at: Column, ends: list[int]) -> Column:
+    """How many of the ends a place has reached: the shard it lies in."""
+    return sum((F.when(at >= F.lit(end), 1).otherwise(0) for end in ends), F.lit(0)).cast("int")
+
+
+def most_room_first(groups: DataFrame, rooms: list[int], name: str) -> tuple[DataFrame, list[int]]:
+    """Few groups (group, m, first), largest first, each put whole where most room is: (group, shard) of those that fit, and the rooms left."""
+    row = groups.agg(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "first", "group"))).alias("g"))
+    start = f"named_struct('room', array({', '.join(f'{r}L' for r in rooms)}), 'out', cast(array() AS array<struct<group:string,shard:int>>))"
+    spot = "int(array_position(acc.room, array_max(acc.room))) - 1"
+    moved = f"named_struct('room', transform(acc.room, (r, i) -> if(i = {spot}, r + x.m, r)), 'out', concat(acc.out, array(named_struct('group', x.group, 'shard', {spot}))))"
+    done = stored(row.select(F.expr(f"aggregate(g, {start}, (acc, x) -> if(array_max(acc.room) >= -x.m, {moved}, acc))").alias("d")).select("d.*"), name)
+    return done.select(F.inline("out")), done.first()["room"]
+
+
 def interleave(
     docs: DataFrame, n_shards: int = 16, seed: int = 2024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
@@ -23,9 +42,12 @@ def interleave(
 
     Rows are shuffled by md5(seed:id) and ranked within their source; sorted by the fractional rank
     (rank + 0.5) / rows of the source they interleave all sources in proportion, and the order is cut into
-    equal runs. Rows of equal text form a group. A group goes whole to the shard of its first row as long as
-    the groups of that shard fit its row count; single rows then fill all shards to their exact counts in
-    interleaved order. A group that can't fit one shard is dealt like single rows.
+    runs. Rows of equal text form a group, which stays whole in one shard. Big groups (of more than a
+    BIG-th of a shard) are placed first, the largest first, each where most room is. The other groups are laid
+    out in interleaved order over the room that is left, so that each shard gets its share of them; a group
+    that reaches beyond its shard's room (one a shard at most) goes where most room is then. Only groups that
+    have no room anywhere, as those larger than a shard, are dealt row by row like single rows, which fill all
+    shards to their exact counts in interleaved order.
 
     Nulls: a null text has size 1 and crc 0 and is equal to other null texts only; null sources are one
     source of their own; null ids shuffle as the text ``null``. Repeated rows are rows of one group. An
@@ -53,25 +75,26 @@ def interleave(
     rows = exact_rank(rows, [], "part", [F.col("fraction"), F.col("mix"), *tie], "pos")
     rows = stored(rows.drop("mix", "part", "stratum", "fraction", "pos_total"), "interleave")
 
-    cut = lambda pos: F.expr(f"int((({pos} + 1L) * {n_shards}L - 1L) div {span}L)")
     part = lambda pos: F.expr(f"({pos} * {parts}L) div {span}L")
     targets = [(s + 1) * n // n_shards - s * n // n_shards for s in range(n_shards)]
-    target = F.get(F.array(*map(F.lit, targets)), F.col("shard"))
-    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("first")).where("m > 1")
-    groups = groups.withColumn("shard", cut("first")).where(F.col("m") <= target).withColumn("part", part("first"))
-    groups = exact_cumsum(groups, ["shard"], "part", [F.col("first")], F.col("m"), "filled")
-    groups = stored(groups.where(F.col("filled") + F.col("m") <= target).select("group", "m", "shard"), "groups")
-
-    taken = {r["shard"]: r["m"] for r in groups.groupBy("shard").agg(F.sum("m").alias("m")).collect()}
-    ends, free = [], 0
-    for s, most in enumerate(targets):
-        free += most - taken.get(s, 0)
-        ends.append(free)
-    joined = rows.join(groups.drop("m"), "group", "left")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("shard"))
+    groups = stored(rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("first")).where("m > 1"), "groups")
+    big, rooms = most_room_first(groups.where((F.col("m") * BIG > n // n_shards) & (F.col("m") <= max(targets))), targets, "big")
+    small = groups.where(F.col("m") * BIG <= n // n_shards).withColumn("part", part("first"))
+    small = exact_cumsum(small, [], "part", [F.col("first")], F.col("m"), "at")
+    spread = F.floor(F.col("at") / F.col("at_total") * float(sum(rooms)))
+    small = small.withColumn("shard", past(spread, list(accumulate(rooms))))
+    small = stored(exact_cumsum(small, ["shard"], "part", [F.col("first")], F.col("m"), "filled"), "small")
+    fits = F.col("filled") + F.col("m") <= pick(rooms)
+    taken = {r["shard"]: r["m"] for r in small.where(fits).groupBy("shard").agg(F.sum("m").alias("m")).collect()}
+    late, rooms = most_room_first(small.where(~fits), [r - taken.get(s, 0) for s, r in enumerate(rooms)], "late")
+    groups = big.unionByName(small.where(fits).select("group", "shard")).unionByName(late)
+    ends = list(accumulate(rooms))
+
+    joined = rows.join(groups, "group", "left")
     whole = joined.where("shard is not null").select("doc_id", "size", "source", "text_crc32", "pos", "shard")
     single = exact_rank(joined.where("shard is null").drop("shard").withColumn("part", part("pos")), [], "part", [F.col("pos")], "q")
-    nth = sum((F.when(F.col("q") >= F.lit(end), 1).otherwise(0) for end in ends), F.lit(0))
-    single = single.withColumn("shard", nth.cast("int")).select(*whole.columns)
+    single = single.withColumn("shard", past(F.col("q"), ends)).select(*whole.columns)
     dealt = whole.unionByName(single).withColumn("part", part("pos"))
     dealt = exact_rank(dealt, ["shard"], "part", [F.col("pos")], "slot")
     return dealt.select(
