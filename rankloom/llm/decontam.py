@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import bounded_batches
 
-#: UTF-8 bytes of test items that one automaton holds. A longer test set is cut into several automata, over
-#: which a batch of texts is scanned in turn, so that no task ever holds more than one of them.
-ITEM_BYTES = 16 << 20
+#: UTF-8 bytes of test items that one automaton holds, and that a test set may have at most. A test set of more than
+#: one automaton is scanned for in turn over BUFFER bytes of texts at a time, so that no task holds more than one of them.
+ITEM_BYTES, MOST_BYTES, BUFFER = 16 << 20, 512 << 20, 64 << 20
 
 OUT = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 
@@ -24,77 +26,137 @@ def normal_table() -> bytes:
     return bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in keep else 32 for b in range(256))
 
 
-def scanner(held, window: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds OUT to rows whose column ``at`` is the text in UTF-8. held: broadcast {"items": [(id, text)]}."""
+class Windows:
+    """An Aho-Corasick automaton over the words of test items, and where it finds their windows.
 
-    def automaton():
+    A window of w words of an item holds a whole piece of (w + 1) / 2 words of the item's cut into such pieces,
+    so the automaton has the pieces, each word of an item once, and what it finds is extended to both sides
+    along the item. Items of fewer than w words are pieces of their own.
+    """
+
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         import ahocorasick
 
-        state = held.value
+        table, size = normal_table(), (window + 1) // 2
+        self.window, self.number, self.items = window, {}, []
+        pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, text in items:
+            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in text.translate(table).split())
+            if not words:
+                continue
+            nth = len(self.items)
+            self.items.append((item, array("i", words)))
+            for at in range(0, len(words) - size + 1, size) if len(words) >= window else (0,):
+                pieces.setdefault(words[at : at + size] if len(words) >= window else words, []).append((nth, at))
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for piece, places in pieces.items():
+            self.found.add_word(piece, (len(piece), places))
+        if pieces:
+            self.found.make_automaton()
+
+    def runs(self, words: list[bytes]) -> list[tuple[int, int, int | None]]:
+        """(first word, word after the last, item id) of the passages of a text whose words are all in windows."""
+        if not words or not len(self.found):
+            return []
+        text = tuple(map(self.number.get, words, repeat(0)))
+        done: dict[tuple[int, int], int] = {}
+        out = []
+        for last, (size, places) in self.found.iter(text):
+            start = last + 1 - size
+            for nth, at in places:
+                item, own = self.items[nth]
+                # A run along one item at one offset is found by its first piece.
+                if done.get((nth, start - at), -1) > start:
+                    continue
+                low, high = at, at + size
+                while low and start - at + low and own[low - 1] == text[start - at + low - 1]:
+                    low -= 1
+                while high < len(own) and start - at + high < len(text) and own[high] == text[start - at + high]:
+                    high += 1
+                done[nth, start - at] = start - at + high
+                if high - low >= min(self.window, len(own)):
+                    out.append((start - at + low, start - at + high, item))
+        return out
+
+
+def scanner(held: list, window: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds OUT to rows whose column ``at`` is the text in UTF-8. held: broadcasts {"items": [(id, text)]}, one for each automaton."""
+
+    def automaton(part) -> Windows:
+        state = part.value
+        if len(held) > 1:
+            return Windows(state["items"], window)
         if "built" not in state:
-            table, found = normal_table(), {}
-            for item, text in state["items"]:
-                words = text.translate(table).split()
-                for i in range(max(1, len(words) - window + 1) if words else 0):
-                    part = words[i : i + window]
-                    found.setdefault(b" %b " % b" ".join(part), (len(part), set()))[1].add(item)
-            a = ahocorasick.Automaton()
-            for key, value in found.items():
-                a.add_word(key.decode("latin-1"), value)
-            if found:
-                a.make_automaton()
-            state["built"] = a
+            state["built"] = Windows(state["items"], window)
         return state["built"]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, patterns = normal_table(), automaton()
-        for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for value in batch.column(at):
-                raw = value.as_buffer()
-                flat = bytes(raw).translate(table) if raw is not None else b""
-                words = flat.split()
-                ends = [(e, v) for e, v in patterns.iter(f" {b' '.join(words).decode('latin-1')} ")] if len(patterns) and words else []
-                n_words.append(len(words))
-                if not ends:
-                    n_hit.append(0), items.append([]), spans.append([])
-                    continue
-                # A match ends with the space after its last word: the number of spaces before tells which.
-                sizes = np.fromiter(map(len, words), np.int64, len(words))
-                after = np.cumsum(sizes + 1)
-                last = np.searchsorted(after, [e for e, _ in ends])
-                hit = np.zeros(len(words) + 1, np.int64)
-                np.add.at(hit, last + 1 - [v[0] for _, v in ends], 1)
-                np.add.at(hit, last + 1, -1)
-                hit = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-                # Where hit words stand in the text itself, in UTF-8 bytes.
-                b = np.frombuffer(flat, np.uint8) != 32
-                heads = np.flatnonzero(b & ~np.concatenate([[False], b[:-1]]))
-                cuts = np.flatnonzero(np.diff(hit) > 1)
-                starts, stops = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
-                n_hit.append(len(hit))
-                items.append(sorted({i for _, v in ends for i in v[1] if i is not None}))
-                spans.append([{"start": int(heads[s]), "end": int(heads[e] + sizes[e])} for s, e in zip(starts, stops, strict=True)])
+    def words_of(value: pa.BinaryScalar, table: bytes) -> bytes:
+        raw = value.as_buffer()
+        return bytes(raw).translate(table) if raw is not None else b""
+
+    def result(flat: bytes, runs: list[tuple[int, int, int | None]]) -> tuple[int, int, list[int], list[dict]]:
+        words = flat.split()
+        if not runs:
+            return len(words), 0, [], []
+        hit = np.zeros(len(words) + 1, np.int64)
+        np.add.at(hit, [s for s, _, _ in runs], 1)
+        np.add.at(hit, [e for _, e, _ in runs], -1)
+        hit = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+        # Where hit words stand in the text itself, in UTF-8 bytes.
+        b = np.frombuffer(flat, np.uint8) != 32
+        heads = np.flatnonzero(b & ~np.concatenate([[False], b[:-1]]))
+        cuts = np.flatnonzero(np.diff(hit) > 1)
+        starts, stops = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
+        spans = [{"start": int(heads[s]), "end": int(heads[e]) + len(words[e])} for s, e in zip(starts, stops, strict=True)]
+        return len(words), len(hit), sorted({i for _, _, i in runs if i is not None}), spans
+
+    def scanned(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = normal_table()
+        runs: list[list] = [[[] for _ in range(b.num_rows)] for b in batches]
+        for part in held:
+            patterns = automaton(part)
+            for batch, found in zip(batches, runs, strict=True):
+                for value, r in zip(batch.column(at), found, strict=True):
+                    r += patterns.runs(words_of(value, table).split())
+        for batch, found in zip(batches, runs, strict=True):
+            n_words, n_hit, items, spans = zip(*(result(words_of(v, table), r) for v, r in zip(batch.column(at), found, strict=True)), strict=True)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, kind)]
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *cols], names=[*(batch.schema.names[i] for i in rest), "n_words", "n_hit", "items", "spans"])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = BUFFER if len(held) > 1 else 0
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.column(at).nbytes
+            if size > most:
+                yield from scanned(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from scanned(waiting)
+
     return scan
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int | None, bytes]]]:
-    """The test items in blocks of ITEM_BYTES, streamed to the driver a partition at a time."""
-    blocks: list[list[tuple[int | None, bytes]]] = [[]]
-    size = 0
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The test items in blocks of ITEM_BYTES or of one longer item, of which the driver holds one at a time; at least one block."""
     rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
+    total = rows.select(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"A test set of {total} bytes is over the {MOST_BYTES} that are broadcast; give it in parts.")
+    block: list[tuple[int | None, bytes]] = []
+    size = 0
     for r in rows.toLocalIterator():
-        if size > ITEM_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], bytes(r["t"])))
+        if block and size + len(r["t"]) > ITEM_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], bytes(r["t"])))
         size += len(r["t"])
-    return blocks
+    yield block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -105,11 +167,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     window is hit; spans are the hit passages of the original text as UTF-8 byte offsets. Contaminated: some
     word is hit and at least ``percent`` % of the words are.
 
-    A test set is a fixed list that doesn't grow with the corpus: its size is checked as it is read, and
-    one over ITEM_BYTES goes in several blocks, whose hits are merged by position; the corpus is never
-    shuffled, except to merge blocks. Null texts and texts without words have no words and no hits. Items
-    without words match nothing; items with a null id count as hits but aren't listed. Rows are kept apart,
-    repeated ids too. Kept columns that are named like a result are replaced.
+    A test set is a fixed list that doesn't grow with the corpus: its size is checked before it is read, and one
+    over MOST_BYTES is refused. Up to ITEM_BYTES it is one automaton; a larger one is several, whose finds are
+    joined word by word, so the result doesn't depend on how items are cut. The corpus is never shuffled. Null
+    texts and texts without words have no words and no hits. Items without words match nothing; items with a null
+    id count as hits but aren't listed; repeated ids are listed once. Rows are kept apart, repeated ids too. An
+    empty table gives no rows. Kept columns that are named like a result are replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -117,38 +180,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     keep = [c for c in ([id_col] if keep is None else keep) if c not in own]
     docs = docs.select(*keep, F.col(text_col).cast("binary").alias("__scanned"))
     schema = "".join(f"`{c}` {t}, " for c, t in docs.drop("__scanned").dtypes) + OUT
-    parts = [spark.sparkContext.broadcast({"items": p}) for p in item_blocks(benchmark, item_col, item_text_col)]
-    out = docs.mapInArrow(scanner(parts[0], window, len(keep)) if len(parts) == 1 else merger(parts, window, len(keep)), schema)
+    parts = [spark.sparkContext.broadcast({"items": block}) for block in item_blocks(benchmark, item_col, item_text_col)]
+    out = docs.mapInArrow(scanner(parts, window, len(keep)), schema)
     over = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", over)
-
-
-def merger(held: list, window: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """As ``scanner``, for items in several blocks: rows are scanned with one block's automaton after another's."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = normal_table()
-        for batch in batches:
-            each = []
-            for h in held:
-                each.append(next(scanner(h, window, at)(iter([batch]))))
-                h.value.pop("built", None)
-            found_by_row = zip(*(x.select(["items", "spans"]).to_pylist() for x in each), strict=True)
-            n_hit, items, spans = [], [], []
-            for value, found in zip(batch.column(at), found_by_row, strict=True):
-                flat = (value.as_py() or b"").translate(table)
-                mark = np.zeros(len(flat) + 1, np.int64)
-                for s in (s for f in found for s in f["spans"]):
-                    mark[s["start"]] += 1
-                    mark[s["end"]] -= 1
-                b = np.frombuffer(flat, np.uint8) != 32
-                heads = np.flatnonzero(b & ~np.concatenate([[False], b])[: len(b)])
-                n_hit.append(int((np.cumsum(mark)[heads] > 0).sum()))
-                items.append(sorted({i for f in found for i in f["items"]}))
-                spans.append(sorted((s for f in found for s in f["spans"]), key=lambda s: (s["start"], s["end"])))
-            new = {"n_hit": n_hit, "items": items, "spans": spans}
-            kinds = each[0].schema
-            cols = [pa.array(new[f.name], f.type) if f.name in new else each[0].column(f.name) for f in kinds]
-            yield pa.RecordBatch.from_arrays(cols, names=kinds.names)
-
-    return scan

@@ -450,15 +450,53 @@ def test_languages_of_odd_rows(spark):
 @pytest.mark.parametrize("bytes_", [1 << 20, 10])
 def test_windows(spark, monkeypatch, bytes_):
     monkeypatch.setattr(decontam, "ITEM_BYTES", bytes_)
-    items = [(1, "One two, THREE"), (2, " ".join(f"w{i}" for i in range(15))), (3, "two three"), (4, None), (5, "!!"), (None, "zed")]
+    items = [(1, "One two, THREE"), (2, " ".join(f"w{i}" for i in range(15))), (3, "two three"), (4, None), (5, "!!"), (None, "zed"), (1, "one two three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    texts = {1: "x one  TWO-three y", 2: " ".join(f"w{i}" for i in range(1, 14)), 3: "one two thre", 4: "", 5: None, 6: "zed é w1", 7: "w2 " * 400 + "two three"}
+    texts = {1: "x one  TWO-three y", 2: " ".join(f"w{i}" for i in range(1, 14)), 3: "one two thre", 4: "", 5: None, 6: "zed é w1", 7: "w2 " * 40_000 + "two three"}
     df = docs(spark, [(i, t, "", "", 0) for i, t in texts.items()]).withColumn("items", F.lit(0))
     got = {i: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for i, r in by_id(decontam.find_contamination(df, bench, keep=["doc_id", "items"])).items()}
-    assert got == {1: (5, 3, [1, 3], True), 2: (13, 13, [2], True), 3: (3, 0, [], False), 4: (0, 0, [], False), 5: (0, 0, [], False), 6: (3, 1, [], True), 7: (402, 2, [3], False)}
+    assert got == {1: (5, 3, [1, 3], True), 2: (13, 13, [2], True), 3: (3, 0, [], False), 4: (0, 0, [], False), 5: (0, 0, [], False), 6: (3, 1, [], True), 7: (40_002, 2, [3], False)}
     spans = by_id(decontam.find_contamination(df, bench))[1]["spans"]
-    assert {texts[1].encode()[s["start"] : s["end"]] for s in spans} >= {b"one  TWO-three"}
+    assert [texts[1].encode()[s["start"] : s["end"]] for s in spans] == [b"one  TWO-three"]
     assert decontam.find_contamination(df, bench.limit(0)).where("contaminated").count() == 0 and decontam.find_contamination(df.limit(0), bench).count() == 0
+    monkeypatch.setattr(decontam, "MOST_BYTES", 20)
+    with pytest.raises(ValueError, match="in parts"):
+        decontam.find_contamination(df, bench)
+
+
+def brute_windows(text, items, window):
+    """Hit words and found items of a text, window by window."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+    w, hit, found = split(text), set(), set()
+    for i, t in items:
+        own = split(t)
+        n = min(len(own), window)
+        for at in range(len(own) - n + 1 if own else 0):
+            for p in range(len(w) - n + 1):
+                if w[p : p + n] == own[at : at + n]:
+                    hit |= set(range(p, p + n))
+                    found.add(i)
+    return len(w), hit, sorted(found)
+
+
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abc-"), max_size=40), st.integers(1, 6))
+@settings(max_examples=300, deadline=None)
+def test_windows_are_those_of_brute_force(items, text, window):
+    items = [(i, " ".join(t)) for i, t in enumerate(items)]
+    n, hit, found = brute_windows(" ".join(text), items, window)
+    runs = decontam.Windows([(i, t.encode()) for i, t in items], window).runs(" ".join(text).replace("-", " ").encode().split())
+    assert ({p for s, e, _ in runs for p in range(s, e)}, sorted({i for _, _, i in runs})) == (hit, found)
+
+
+def test_output_does_not_depend_on_the_cut_of_items(spark, corpus, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    df = docs(spark, [(i, t, "", "", 0) for i, t, _ in corpus])
+    one = sorted(map(str, decontam.find_contamination(df, items).collect()))
+    total = sum(len(r["text"].encode()) for r in items.collect())
+    for parts in (2, 5):
+        monkeypatch.setattr(decontam, "ITEM_BYTES", -(-total // parts))
+        assert len(list(decontam.item_blocks(items, "item_id", "text"))) >= parts
+        assert sorted(map(str, decontam.find_contamination(df, items).collect())) == one
 
 
 # ---------------------------------------------------------------- op9
