@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,11 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bounded_batches
 from rankloom.llm.textvec import blocks, text_bytes
 
-#: Bound of what is learned from: documents a language, and characters a language.
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 24_000
-#: Letters of the sample with a class of their own; rarer ones share FOLDED classes.
-LETTERS, FOLDED = 160, 64
-#: Characters parsed in one go; a phrase ends there at the latest.
-PIECE = 1024
-BREAK = np.int32(1 << 30)
+#: Bound of what is learned from: whole labelled documents a language, fewer as soon as they have SAMPLE_CHARS characters.
+#: Documents of more than ROW_CHARS are taken only where a language has too few others.
+SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 20, 100_000, 10_000
+#: Characters of a text that are parsed side by side with others; what pieces begin with is parsed again from where the one before ended.
+PIECE = 512
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -51,70 +51,134 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def packed(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place for each state, no two the same, and one array of transitions: that of the state at place p by a letter
+    (below ``width``) is at p + letter, if the upper half of the entry is p; the lower half is the next state's place.
+
+    States of several letters try places drawn at random, those of most letters first; the others fill the gaps.
+    """
+    edges = sum(map(len, step))
+    size = 2 * max(edges, len(step)) + 2 * width
+    draw = Random(edges)
+    used, taken, place = bytearray(size), bytearray(size), [0] * len(step)
+    for s in sorted(range(len(step)), key=lambda s: -len(step[s])):
+        letters = tuple(step[s])
+        at = draw.randrange(size - width)
+        while taken[at] or any(used[at + c] for c in letters):
+            at = draw.randrange(size - width)
+        place[s], taken[at] = at, 1
+        for c in letters:
+            used[at + c] = 1
+    table, places = np.full(size, -1, np.int64), np.array(place, np.int64)
+    owner = np.repeat(places, [len(x) for x in step])
+    target = places[np.fromiter((t for x in step for t in x.values()), np.int64, edges)]
+    table[owner + np.fromiter((c for x in step for c in x), np.int64, edges)] = owner << 32 | target
+    return places, table
+
+
+@cache
+def lower_letters() -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all letters, and of their lower-case forms (the first, if it has several)."""
+    points = [cp for cp in range(0x110000) if chr(cp).isalpha()]
+    return np.array(points), np.array([ord(chr(cp).lower()[0]) for cp in points])
+
+
 def build(samples: dict[str, str]) -> dict:
-    """Letter classes and one table of all languages' automata: entry (state, class) is the next state's place,
-    with BREAK set where a phrase ends before that character."""
-    letters: dict[str, int] = {}
-    for text in samples.values():
-        for ch in text.lower():
-            if ch.isalpha():
-                letters[ch] = letters.get(ch, 0) + 1
-    ranked = sorted(letters, key=lambda ch: (-letters[ch], ch))
-    # Class 0 is anything but a letter; the class after all others is a letter that no sample has.
-    number = {ch: 1 + (i if i < LETTERS else LETTERS + ord(ch) % FOLDED) for i, ch in enumerate(ranked)}
-    width = max([0, *number.values()]) + 2
-    classes = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        ch = chr(cp)
-        if ch.isalpha():
-            classes[cp] = number.get(ch.lower()[:1], width - 1)
-    names, tables, starts, logs, base = sorted(samples), [], [], [], 0
+    """The automata of all languages as one: the number of each letter (0: no letter, last: in no sample), of all states
+    where their transitions lie, and of each language where every letter leads from its beginning. State 0 leads nowhere."""
+    letters = sorted({low for text in samples.values() for ch in text if ch.isalpha() and (low := ch.lower()[:1])})
+    width = len(letters) + 2
+    of = np.full(0x110000, width - 1, np.int32)
+    of[[ord(ch) for ch in letters]] = range(1, width - 1)
+    points, lower = lower_letters()
+    classes = np.zeros(0x110000, np.int32)
+    classes[points] = of[lower]
+    names, logs = sorted(samples), []
+    # The state at place 0 has no transitions.
+    tables, roots, size = [np.full(width, -1, np.int64)], [], width
     for name in names:
         codes = classes[np.frombuffer(samples[name].encode("utf-32-le", "replace"), np.uint32)]
         codes = codes[(codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)]
         step = suffix_automaton(codes.tolist())
-        table = np.full((len(step), width), -1, np.int32)
-        for s, to in enumerate(step):
-            for c, t in to.items():
-                table[s, c] = t
-        root = np.where(table[0] < 0, 0, table[0])
-        table = np.where(table < 0, root[None] * width + base + int(BREAK), table * width + base)
-        tables.append(table.astype(np.int32, copy=False).reshape(-1))
-        starts.append(base)
+        places, table = packed(step, width)
+        root = np.zeros(width, np.int64)
+        root[list(step[0])] = places[list(step[0].values())] + size
+        roots.append(root)
+        tables.append(np.where(table >= 0, table + (size << 32 | size), -1))
+        size += len(table)
         logs.append(np.log2(max(2, len(codes))))
-        base += table.size
-    return {"classes": classes, "names": names, "table": np.concatenate(tables) if tables else None, "starts": np.array(starts, np.int32), "logs": np.array(logs)}
+    if size >= 1 << 31:
+        raise ValueError("The samples are too large; learn from fewer characters or languages.")
+    return {"classes": classes, "names": names, "table": np.concatenate(tables), "root": np.array(roots, np.int64).reshape(len(names), width), "logs": np.array(logs)}
 
 
 def parse(model: dict, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Phrases of each text by language (languages x texts): all pieces of all texts are parsed in step."""
-    size = np.diff(off)
+    """Phrases of each text by language (languages x texts), each the longest match from where the one before ends.
+
+    Pieces of all texts are parsed in step, as if a phrase began with each. Then the beginning of each piece is
+    parsed again from where the piece before really ended, until a phrase begins where one began before: from
+    there on both are the same. Where none does, the next piece is parsed again too.
+    """
+    table, root = model["table"], model["root"]
+    n_langs, size = len(root), np.diff(off)
     pieces = -(-size // PIECE)
-    owner = np.repeat(np.arange(len(size)), pieces)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = off[:-1][owner] + nth * PIECE
-    length = np.minimum(PIECE, off[1:][owner] - begin)
-    order = np.argsort(-length, kind="stable")
-    begin, length, owner = begin[order], length[order], owner[order]
-    state = np.repeat(model["starts"][:, None], len(begin), 1)
-    count = np.ones(state.shape, np.int32)
-    table, mask = model["table"], BREAK - 1
-    active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
-    for t, n in enumerate(active):
-        value = table[state[:, :n] + codes[begin[:n] + t]]
-        count[:, :n] += value >> 30
-        state[:, :n] = value & mask
-    return np.stack([np.bincount(owner, row, len(size)) for row in count])
+    text = np.repeat(np.arange(len(size)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = off[:-1][text] + nth * PIECE
+    end = np.minimum(begin + PIECE, off[1:][text])
+
+    def stepped(lang: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        entry = table[state + c]
+        broke = entry >> 32 != state
+        return np.where(broke, root[lang, c], entry & 0xFFFFFFFF), broke
+
+    order = np.argsort(begin - end, kind="stable")
+    lengths = (end - begin)[order]
+    longest = int(lengths.max(initial=0))
+    inside = np.arange(longest)[:, None] < lengths[None]
+    read = np.zeros(inside.shape, codes.dtype)
+    places = (begin[order][None] + np.arange(longest)[:, None])[inside]
+    read[inside] = codes[places]
+    lang = np.arange(n_langs)[:, None]
+    state = np.zeros((n_langs, len(order)), np.int64)
+    ends = np.zeros((longest, n_langs, len(order)), bool)
+    for t, n in enumerate(inside.sum(1).tolist()):
+        state[:, :n], ends[t, :, :n] = stepped(lang, state[:, :n], read[t, :n][None])
+    flags = np.zeros((n_langs, len(codes)), bool)
+    for k in range(n_langs):
+        flags[k, places] = ends[:, k][inside]
+    final = np.zeros_like(state)
+    final[:, order] = state
+
+    lanes = [(x.ravel()) for x in np.meshgrid(np.arange(n_langs), np.flatnonzero(nth > 0), indexing="ij")]
+    while len(lanes[0]):
+        lang, piece = lanes
+        state, at = final[lang, piece - 1], begin[piece].copy()
+        changed: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(lang):
+            state, broke = stepped(lang, state, codes[at])
+            apart = ~(broke & flags[lang, at])
+            lang, piece, state, at, broke = (x[apart] for x in (lang, piece, state, at, broke))
+            flags[lang, at] = broke
+            at = at + 1
+            over = at == end[piece]
+            if over.any():
+                moved = over & (final[lang, piece] != state)
+                final[lang[moved], piece[moved]] = state[moved]
+                changed.append((lang[moved], piece[moved] + 1))
+                lang, piece, state, at = (x[~over] for x in (lang, piece, state, at))
+        lang, piece = (np.concatenate(x) for x in zip(*changed, strict=True)) if changed else (lang, piece)
+        same = piece < len(nth)
+        lang, piece = lang[same], piece[same]
+        lanes = [lang[nth[piece] > 0], piece[nth[piece] > 0]]
+    return np.stack([np.diff(np.concatenate([[0], np.cumsum(f)])[off]) for f in flags])
 
 
 def predictor(held, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds lang_pred and score to rows whose column ``at`` is the text. held: broadcast {"samples": {lang: text}}."""
+    """Adds lang_pred and score to rows whose column ``at`` is the text. held: broadcast of what ``build`` gives."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = held.value
-        if "built" not in state:
-            state["built"] = build(state["samples"])
-        model = state["built"]
+        model = held.value
         for batch in batches:
             data, off = text_bytes(batch.column(at))
             langs: list[str] = []
@@ -124,7 +188,7 @@ def predictor(held, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 points = np.frombuffer(b.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
                 where = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[off[i : j + 1] - off[i]]
                 codes = model["classes"][points]
-                before = np.concatenate([[0], codes[:-1]]).astype(np.uint8)
+                before = np.concatenate([codes[:1] * 0, codes[:-1]])
                 heads = where[:-1][where[:-1] < len(codes)]
                 before[heads] = 0
                 stay = (codes != 0) | (before != 0)
@@ -150,14 +214,19 @@ def predictor(held, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """A bounded sample of labelled text: of each language ``docs`` documents at most, drawn by a hash of their id and text, and ``chars`` characters."""
+    """A bounded sample of labelled text by language: ``docs`` whole documents at most, drawn by a hash of their id and text.
+
+    Documents of more than ROW_CHARS characters come after all others, the shorter first, and no further one is
+    taken once a language has ``chars`` characters. Null texts and languages are left out, as are languages
+    without a letter. Repeated rows may be drawn each.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("mix"), F.substring(F.col(text_col), 1, chars).alias("text"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mix", "text"))).where(F.col("nth") <= docs)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.greatest(F.char_length(text_col), F.lit(ROW_CHARS)).alias("size"), F.xxhash64(id_col, text_col).alias("mix"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("size", "mix", "text"))).where(F.col("nth") <= docs)
     out: dict[str, str] = {}
     for r in rows.orderBy("lang", "nth").toLocalIterator():
         if len(out.setdefault(r["lang"], "")) < chars:
-            out[r["lang"]] = f"{out[r['lang']]} {r['text']}"[:chars]
+            out[r["lang"]] = f"{out[r['lang']]} {r['text']}"
     return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
 
 
@@ -165,14 +234,16 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", k
     """The columns ``keep`` (all but the text) with lang_pred and score.
 
     Text is lower-cased and runs of anything but letters are one space. It is cut greedily into the longest
-    phrases that a language's sample holds (a suffix automaton reads them; pieces of 1,024 characters are
-    parsed in step); phrases * log2(sample length) / length estimates the cross entropy, and the language of
-    the least wins, ties to the first name. score is 1 - least / second least. A null text, or one without
-    a letter, is ``und`` with score 0. Every text is parsed whole. An empty sample makes every text ``und``. Kept columns that are named lang_pred or score are replaced.
+    phrases that a language's sample holds, as its suffix automaton reads them; a letter that the sample lacks is
+    a phrase of its own. Phrases * log2(sample length) / length estimates the cross entropy, and the language of
+    the least wins, ties to the first name. score is 1 - least / second least. A null text, or one without a
+    letter, is ``und`` with score 0. Every text is parsed whole, very long ones too. An empty sample makes every
+    text ``und``; an empty table gives no rows. Repeated rows are kept apart. Kept columns that are named
+    lang_pred or score are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "lang_pred", "score")]
     rows = docs.select(*keep, text_col)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop(text_col).dtypes)
     bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast({"samples": samples})
+    held = docs.sparkSession.sparkContext.broadcast(build(samples))
     return rows.mapInArrow(predictor(held, len(keep)), f"{kinds}, lang_pred string, score double")

@@ -422,18 +422,66 @@ def test_held_out_accuracy(spark, corpus):
     assert rows and right >= 0.95 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_phrases_are_longest_matches():
-    sample = "the cat sat on the mat"
-    model = langid.build({"x": sample})
-    text = "the cat on a mat cats"
-    codes = model["classes"][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+def brute_phrases(text, sample):
+    """Phrases of a text that are the longest found in a sample; a letter that it lacks is one."""
     i = phrases = 0
     while i < len(text):
         n = 1
         while i + n < len(text) and text[i : i + n + 1] in sample:
             n += 1
         phrases, i = phrases + 1, i + n
-    assert langid.parse(model, codes, np.array([0, len(codes)]))[0][0] == phrases
+    return phrases
+
+
+def plain_text(text):
+    """Lower-case letters, all else as single spaces; as the operator reads a text."""
+    return re.sub(" +", " ", "".join(ch.lower()[:1] if ch.isalpha() else " " for ch in text))
+
+
+@given(st.lists(st.text(alphabet="ab c", max_size=60), min_size=1, max_size=4), st.text(alphabet="ab c", max_size=40), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_phrases_are_longest_matches(texts, sample, piece):
+    """Whatever the size of pieces, phrases are those of one parse from the text's beginning."""
+    langid.lower_letters()
+    model = langid.build({"x": sample, "y": "abab ba"})
+    texts = [plain_text(t) for t in texts]
+    codes = model["classes"][np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    was, langid.PIECE = langid.PIECE, piece
+    got = langid.parse(model, codes, np.cumsum([0, *map(len, texts)]))
+    langid.PIECE = was
+    assert got.tolist() == [[brute_phrases(t, plain_text(s).lstrip()) for t in texts] for s in (sample, "abab ba")]
+
+
+def test_predictions_are_those_of_brute_force(spark, corpus):
+    """The query's operators against phrases counted by string search, whole texts of all kinds."""
+    df = docs(spark, [(i, t, lang, "", 0) for i, t, lang in corpus])
+    samples = langid.learn(df.where(queries.fold(4) != 2), docs=3)
+    rows = [*sorted(corpus, key=lambda r: len(r[1] or ""))[:: max(1, len(corpus) // 25)][:25], (-1, "漢字 Ünï 123 \u0130x", "zh"), (-2, None, "en"), (-3, "12 !?", "en")]
+    got = by_id(langid.identify(docs(spark, [(i, t, lang, "", 0) for i, t, lang in rows]), samples))
+    own = {k: plain_text(v).lstrip() for k, v in samples.items()}
+    for i, text, _ in rows:
+        read = plain_text(text or "").lstrip()[:4000]
+        if len(plain_text(text or "")) > 4000:
+            continue
+        if not read.strip():
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        bits = sorted((brute_phrases(read, s) * math.log2(max(2, len(s))), k) for k, s in own.items())
+        assert got[i]["score"] == pytest.approx(1 - bits[0][0] / bits[1][0], abs=1e-9)
+        assert got[i]["lang_pred"] in [k for b, k in bits if b == bits[0][0]]
+
+
+def test_scripts_of_many_letters(spark):
+    """Letters are told apart however many a sample has."""
+    one, two = ("".join(chr(0x4E00 + 3000 * k + (i * 7) % 2000) for i in range(1500)) for k in (0, 1))
+    got = langid.identify(docs(spark, [(1, one[300:400], "", "", 0), (2, two[100:190], "", "", 0)]), {"a": one, "b": two})
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "a", 2: "b"}
+
+
+def test_a_long_row_is_not_the_whole_sample(spark):
+    rows = [(0, "zzzz " * 30_000, "en", "", 0), *[(i, f"own words {i}", "en", "", 0) for i in range(1, 9)], (20, "wort " * 3000, "de", "", 0)]
+    samples = langid.learn(docs(spark, rows), docs=5)
+    assert "zzzz" not in samples["en"] and samples["en"].count("own words") == 5 and len(samples["de"]) == 15_001
 
 
 def test_languages_of_odd_rows(spark):
