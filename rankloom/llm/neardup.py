@@ -15,16 +15,16 @@ from rankloom.llm.textvec import U64, blocks, mix, powers, shingle_hashes, shing
 
 #: MinHash rows of a band, and the chance that a pair of just the least similarity shares no band.
 ROWS, MISS = 4, 4e-7
-#: A sketch folds the least hashes of a set (all of them up to SAMPLES, about that many of a larger set) into BITS parity bits.
-SAMPLES, BITS = 8192, 2048
-#: Standard deviations that the estimated difference of two sketches may be too large by and still be confirmed.
-DEVIATIONS = 6.0
+#: A sketch folds up to SAMPLES MinHash samples, the least hash of each of so many parts of the hash space, into BITS parity bits.
+SAMPLES, BITS = 1024, 2048
+#: Standard deviations that sampling, and that a sketch's estimate, may be off by and a pair still be confirmed.
+DEVIATIONS = 5.0
 #: Members of a bucket compared in one task at once.
 BLOCK = 2048
 #: Bits of the filter that spares texts of uninvolved documents a shuffle; its table has FILTER / 64 rows at most.
 FILTER = 1 << 22
 
-SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, rate int, n_samples int, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, n_samples int, sketch array<long>"
 
 
 def n_bands(percent: int) -> int:
@@ -36,7 +36,7 @@ def signer(k: int, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """(doc_id, text) -> SIGNATURE with ``count`` bands."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
-        + [("bands", pa.list_(pa.int64())), ("rate", pa.int32()), ("n_samples", pa.int32()), ("sketch", pa.list_(pa.int64()))]
+        + [("bands", pa.list_(pa.int64())), ("n_samples", pa.int32()), ("sketch", pa.list_(pa.int64()))]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def signer(k: int, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 full = np.flatnonzero(size)
                 bands = np.zeros((j - i, count), U64)
                 sketch = np.zeros((j - i, BITS), np.uint8)
-                rate, samples = np.zeros(j - i, np.int32), np.zeros(j - i, np.int32)
+                samples = np.zeros(j - i, np.int32)
                 s1, s2 = np.zeros(j - i, U64), np.zeros(j - i, U64)
                 if len(full):
                     u = np.concatenate([sets[d] for d in full])
@@ -61,17 +61,16 @@ def signer(k: int, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     bands[full] = mix((mix(least) * weights).sum(2, dtype=U64) + np.arange(count, dtype=U64))
                     s1[full] = np.add.reduceat(mix(u ^ U64(0xA5A5A5A5)), first)
                     s2[full] = np.add.reduceat(mix(u + U64(0x5851F42D4C957F2D)), first)
-                    # Sets are sorted; of one of more than SAMPLES only hashes below 2^(64 - rate) count.
-                    rate[full] = np.maximum(0, np.ceil(np.log2(size[full] / SAMPLES))).astype(np.int32)
-                    few = u >> (U64(63) - np.repeat(rate[full], size[full]).astype(U64)) <= U64(1)
-                    owner = np.repeat(np.arange(len(full)), size[full])[few]
-                    bit = (mix(u[few] ^ U64(0x2545F4914F6CDD1D)) & U64(BITS - 1)).astype(np.int64)
-                    sketch[full] = (np.bincount(owner * BITS + bit, minlength=len(full) * BITS) & 1).reshape(len(full), BITS)
-                    samples[full] = np.bincount(owner, minlength=len(full))
+                    # Sets are sorted, so the first hash of each part (by its low bits) is the part's least.
+                    part = np.repeat(np.arange(len(full)), size[full]) * SAMPLES + (u & U64(SAMPLES - 1)).astype(np.int64)
+                    part, least_at = np.unique(part, return_index=True)
+                    bit = (mix(u[least_at] ^ U64(0x2545F4914F6CDD1D)) & U64(BITS - 1)).astype(np.int64)
+                    sketch[full] = (np.bincount(part // SAMPLES * BITS + bit, minlength=len(full) * BITS) & 1).reshape(len(full), BITS)
+                    samples[full] = np.bincount(part // SAMPLES, minlength=len(full))
                 packed = np.packbits(sketch, axis=1).view(np.int64)
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands.view(np.int64)), pa.array(rate), pa.array(samples), lists(packed)],
+                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands.view(np.int64)), pa.array(samples), lists(packed)],
                     schema=schema,
                 )
 
@@ -93,35 +92,31 @@ def confirmer(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return confirm
 
 
-def allowed(percent: int) -> float:
-    """The most that two sets of the least similarity differ by, for each element of both."""
-    return (100 - percent) / (100 + percent)
-
-
 def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, node, component, n_shingles, rate, n_samples, sketch), sorted by key -> pairs (a, b) of a key.
+    """Rows (key, node, component, n_shingles, n_samples, sketch), sorted by key -> pairs (a, b) of a key.
 
-    Pairs of different components whose sketches allow the similarity; with ``best`` only each node's best.
+    Pairs of different components whose sketches allow the similarity; with ``best`` only each node's best. A part of
+    the hash space that either of two sets fills holds the same least hash in both with the chance of their
+    similarity, so of the n samples of the one that has more, similarity * n are expected in both.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    like = percent / 100
 
-    def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, rate: np.ndarray, samples: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, samples: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = max(1, BLOCK // 16)
         for lo in range(0, len(node), step):
             rows = slice(lo, lo + step)
             odd = np.zeros((len(node[rows]), len(node)), np.int32)
             for w in range(sketch.shape[1]):
                 odd += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None])
-            both = samples[rows][:, None] + samples[None]
-            most = allowed(percent) * both
-            same = rate[rows][:, None] == rate[None]
+            both, most = samples[rows][:, None] + samples[None], np.maximum(samples[rows][:, None], samples[None])
+            most = both - 2 * (like * most - DEVIATIONS * np.sqrt(most * like * (1 - like)))
             left = np.maximum(1 - 2 * odd / BITS, 1 / BITS)
             apart = -BITS / 2 * np.log(left)
             error = DEVIATIONS * np.sqrt(np.maximum(BITS / 4 * (1 - left**2) - apart * left**2, 0)) / left
-            error += np.where(rate[rows][:, None] > 0, DEVIATIONS * np.sqrt(2 * most), 0)
             small, large = np.minimum(n[rows][:, None], n[None]), np.maximum(n[rows][:, None], n[None])
-            ok = (~same | (apart - error <= most)) & (comp[rows][:, None] != comp[None]) & (100 * small >= percent * large)
-            score = np.where(same, 1 - apart / both, 1.0)
+            ok = (apart - error <= most) & (comp[rows][:, None] != comp[None]) & (100 * small >= percent * large)
+            score = 1 - apart / both
             if best:
                 i = np.flatnonzero(ok.any(1))
                 j = np.where(ok, score, -9)[i].argmax(1)
@@ -140,8 +135,8 @@ def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             key = table.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
             last = len(cuts) - 1 if final else len(cuts) - 2
-            cols = [table.column(c).to_numpy() for c in (1, 2, 3, 4, 5)]
-            flat = table.column(6).combine_chunks().flatten().to_numpy().reshape(len(key), BITS // 64).view(U64)
+            cols = [table.column(c).to_numpy() for c in (1, 2, 3, 4)]
+            flat = table.column(5).combine_chunks().flatten().to_numpy().reshape(len(key), BITS // 64).view(U64)
             found = [p for s, e in zip(cuts[:last], cuts[1 : last + 1], strict=True) for p in pairs(*(c[s:e] for c in cols), flat[s:e])]
             held[:] = [] if final else table.slice(cuts[last]).to_batches()
             if found:
@@ -197,10 +192,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     is linked with nothing. Rows that share a doc_id are one document. Null ids: linked with nothing,
     component_id null, kept.
 
-    One representative stands for all documents of equal sets. Representatives meet in MinHash bands. The
-    members of a band are first tried with two leaders of it; then all pairs of a band that leaders left in
-    different components are estimated by the XOR of their odd sketches, in blocks, first each member's best,
-    then all that remain. Every link is confirmed on full sets. No bucket's pairs are all emitted, none is cut.
+    One representative stands for all documents of equal sets. Representatives meet in MinHash bands; a pair of
+    just the least similarity shares none with the chance MISS. MinHash samples are folded into odd sketches,
+    and the XOR of two estimates how many samples differ; a pair whose estimate is more than DEVIATIONS standard
+    deviations of both sampling and estimate too large is not confirmed. The members of a band are first tried
+    with two leaders of it; then all pairs of a band that leaders left in different components are estimated,
+    in blocks of rows, first each member's best, then all that remain. Every link is confirmed on full sets. No
+    bucket's pairs are all emitted, none is cut; what is estimated grows with the square of those members of
+    a band that no leader joined. Very long texts are one set each; an empty table gives no rows; other
+    columns don't matter.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     copies = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     copies = stored(copies, "copies")
     first = usable.dropDuplicates(["doc_id", "s1", "s2"]).join(copies, ["s1", "s2"]).where("doc_id = node")
-    nodes = stored(first.select("node", "copies", "n_shingles", "rate", "n_samples", "bands", "sketch"), "nodes")
+    nodes = stored(first.select("node", "copies", "n_shingles", "n_samples", "bands", "sketch"), "nodes")
 
     members = nodes.select("node", "copies", "n_shingles", F.explode("bands").alias("key"))
     leader = F.struct("node", "n_shingles")
@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     met = members.join(buckets, "key").select("node", "n_shingles", F.explode(F.array("l1", "l2")).alias("l"))
     alike = F.least("n_shingles", "l.n_shingles") * 100 >= F.greatest("n_shingles", "l.n_shingles") * percent
     led = met.where((F.col("node") != F.col("l.node")) & alike).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-    sides = nodes.select("node", "rate", "n_samples", "sketch")
-    led = led.join(sides.toDF("a", "ra", "na", "sa"), "a").join(sides.toDF("b", "rb", "nb", "sb"), "b")
+    sides = nodes.select("node", "n_samples", "sketch")
+    led = led.join(sides.toDF("a", "na", "sa"), "a").join(sides.toDF("b", "nb", "sb"), "b")
     tried = stored(led.where(alike_sketches(percent)).select("a", "b"), "tried")
     same_id = copies.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
     links = stored(confirmed(docs, tried, k, percent).unionByName(same_id), "confirmed")
@@ -236,11 +236,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         others = others.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
         task = F.when(F.col("n_blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
         rows = others.select(task.alias("key"), "node", "component", "n_shingles").join(sides, "node")
-        rows = rows.select("key", "node", "component", "n_shingles", "rate", "n_samples", "sketch").repartition("key").sortWithinPartitions("key")
+        rows = rows.select("key", "node", "component", "n_shingles", "n_samples", "sketch").repartition("key").sortWithinPartitions("key")
         found = rows.mapInArrow(crosser(percent, best), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         found = stored(found, "found")
         if found.isEmpty():
-            break
+            continue
         tried = tried.unionByName(found)
         links = stored(links.unionByName(confirmed(docs, found, k, percent)), "confirmed")
     labels = components(links)
@@ -253,11 +253,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def alike_sketches(percent: int) -> Column:
-    """Whether the sketches (ra, na, sa) and (rb, nb, sb) allow the similarity; as in ``crosser``."""
+    """Whether the sketches (na, sa) and (nb, sb) allow the similarity; as in ``crosser``."""
     odd = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    most = allowed(percent) * (F.col("na") + F.col("nb"))
+    like, most = percent / 100, F.greatest("na", "nb")
+    most = F.col("na") + F.col("nb") - 2 * (like * most - DEVIATIONS * F.sqrt(most * like * (1 - like)))
     left = F.greatest(1 - 2 * odd / BITS, F.lit(1 / BITS))
     apart = -BITS / 2 * F.log(left)
     error = DEVIATIONS * F.sqrt(F.greatest(BITS / 4 * (1 - left * left) - apart * left * left, F.lit(0.0))) / left
-    error = error + F.when(F.col("ra") > 0, DEVIATIONS * F.sqrt(2 * most)).otherwise(0.0)
-    return (F.col("ra") != F.col("rb")) | (apart - error <= most)
+    return apart - error <= most

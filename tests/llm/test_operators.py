@@ -594,13 +594,42 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_sketches_of_large_sets_are_sampled(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SAMPLES", 64)
+def test_sketches_estimate_similarity():
+    """XOR counts of sketches of MinHash samples give the similarity of sets, small and large, and let pairs at the threshold pass."""
     rng = np.random.default_rng(1)
-    w = [f"v{x}" for x in rng.integers(0, 10**6, 600)]
-    rows = [(1, " ".join(w)), (2, " ".join([*w[:590], "q"])), (3, " ".join(w[:300]))]
-    got = neardup.near_duplicates(docs(spark, [(i, t, "", "", 0) for i, t in rows]), percent=85)
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+    batch, true = [], []
+    for n in (30, 300, 3000, 20_000):
+        for changed in (0, n // 40, n // 12, n // 3):
+            w = [f"v{n}x{x}" for x in range(n)]
+            v = list(w)
+            for at in rng.choice(n, changed, replace=False):
+                v[at] = f"q{at}"
+            batch += [" ".join(w), " ".join(v)]
+            true.append(len(shingles(batch[-2], 1) & shingles(batch[-1], 1)) / len(shingles(batch[-2], 1) | shingles(batch[-1], 1)))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(batch))), pa.array(batch)], names=["id", "text"])
+    signed = pa.Table.from_batches(neardup.signer(1, 2)(iter([rows]))).to_pylist()
+    for a, b, like in zip(signed[::2], signed[1::2], true, strict=True):
+        odd = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a["sketch"], b["sketch"], strict=True))
+        differ = -neardup.BITS / 2 * math.log(1 - 2 * odd / neardup.BITS)
+        n = max(a["n_samples"], b["n_samples"])
+        assert n <= min(neardup.SAMPLES, a["n_shingles"], b["n_shingles"]) or n <= neardup.SAMPLES
+        assert (a["n_samples"] + b["n_samples"] - differ) / 2 / n >= like - 5 * math.sqrt(like * (1 - like) / n) - 5 * neardup.BITS**0.5 / 2 / n
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """10,000 documents in 5,000 pairs of 85 to 90 % of like shingles, all unlike otherwise: every pair is found."""
+    rng = np.random.default_rng(2)
+    rows, true = [], {}
+    for p in range(5000):
+        w = [f"w{p}x{x}" for x in range(int(rng.integers(60, 90)))]
+        v = [*w[: len(w) - int(len(w) * 0.05)], *(f"y{p}x{x}" for x in range(int(len(w) * 0.05)))]
+        rows += [(2 * p, " ".join(w), "", "", 0), (2 * p + 1, " ".join(v), "", "", 0)]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if 100 * len(a & b) >= 85 * len(a | b):
+            true[2 * p + 1] = 2 * p
+    assert len(true) > 3000
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), percent=85).collect()}
+    assert got == {i: true.get(i, i) for i in range(10_000)}
 
 
 # ---------------------------------------------------------------- op10
