@@ -20,17 +20,22 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; texts that are null or without a letter go."""
+    """Documents that have a language, with the predicted one as their ``lang``; texts that are null or without a letter go.
+
+    The languages are learned from labelled documents of three of four folds. Without any, no document has a
+    language. Repeated rows are kept, other columns stay as they are, an empty table stays empty.
+    """
     samples = learn(docs.where(fold(4) != 2))
-    found = identify(whole_rows(docs), samples, text_col="__scanned")
-    return found.where(F.col("lang_pred") != "und").select("__row.*")
+    found = identify(whole_rows(docs), samples, text_col="__scanned").where(F.col("lang_pred") != "und")
+    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in the first only; n_chars follows the text.
 
     Documents that lost lines and have none but blank ones left go, so ten or more copies leave one row.
-    Documents that lost nothing stay, without words too.
+    Documents that lost nothing stay, without words too. Null texts stay null; rows that agree in id and text are one
+    document and keep or lose their lines together; an empty table stays empty.
     """
     out = apply_bitmaps(docs, keep_bitmaps(docs, min_docs=10, keep_first=True))
     emptied = (F.col("__n_dropped") > 0) & (F.btrim("__kept_text", F.lit(WHITE)) == "")
@@ -39,20 +44,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The least doc_id stays. Null and empty texts and null ids have no duplicates and stay; rows of one id stay or go
+    together; an empty table stays empty.
+    """
     gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words fewer than 5 % lie in passages of benchmark items."""
+    """Documents of whose words fewer than 5 % lie in passages of benchmark items. Null and empty texts and repeated rows stay; an empty table stays empty."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = find_contamination(whole_rows(docs), items, text_col="__scanned", keep=["__row"])
     return found.where("not contaminated").select("__row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text; a null text is empty. Repeated rows are kept."""
     return encode(docs.select("doc_id", "lang", "source", "text"), word_tokenizer(), digests=True)
 
 
