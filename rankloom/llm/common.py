@@ -15,10 +15,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (a local test), a temporary folder is made and named.
+    Where none is named, a local session makes a temporary folder and names it; on a cluster that is an error, as
+    executors don't share local folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Name a folder that all executors share in spark.checkpoint.dir.")
         path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,7 +41,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long rows: batches that Python workers get hold this many of them at most, for as long as the session lasts."""
+    """Texts are long rows: batches that Python workers get hold this many of them at most.
+
+    The setting is read when a plan runs, after the operator has returned it, so it stays for the session; a lower one is kept.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
@@ -52,6 +58,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(t.sparkSession, folder)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else kept; all-ASCII values take the fast path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

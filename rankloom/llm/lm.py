@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import bounded_batches, stored
+from rankloom.llm.common import bounded_batches, discard, stored
 from rankloom.llm.textvec import U64, blocks, mix, text_bytes, word_hashes
 
 #: One training document of DELETED is held out from the counts that mixture weights are learned with.
@@ -242,7 +242,7 @@ def learn_weights(tallies: DataFrame, total: int, distinct: int) -> np.ndarray:
         shares = [F.get(F.array(*map(F.lit, weights[:, i].tolist())), F.col("bucket")) * F.col(f"p{i}") for i in range(3)]
         summed = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * s / sum(shares[1:], shares[0])).alias(f"s{i}") for i, s in enumerate(shares))).collect()
         if not summed:
-            return weights
+            break
         new = np.tile(np.array([sum(r[f"s{i}"] for r in summed) for i in range(3)]) / sum(r["n"] for r in summed), (BUCKETS, 1))
         new[0] = (0, new[0, 1] / max(new[0, 1:].sum(), 1e-300), new[0, 2] / max(new[0, 1:].sum(), 1e-300))
         for r in summed:
@@ -254,6 +254,7 @@ def learn_weights(tallies: DataFrame, total: int, distinct: int) -> np.ndarray:
         moved, weights = np.abs(new - weights).max(), new
         if moved < MOVES:
             break
+    discard(rows)
     return weights
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import bounded_batches, stored
+from rankloom.llm.common import bounded_batches, discard, stored
 from rankloom.llm.textvec import U64, blocks, mix, powers, shingle_hashes, shingle_sets, text_bytes, word_hashes
 
 #: MinHash rows of a band, and the chance that a pair of just the least similarity shares no band.
@@ -178,9 +178,11 @@ def components(links: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("jump"))
         new = least.join(jump, "to").select("node", "component", F.least("to", "jump").alias("new"))
-        new = stored(new, "labels")
+        old, new = labels, stored(new, "labels")
+        discard(old)
         labels = new.select("node", F.col("new").alias("component"))
         if new.where("new != component").isEmpty():
+            discard(both)
             return labels
 
 
@@ -242,8 +244,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if found.isEmpty():
             continue
         tried = tried.unionByName(found)
-        links = stored(links.unionByName(confirmed(docs, found, k, percent)), "confirmed")
+        fewer, links = links, stored(links.unionByName(confirmed(docs, found, k, percent)), "confirmed")
+        discard(fewer, labels)
     labels = components(links)
+    discard(nodes, buckets, tried, links)
 
     of = copies.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2"], "left")
