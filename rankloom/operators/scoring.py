@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 from math import isclose, isfinite
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,8 +150,28 @@ def support(flags: list[str]) -> Column:
     return sum((F.col(f).cast("int") for f in flags), F.lit(0)) / float(len(flags))
 
 
-def scored(rows: DataFrame, mode: str, config: ScoringConfig | None = None, by: list[str] | None = None, merged: bool = False) -> DataFrame:
-    """Candidates with their scores, levels and rank.
+def ranks(rows: DataFrame, by: list[str], order: list[Column], score: str = "finalScore") -> DataFrame:
+    """Adds ``rank``, from 1, within ``by``. ``score`` has four digits and falls with ``order``.
+
+    Rows of one score are sorted together, and the rows of higher scores, of which there are at most 10,001
+    sums for each group of ``by``, are added, so no task sorts all rows.
+    """
+    sums = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
+    above = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*(F.col(c).alias(f"__{c}") for c in [*by, score]), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, score).orderBy(*order))
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, score]))
+    joined = rows.withColumn("__nth", inside).join(before, on)
+    return joined.withColumn("rank", (F.col("__before") + F.col("__nth")).cast("long")).drop("__before", "__nth", *(f"__{c}" for c in [*by, score]))
+
+
+def short_ranks(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``rank`` to the rows of a short list, which are few."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
+
+
+def scored(rows: DataFrame, mode: str, config: ScoringConfig | None = None, by: list[str] | None = None, merged: bool = False, top: int | None = None) -> DataFrame:
+    """Candidates with their scores, levels and rank; with ``top`` that many of the best of all.
 
     Missing layers give their weight to the others; confidence mixes completeness, source support and
     agreement; the exclusion gene's scaled RNA is subtracted. Dynamic: ranked by rounded final and confidence
@@ -190,5 +211,5 @@ def scored(rows: DataFrame, mode: str, config: ScoringConfig | None = None, by:
         }
     )
     order = [F.desc("__final"), F.asc("DepMap_ID")] if merged else [F.desc("finalScore"), F.desc("confidenceScore"), F.asc("DepMap_ID")]
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    rows = short_ranks(rows.orderBy(*order).limit(top), order) if top else ranks(rows, by, order)
     return rows.drop("__r", "__p", "__e", "__biology", "__confidence", "__penalty", "__final")

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.contexts import clean_request, context_aliases, query_mode
-from rankloom.operators.evidence import EVIDENCE, wide_table
+from rankloom.operators.evidence import EVIDENCE, standardise, wide_table
 from rankloom.operators.scoring import ScoringConfig, candidates, scored
+from rankloom.session import materialised
 
 
 @dataclass
 class EvidenceStore:
-    """The standardised long table, the entities and their annotations that requests are answered from."""
+    """The long table (standardised or not), the entities and their annotations that requests are answered from.
+
+    A request reads the long table once, for its own few features, and standardises those; candidates are computed
+    once too, as scaling needs their extremes first.
+    """
 
     long: DataFrame
     spine: DataFrame
@@ -26,8 +31,8 @@ class EvidenceStore:
     def wide(self, *symbols: str | None) -> DataFrame:
         names = list(dict.fromkeys(s.strip().upper() for s in symbols if s))
         features = self.spark.createDataFrame([(n,) for n in names], "gene_symbol string")
-        # A literal filter on the grouping key: it reaches the scans, below the statistics of standardisation.
-        return wide_table(self.long.where(F.col("gene_symbol").isin(names)), self.spine, features)
+        mine = materialised(self.long.where(F.col("gene_symbol").isin(names)))
+        return wide_table(mine if "value_std" in mine.columns else standardise(mine), self.spine, features)
 
     def has_evidence(self, symbol: str, protein: bool = False) -> bool:
         sources = ["ccle_gygi_protein"] if protein else EVIDENCE
@@ -41,7 +46,7 @@ class EvidenceStore:
 
     def rank(self, gene: str | None = None, protein: str | None = None, exclusion: str | None = None, context: str | None = None, merged: bool = False, config: ScoringConfig | None = None) -> DataFrame:
         """All candidates of a request, scored and ranked."""
-        rows = self.candidates(gene, protein, exclusion, context, merged)
+        rows = materialised(self.candidates(gene, protein, exclusion, context, merged))
         return scored(rows, query_mode(gene, protein), config, merged=merged)
 
     def recommend(self, request: dict) -> DataFrame:
@@ -52,5 +57,5 @@ class EvidenceStore:
             raise LookupError(f"no evidence for {gene}")
         if not gene and not self.has_evidence(protein, protein=True):
             raise LookupError(f"no protein evidence for {protein}")
-        rows = self.rank(gene, protein, q["exclusion_gene"], q["context"])
-        return rows.orderBy("rank").limit(q["top_n"])
+        rows = materialised(self.candidates(gene, protein, q["exclusion_gene"], q["context"]))
+        return scored(rows, query_mode(gene, protein), top=q["top_n"])

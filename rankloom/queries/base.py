@@ -30,7 +30,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str], Callable]:
 
 
 def store(spark: SparkSession, sf_dir: str) -> EvidenceStore:
-    return EvidenceStore(star.standard_long(spark, sf_dir), star.spine(spark, sf_dir), star.annotations(spark, sf_dir))
+    return EvidenceStore(star.raw_long(spark, sf_dir), star.spine(spark, sf_dir), star.annotations(spark, sf_dir))
 
 
 def r4(x: str, digits: int = 4) -> str:
@@ -43,12 +43,12 @@ def clip(x: str) -> str:
 
 LONG = """
     bridge AS (SELECT o_orderkey, 'ACH-' || lpad(o_custkey::VARCHAR, 6, '0') AS id FROM orders WHERE o_orderstatus <> 'P'),
-    li AS (SELECT b.id, upper(p.p_brand) AS feature, l.* FROM lineitem l JOIN bridge b ON l.l_orderkey = b.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
+    li AS (SELECT b.id, translate(upper(trim(p.p_brand)), '#', '-') AS feature, l.* FROM lineitem l JOIN bridge b ON l.l_orderkey = b.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
     mut AS (SELECT id, feature, count(*) AS n, max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS high
             FROM li WHERE l_linestatus = 'F' AND l_returnflag = 'A' GROUP BY id, feature),
     fused AS (SELECT * FROM li WHERE l_linestatus = 'F' AND l_returnflag = 'R'),
     partners AS (SELECT id, feature, l_tax FROM fused
-                 UNION ALL SELECT f.id, upper(p.p_brand), f.l_tax FROM fused f JOIN part p ON p.p_partkey = (f.l_partkey * 7 + 1) % (SELECT count(*) FROM part)),
+                 UNION ALL SELECT f.id, translate(upper(trim(p.p_brand)), '#', '-'), f.l_tax FROM fused f JOIN part p ON p.p_partkey = (f.l_partkey * 7 + 1) % (SELECT count(*) FROM part)),
     fus AS (SELECT id, feature, count(*) AS n, max(CASE WHEN l_tax >= 0.06 THEN 3.0 WHEN l_tax >= 0.03 THEN 2.0 ELSE 1.0 END) AS best FROM partners GROUP BY id, feature),
     long AS (
         SELECT id, feature, 'rna' AS layer, CASE l_returnflag WHEN 'N' THEN 'depmap_rna' WHEN 'A' THEN 'hpa_rna' ELSE 'geo_rna' END AS src,

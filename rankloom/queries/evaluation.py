@@ -13,11 +13,12 @@ from rankloom.operators.metrics import bootstrap, deltas, evaluate, leave_one_ou
 from rankloom.operators.scoring import FLAGS
 from rankloom.operators.sweeps import CAPS, CONTROLLED, FLAT, LABELLED, SweepConfig, compared, config_table, monotone_violations, penalty_profiles, sweep, top_with_ties, weight_grid
 from rankloom.queries.base import clip, minmax, r4, registry, store, wide
+from rankloom.session import materialised
 
 QUERIES, ORACLE_SQL, register = registry()
 #: Feature -> correlation of its RNA and protein, for adaptive trust.
-TARGETS = {"BRAND#13": 0.4, "BRAND#7": 0.6, "BRAND#1": None, "BRAND#4": 0.1}
-EXCLUDED = "BRAND#22"
+TARGETS = {"BRAND-13": 0.4, "BRAND-7": 0.6, "BRAND-1": None, "BRAND-4": 0.1}
+EXCLUDED = "BRAND-22"
 ANCHOR = (0.85, 0.0, 0.15)
 METRICS = ["p_at_3", "recall_at_3", "ndcg_at_3", "p_at_5", "recall_at_5", "ndcg_at_5", "p_at_10", "recall_at_10", "ndcg_at_10", "mrr", "expected_rr", "neg_sink"]
 
@@ -32,8 +33,8 @@ def rows_of(spark, sf_dir):
     rows = w.withColumn("exclusionExpr", excluded).join(F.broadcast(known), "gene_symbol").where("nRna > 0 or protExpr is not null")
     flags = [F.col(f"{s}__std").isNotNull().alias(f) for f, s in FLAGS.items()]
     rows = rows.select(F.col("gene_symbol").alias("query"), "DepMap_ID", "rnaExpr", "protExpr", "exclusionExpr", "correlation", *flags, F.col("protExpr").isNotNull().alias("hasProteomics"))
-    # Scaling, sweeping and labelling all start from these rows; a lost part is computed again.
-    return rows.persist()
+    # Scaling, sweeping and labelling all start from these rows.
+    return materialised(rows)
 
 
 def labels_of(rows):
@@ -142,7 +143,7 @@ _COMPARED = """
            count(*) FILTER (WHERE sx > sy) AS n_up, count(*) FILTER (WHERE sx < sy) AS n_down FROM pairs GROUP BY config, query""",
 )
 def sweep_against_baseline(spark, sf_dir):
-    ranked = sweep(rows_of(spark, sf_dir), config_table(spark, CONTROLLED), ["query"], controlled=True)
+    ranked = materialised(sweep(rows_of(spark, sf_dir), config_table(spark, CONTROLLED), ["query"], controlled=True))
     out = compared(ranked, "A0_team_baseline", ["query"])
     return out.withColumns({c: rounded(F.col(c)) for c in ("jaccard", "spearman", "mean_rank_change")})
 
@@ -177,7 +178,7 @@ def _evaluated(configs, controlled) -> str:
 
 def detail_of(spark, sf_dir, configs, controlled=True):
     rows = rows_of(spark, sf_dir)
-    ranked = sweep(rows, config_table(spark, configs), ["query"], controlled)
+    ranked = materialised(sweep(rows, config_table(spark, configs), ["query"], controlled))
     out = evaluate(ranked, labels_of(rows), ["config", "query"])
     return out.withColumns({m: rounded(F.col(m)) for m in METRICS})
 
@@ -238,6 +239,6 @@ def leave_one_query_out(spark, sf_dir):
 
 @register("bootstrap_deltas")
 def bootstrap_deltas(spark, sf_dir):
-    """Resampling by hash has no SQL twin; tests compare it with a brute-force version."""
+    """Resampling by hash has no SQL here; a test resamples by hand."""
     out = bootstrap(detail_of(spark, sf_dir, CONTROLLED), "A0_team_baseline", "ndcg_at_10", "query")
     return out.withColumns({c: rounded(F.col(c), 6) for c in ("mean_delta", "low", "high")})

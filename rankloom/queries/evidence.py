@@ -10,7 +10,7 @@ from rankloom.queries.base import LONG, SOURCES, r4, registry, store, wide
 from rankloom.sources import star
 
 QUERIES, ORACLE_SQL, register = registry()
-FEATURES = ("BRAND#13", "BRAND#7", "BRAND#22")
+FEATURES = ("BRAND-13", "BRAND-7", "BRAND-22")
 
 
 @register("long_table_coverage", f"WITH {LONG} SELECT layer AS omics_layer, src AS source, count(*) AS n_rows, count(DISTINCT id) AS n_entities, count(DISTINCT feature) AS n_features FROM long GROUP BY ALL")

@@ -12,7 +12,7 @@ from rankloom.queries.base import r4, registry, scored, store
 from rankloom.sources import star
 
 QUERIES, ORACLE_SQL, register = registry()
-GENE, PROTEIN, EXCLUDED, CONTEXT = "BRAND#13", "BRAND#7", "BRAND#22", "building"
+GENE, PROTEIN, EXCLUDED, CONTEXT = "BRAND-13", "BRAND-7", "BRAND-22", "building"
 SHOWN = [
     "DepMap_ID", "cellLine", "lineage", "disease", "rnaScore", "proteinScore", "biologicalScore", "exclusionPenalty", "completenessScore", "sourceSupportScore",
     "rnaProteinConsistencyScore", "confidenceScore", "confidenceLevel", "finalScore", "recommendationLevel", "alterationStatus", "rank",

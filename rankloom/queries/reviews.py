@@ -15,7 +15,7 @@ from rankloom.sources import star
 
 QUERIES, ORACLE_SQL, register = registry()
 SEED = 20240
-PROFILE = ("BRAND#13", "BRAND#7")
+PROFILE = ("BRAND-13", "BRAND-7")
 
 _CATALOG = f"""{LONG}, pm AS (SELECT id, feature, avg(z) FILTER (WHERE layer = 'rna') AS x, avg(z) FILTER (WHERE layer = 'protein') AS y FROM zlong GROUP BY ALL),
     cc AS (SELECT feature, corr(x, y) AS correlation, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS correlation_n FROM pm GROUP BY feature),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables that the driver's data folders hold, one Parquet file or folder each.
@@ -27,6 +29,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
     return spark
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the checkpoint folder from then on: cuts the plan, survives lost executors.
+
+    A local session without a folder gets one; on a cluster without one the plan is left as it is.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="rankloom-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``TABLES``, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

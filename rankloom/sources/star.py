@@ -20,6 +20,11 @@ def entity_id(key: Column) -> Column:
     return F.concat(F.lit("ACH-"), F.lpad(key.cast("string"), 6, "0"))
 
 
+def symbol(brand: str) -> Column:
+    """A brand as a symbol, which may hold no #."""
+    return F.translate(F.upper(F.trim(brand)), "#", "-")
+
+
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(entity_id(F.col("c_custkey")).alias("DepMap_ID"))
 
@@ -34,7 +39,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their entity and feature; those of pending orders have none and go."""
     line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     bridge = orders.where("o_orderstatus <> 'P'").select("o_orderkey", entity_id(F.col("o_custkey")).alias("DepMap_ID"))
-    features = part.select("p_partkey", "p_brand", "p_type")
+    features = part.select("p_partkey", symbol("p_brand").alias("p_brand"), "p_type")
     return line.join(bridge, line.l_orderkey == bridge.o_orderkey).join(features, line.l_partkey == features.p_partkey)
 
 
@@ -43,7 +48,7 @@ def unified(rows: DataFrame, source: Column, value: Column, unit: Column, alt: C
     layer = F.create_map(*(F.lit(x) for pair in SOURCES.items() for x in pair))
     out = rows.select(
         "DepMap_ID",
-        F.upper(F.trim("p_brand")).alias("gene_symbol"),
+        F.col("p_brand").alias("gene_symbol"),
         (F.lit(None) if alt is None else alt).cast("string").alias("ensembl_id"),
         value.cast("double").alias("value_raw"),
         unit.alias("value_unit"),
@@ -79,7 +84,7 @@ def mutation_events(rows: DataFrame) -> DataFrame:
 def fusion_events(rows: DataFrame, part: DataFrame, n_parts: int) -> DataFrame:
     """Each event counts for both partners; the best confidence of an entity and feature stays."""
     mine = rows.where("l_linestatus = 'F' and l_returnflag = 'R'").withColumn("other", (F.col("l_partkey") * 7 + 1) % n_parts)
-    other = part.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("other_brand"))
+    other = part.select(F.col("p_partkey").alias("other"), symbol("p_brand").alias("other_brand"))
     tax = F.when(F.col("l_tax") >= 0.06, "high").when(F.col("l_tax") >= 0.03, "medium").otherwise("low")
     partners = mine.join(other, "other").select("DepMap_ID", tax.alias("confidence"), F.explode(F.array("p_brand", "other_brand")).alias("p_brand"))
     return partners.groupBy("DepMap_ID", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.max(fusion_confidence(F.col("confidence"))).alias("best"))
