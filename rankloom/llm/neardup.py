@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from rankloom.llm.textvec import U64, blocks, mix, powers, shingle_hashes, shing
 #: MinHash rows of a band, and the chance that a pair of just the least similarity shares no band.
 ROWS, MISS = 4, 4e-7
 #: A sketch folds up to SAMPLES MinHash samples, the least hash of each of so many parts of the hash space, into BITS parity bits.
-SAMPLES, BITS = 1024, 2048
+SAMPLES, BITS = 1 << 14, 2048
 #: Standard deviations that sampling, and that a sketch's estimate, may be off by and a pair still be confirmed.
 DEVIATIONS = 5.0
 #: Members of a bucket compared in one task at once.
@@ -92,15 +93,33 @@ def confirmer(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return confirm
 
 
+NUMPY = SimpleNamespace(exp=np.exp, sqrt=np.sqrt, least=np.minimum)
+COLUMNS = SimpleNamespace(exp=F.exp, sqrt=F.sqrt, least=lambda a, x: F.least(F.lit(a), x))
+
+
+def allowed(percent: int, na, nb, sa, sb, m: SimpleNamespace):
+    """The most MinHash samples that two sets of at least the similarity differ by, from their sizes and numbers of samples.
+
+    The parts of the hash space that the union fills hold the same least hash in both sets with the chance of
+    their similarity. How many parts are filled follows from the union's size, and from how many the sets fill; the
+    samples are drawn without replacement, so of small sets nearly all is known.
+    """
+    like = percent / 100
+    union = (na + nb) / (1 + like)
+    empty = m.exp(-union / SAMPLES)
+    filled = SAMPLES * (1 - empty)
+    seen = (sa + sb) / (SAMPLES * (2 - m.exp(-na / SAMPLES) - m.exp(-nb / SAMPLES)))
+    same = like * filled * seen
+    spread = same * (1 - like) * m.least(1.0, 2 * (1 - filled / union)) + 0.3 * like**2 * SAMPLES * empty * (1 - (1 + union / SAMPLES) * empty)
+    return sa + sb - 2 * (same - DEVIATIONS * m.sqrt(spread + 0.1))
+
+
 def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, node, component, n_shingles, n_samples, sketch), sorted by key -> pairs (a, b) of a key.
 
-    Pairs of different components whose sketches allow the similarity; with ``best`` only each node's best. A part of
-    the hash space that either of two sets fills holds the same least hash in both with the chance of their
-    similarity, so of the n samples of the one that has more, similarity * n are expected in both.
+    Pairs of different components whose sketches allow the similarity; with ``best`` only each node's best.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    like = percent / 100
 
     def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, samples: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = max(1, BLOCK // 16)
@@ -109,8 +128,8 @@ def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             odd = np.zeros((len(node[rows]), len(node)), np.int32)
             for w in range(sketch.shape[1]):
                 odd += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None])
-            both, most = samples[rows][:, None] + samples[None], np.maximum(samples[rows][:, None], samples[None])
-            most = both - 2 * (like * most - DEVIATIONS * np.sqrt(most * like * (1 - like)))
+            both = samples[rows][:, None] + samples[None]
+            most = allowed(percent, n[rows][:, None], n[None], samples[rows][:, None], samples[None], NUMPY)
             left = np.maximum(1 - 2 * odd / BITS, 1 / BITS)
             apart = -BITS / 2 * np.log(left)
             error = DEVIATIONS * np.sqrt(np.maximum(BITS / 4 * (1 - left**2) - apart * left**2, 0)) / left
@@ -223,7 +242,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     alike = F.least("n_shingles", "l.n_shingles") * 100 >= F.greatest("n_shingles", "l.n_shingles") * percent
     led = met.where((F.col("node") != F.col("l.node")) & alike).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
     sides = nodes.select("node", "n_samples", "sketch")
-    led = led.join(sides.toDF("a", "na", "sa"), "a").join(sides.toDF("b", "nb", "sb"), "b")
+    sized = nodes.select("node", "n_shingles", "n_samples", "sketch")
+    led = led.join(sized.toDF("a", "xa", "na", "sa"), "a").join(sized.toDF("b", "xb", "nb", "sb"), "b")
     tried = stored(led.where(alike_sketches(percent)).select("a", "b"), "tried")
     same_id = copies.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
     links = stored(confirmed(docs, tried, k, percent).unionByName(same_id), "confirmed")
@@ -257,10 +277,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def alike_sketches(percent: int) -> Column:
-    """Whether the sketches (na, sa) and (nb, sb) allow the similarity; as in ``crosser``."""
+    """Whether the sketches (sizes xa and xb, samples na and nb, bits sa and sb) allow the similarity; as in ``crosser``."""
     odd = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    like, most = percent / 100, F.greatest("na", "nb")
-    most = F.col("na") + F.col("nb") - 2 * (like * most - DEVIATIONS * F.sqrt(most * like * (1 - like)))
+    most = allowed(percent, *map(F.col, ("xa", "xb", "na", "nb")), COLUMNS)
     left = F.greatest(1 - 2 * odd / BITS, F.lit(1 / BITS))
     apart = -BITS / 2 * F.log(left)
     error = DEVIATIONS * F.sqrt(F.greatest(BITS / 4 * (1 - left * left) - apart * left * left, F.lit(0.0))) / left
