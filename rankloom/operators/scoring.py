@@ -213,3 +213,11 @@ def scored(rows: DataFrame, mode: str, config: ScoringConfig | None = None, by:
     order = [F.desc("__final"), F.asc("DepMap_ID")] if merged else [F.desc("finalScore"), F.desc("confidenceScore"), F.asc("DepMap_ID")]
     rows = short_ranks(rows.orderBy(*order).limit(top), order) if top else ranks(rows, by, order)
     return rows.drop("__r", "__p", "__e", "__biology", "__confidence", "__penalty", "__final")
+
+
+def weights_payload(mode: str, config: ScoringConfig | None = None) -> dict[str, float]:
+    """The weights that a mode ranks with, as responses show them: without RNA, protein has the weight of both."""
+    c = config or ScoringConfig()
+    only = mode == "PROTEIN_ONLY"
+    biology = {"protein": round(c.rna_weight + c.protein_weight, 10)} if only else {"rna": c.rna_weight, "protein": c.protein_weight}
+    return biology | {"confidence": c.confidence_weight, "maxExclusionPenalty": c.max_exclusion_penalty}

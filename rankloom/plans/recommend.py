@@ -11,6 +11,7 @@ from rankloom.functions.contexts import clean_request, context_aliases, query_mo
 from rankloom.operators.evidence import EVIDENCE, standardise, wide_table
 from rankloom.operators.scoring import ScoringConfig, candidates, scored
 from rankloom.session import materialised
+from rankloom.sources.resolve import duplicated
 
 
 @dataclass
@@ -52,6 +53,8 @@ class EvidenceStore:
     def recommend(self, request: dict) -> DataFrame:
         """The best rows of a checked request; LookupError where the target has no evidence."""
         q = clean_request(request)
+        if not duplicated(self.annotations, "DepMap_ID").isEmpty():
+            raise ValueError("repeated entities among the annotations")
         gene, protein = q["target_gene"], q["target_protein"]
         if gene and not self.has_evidence(gene):
             raise LookupError(f"no evidence for {gene}")

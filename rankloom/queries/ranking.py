@@ -95,15 +95,13 @@ def alternatives_to_the_best(spark, sf_dir):
 
 @register(
     "ranking_fingerprint",
-    f"""WITH {scored(GENE, None, EXCLUDED, context_aliases(CONTEXT))}
-    SELECT count(*) AS n_rows, md5(string_agg(rank || '|' || id || '|' || recommendationLevel || '|' || (finalScore * 10000)::BIGINT, chr(10) ORDER BY rank)) AS digest FROM ranked""",
+    f"""WITH {scored(GENE, None, EXCLUDED, context_aliases(CONTEXT))},
+    lines AS (SELECT rank, sha256(concat_ws('|', rank, id, name, printf('%.4f', finalScore), printf('%.4f', confidenceScore), recommendationLevel)) AS h FROM ranked),
+    thousands AS (SELECT rank // 1000 AS part, sha256(string_agg(h, '' ORDER BY rank)) AS h, count(*) AS n FROM lines GROUP BY part)
+    SELECT sha256(string_agg(h, '' ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS n_rows FROM thousands""",
 )
 def ranking_fingerprint(spark, sf_dir):
-    rows = store(spark, sf_dir).rank(GENE, None, EXCLUDED, CONTEXT)
-    line = F.concat_ws("|", F.col("rank").cast("string"), "DepMap_ID", "recommendationLevel", F.round(F.col("finalScore") * 10000).cast("long").cast("string"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
-    digest = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.md5(F.array_join(listed, "\n")).alias("digest"))
-    return digest.crossJoin(fingerprint(rows).select("fingerprint")).select("n_rows", "digest")
+    return fingerprint(store(spark, sf_dir).rank(GENE, None, EXCLUDED, CONTEXT))
 
 
 @register(

@@ -11,6 +11,7 @@ from rankloom.operators.reviews import blinded, candidate_pool, check_labels, de
 from rankloom.operators.sweeps import CONTROLLED, config_table, sweep
 from rankloom.queries.base import LONG, r4, registry, store, wide
 from rankloom.queries.evaluation import _LABELS, TARGETS, labels_of, rows_of, swept
+from rankloom.session import materialised
 from rankloom.sources import star
 
 QUERIES, ORACLE_SQL, register = registry()
@@ -78,7 +79,7 @@ def prototype(spark, sf_dir):
 
 def _ranked(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
-    return rows, sweep(rows, config_table(spark, CONTROLLED), ["query"], controlled=True)
+    return rows, materialised(sweep(rows, config_table(spark, CONTROLLED), ["query"], controlled=True))
 
 
 _SHOWN = ["A0_team_baseline", "B0_rna_mean", "A6_v3_full"]

@@ -14,22 +14,16 @@ from rankloom.session import table
 QUERIES, ORACLE_SQL, register = registry()
 
 
-@register(
-    "numbers_in_texts",
-    """WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z]?[-+]?[0-9]+(?:\\.[0-9]+)?'), lambda x: NOT regexp_matches(x, '^[A-Za-z]')) AS xs FROM documents),
-    v AS (SELECT doc_id, list_transform(xs, lambda x: x::DOUBLE) AS xs FROM n)
-    SELECT doc_id, len(xs)::INT AS n, list_max(xs) AS most FROM v WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = v.doc_id AND regexp_matches(d.text, '[A-Za-z][-+]?[0-9]'))""",
-)
-def numbers_in_texts(spark, sf_dir):
-    """Numbers of texts without a letter right before a digit: there, patterns with and without look-behind agree."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[A-Za-z][-+]?[0-9]"))
-    n = numbers_in(F.col("text"))
-    return d.select("doc_id", F.size(n).alias("n"), F.array_max(n).alias("most"))
+# Without look-behind: a sign between a letter and a digit, or else the digit right after a letter, starts no number and goes.
+_NUMBERS = r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([A-Za-z])[-+]([0-9])', '\1 \2', 'g'), '([A-Za-z])[0-9]', '\1 ', 'g') AS text FROM documents),
+    v AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[-+]?[0-9]+(?:\.[0-9]+)?'), lambda x: x::DOUBLE) AS xs FROM t)
+    SELECT doc_id, len(xs)::INT AS n, list_max(xs) AS most FROM v"""
 
 
-@register("numbers_in_all_texts")
-def numbers_in_all_texts(spark, sf_dir):
-    """Numbers of all texts, those with a letter right before a digit too; a null text has none. SQL without look-behind can't say it."""
+@register("numbers_in_texts", _NUMBERS)
+@register("numbers_in_all_texts", _NUMBERS)
+def numbers_in_texts(spark, sf_dir):
+    """Numbers of all texts; a null text has none."""
     n = F.coalesce(numbers_in(F.col("text")), F.array().cast("array<double>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(n).alias("n"), F.array_max(n).alias("most"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +30,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The folder that the driver and all executors share. A local session without one gets one; a cluster names it."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            return None
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="rankloom-"))
+    return context.getCheckpointDir()
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows, computed once and read from the checkpoint folder from then on: cuts the plan, survives lost executors.
 
-    A local session without a folder gets one; on a cluster without one the plan is left as it is.
+    On a cluster that names no folder the plan is left as it is.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="rankloom-"))
-    return df.checkpoint()
+    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        raise RuntimeError("Name a folder that all executors share in spark.checkpoint.dir.")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

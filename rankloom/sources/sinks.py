@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import finite
 
+RUN_ID = re.compile(r"[A-Za-z0-9_-]{1,64}")
+
 
 def json_safe(df: DataFrame) -> DataFrame:
     """NaN and infinities as null."""
@@ -50,3 +54,25 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("lines"))
     return files.join(lines, "name", "left").fillna(0, ["lines"])
+
+
+def run_path(folder: str, run_id: str) -> str:
+    """The place of a saved run; ids that could lead elsewhere are refused."""
+    if not RUN_ID.fullmatch(run_id):
+        raise ValueError("a run id has letters, digits, '_' and '-' only, 64 at most")
+    return f"{folder}/{run_id}"
+
+
+def save_run(ranked: DataFrame, folder: str, run_id: str) -> None:
+    """A ranking under its id, as JSON lines; an id that is there already is refused."""
+    json_safe(ranked).write.option("ignoreNullFields", False).json(run_path(folder, run_id))
+
+
+def load_run(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
+    return spark.read.json(run_path(folder, run_id))
+
+
+def candidate_detail(run: DataFrame, rank: int, context: DataFrame | None = None) -> DataFrame:
+    """The row of one rank of a run, with its entity's context if there is one."""
+    row = run.where(F.col("rank") == rank)
+    return row if context is None else row.join(context, "DepMap_ID", "left")
