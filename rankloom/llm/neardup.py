@@ -94,7 +94,7 @@ def confirmer(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 NUMPY = SimpleNamespace(exp=np.exp, sqrt=np.sqrt, least=np.minimum)
-COLUMNS = SimpleNamespace(exp=F.exp, sqrt=F.sqrt, least=lambda a, x: F.least(F.lit(a), x))
+COLUMNS = SimpleNamespace(exp=F.exp, sqrt=F.sqrt, least=lambda a, x: F.least(F.lit(a) if isinstance(a, float) else a, x))
 
 
 def allowed(percent: int, na, nb, sa, sb, m: SimpleNamespace):
@@ -102,7 +102,8 @@ def allowed(percent: int, na, nb, sa, sb, m: SimpleNamespace):
 
     The parts of the hash space that the union fills hold the same least hash in both sets with the chance of
     their similarity. How many parts are filled follows from the union's size, and from how many the sets fill; the
-    samples are drawn without replacement, so of small sets nearly all is known.
+    samples are drawn without replacement, so of small sets nearly all is known. Whatever is drawn, samples differ by no
+    more than the sets do and by the elements that are no samples.
     """
     like = percent / 100
     union = (na + nb) / (1 + like)
@@ -111,7 +112,7 @@ def allowed(percent: int, na, nb, sa, sb, m: SimpleNamespace):
     seen = (sa + sb) / (SAMPLES * (2 - m.exp(-na / SAMPLES) - m.exp(-nb / SAMPLES)))
     same = like * filled * seen
     spread = same * (1 - like) * m.least(1.0, 2 * (1 - filled / union)) + 0.3 * like**2 * SAMPLES * empty * (1 - (1 + union / SAMPLES) * empty)
-    return sa + sb - 2 * (same - DEVIATIONS * m.sqrt(spread + 0.1))
+    return m.least(sa + sb - 2 * (same - DEVIATIONS * m.sqrt(spread + 0.1)), (na + nb) * (1 - like) / (1 + like) + (na - sa) + (nb - sb) + 1e-6)
 
 
 def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -134,7 +135,8 @@ def crosser(percent: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             apart = -BITS / 2 * np.log(left)
             error = DEVIATIONS * np.sqrt(np.maximum(BITS / 4 * (1 - left**2) - apart * left**2, 0)) / left
             small, large = np.minimum(n[rows][:, None], n[None]), np.maximum(n[rows][:, None], n[None])
-            ok = (apart - error <= most) & (comp[rows][:, None] != comp[None]) & (100 * small >= percent * large)
+            # A sketch's bits never differ at more places than the samples it folds.
+            ok = (odd <= most) & (apart - error <= most) & (comp[rows][:, None] != comp[None]) & (100 * small >= percent * large)
             score = 1 - apart / both
             if best:
                 i = np.flatnonzero(ok.any(1))
@@ -283,4 +285,4 @@ def alike_sketches(percent: int) -> Column:
     left = F.greatest(1 - 2 * odd / BITS, F.lit(1 / BITS))
     apart = -BITS / 2 * F.log(left)
     error = DEVIATIONS * F.sqrt(F.greatest(BITS / 4 * (1 - left * left) - apart * left * left, F.lit(0.0))) / left
-    return apart - error <= most
+    return (odd <= most) & (apart - error <= most)
