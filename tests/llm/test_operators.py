@@ -103,6 +103,25 @@ def test_topk_with_ties_over_shards(spark, monkeypatch, spread):
     assert got == exact_topk({i: v for i, v in asked.items() if i != 7}, items, 10)
 
 
+def test_only_essential_postings_are_read():
+    """Of sparse items the postings of essential terms are far fewer than all, and none is lost."""
+    rng = np.random.default_rng(4)
+    items = np.where(rng.random((4000, 200)) < 0.05, rng.integers(-50, 51, (4000, 200)), 0)
+    for w in (np.where(rng.random(200) < 0.08, rng.integers(-9, 10, 200), 0), np.eye(200, dtype=np.int64)[3] * 7 + np.eye(200, dtype=np.int64)[9], np.zeros(200, np.int64)):
+        postings = topk.Postings(np.arange(4000), items.astype(np.float64))
+        ids, scores = postings.search(11, w.astype(np.float64), 10, None)
+        expected = exact_topk({11: w.tolist()}, list(enumerate(items.tolist())), 10)[11]
+        assert list(zip(ids.tolist(), scores.astype(int).tolist(), strict=True)) == expected
+        every = sum(len(postings.lists[t, int(np.sign(x))][0]) for t, x in enumerate(w) if x)
+        assert postings.touched <= every and (not w.any() or postings.touched < 0.2 * items.size)
+    floor = scores[-1]
+    again = topk.Postings(np.arange(4000), items.astype(np.float64))
+    shared = again.search(11, (items[5] * 3).astype(np.float64), 10, None)
+    before = again.touched
+    higher = again.search(11, (items[5] * 3).astype(np.float64), 10, int(shared[1][-1]))
+    assert [x.tolist() for x in higher] == [x.tolist() for x in shared] and again.touched - before <= before and floor == 0
+
+
 def test_topk_odd_rows(spark):
     items = [(1, [1, 2]), (2, [3]), (3, []), (None, [1, 1]), (4, None), (5, [1, None]), (6, [-1, 5, 9])]
     got = found_topk(topk.top_k(vectors(spark, items), vectors(spark, items), 10))
