@@ -41,9 +41,9 @@ def sample_strata(catalog: DataFrame, quotas: dict[str, int], seed: int, feature
 
 
 def largest_n(correlations: DataFrame, key: str = "feature") -> DataFrame:
-    """One correlation a feature: that of the largest n."""
+    """One correlation a feature: that of the largest n (a missing one is 0); of equal ones the largest correlation."""
     rest = [c for c in correlations.columns if c != key]
-    best = correlations.groupBy(key).agg(F.max_by(F.struct(*rest), F.coalesce("n", F.lit(0))).alias("b"))
+    best = correlations.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("n", F.lit(0)), *rest)).alias("b"))
     return best.select(key, *(F.col(f"b.{c}").alias(c) for c in rest))
 
 

@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions.contexts import clean_request
+from rankloom.functions.scalar import candidate_key
 from rankloom.operators import checks, lookups
 from rankloom.operators.explain import normal_claims
 from rankloom.operators.metrics import bootstrap
+from rankloom.operators.panels import largest_n
 from rankloom.operators.scoring import ranks, weights_payload
+from rankloom.operators.sweeps import renormalised
 from rankloom.plans.recommend import EvidenceStore
 from rankloom.sources import sinks
 
@@ -139,3 +142,13 @@ def test_requests_weights_and_claims(spark):
     twice = spark.createDataFrame([("A", "d", "l"), ("A", "d", "l")], "DepMap_ID string, primary_disease string, lineage string")
     with pytest.raises(ValueError, match="repeated"):
         EvidenceStore(long, twice.select("DepMap_ID"), twice).recommend({"target_gene": "x", "disease": "d"})
+
+
+def test_small_helpers(spark):
+    rows = spark.createDataFrame([("x", 0.1, 5), ("x", 0.3, 9), ("x", 0.2, 9), ("y", None, None)], "feature string, correlation double, n int")
+    assert {tuple(r) for r in largest_n(rows).collect()} == {("x", 0.3, 9), ("y", None, None)}
+    one = spark.createDataFrame([(1.0, 3.0)], "a double, b double")
+    assert tuple(one.select(*renormalised(F.col("a"), F.col("b"))).first()) == (0.25, 0.75)
+    assert tuple(one.select(*renormalised(F.col("a") * 0, F.col("b") * 0)).first()) == (None, None)
+    keys = spark.createDataFrame([(" ach-000001 ", "n"), (None, "Hela S-3"), ("", "a b")], "e string, n string").select(candidate_key(F.col("e"), F.col("n"))).collect()
+    assert keys[0][0] == "ACH-000001" and all(k[0].startswith("NAME:") for k in keys[1:])
