@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import encode
 from rankloom.llm.chat import format_turns, read_turns
-from rankloom.llm.common import LOWER, UPPER
+from rankloom.llm.collocations import collocations
+from rankloom.llm.common import LOWER, UPPER, WHITE
+from rankloom.llm.curves import nearest_neighbours
 from rankloom.llm.decontam import find_contamination
 from rankloom.llm.langid import identify, learn
 from rankloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from rankloom.llm.lm import score_texts
 from rankloom.llm.neardup import near_duplicates
+from rankloom.llm.runs import periodic_runs
 from rankloom.llm.sharding import interleave
 from rankloom.llm.topk import top_k
 from rankloom.llm.warc import archive
@@ -239,3 +242,59 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, model = score_texts(docs_of(spark, sf_dir), fold(7) != 2)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@register("op11_hilbert_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = docs_of(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest_neighbours(items.where("id % 100 = 0"), items, k=10)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text; every tenth document's words, by its hash, repeat from one of them on."""
+    h, bare = F.crc32(F.col("doc_id").cast("string")), F.btrim("text", F.lit(WHITE))
+    split = F.when((h % 10 == 0) & (bare != ""), F.split(bare, f"[{WHITE}]+")).alias("words")
+    rows = docs.select("doc_id", "text", split, F.floor(h / 10).alias("g")).withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.expr("IF(words IS NULL, 0, g % n)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("slice(concat(slice(words, 1, int(a)), flatten(array_repeat(slice(words, int(a) + 1, int(p)), int((n - a - 1) div p) + 1))), 1, int(n))")
+    return rows.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(planted, " ")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(docs_of(spark, sf_dir)), keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.withColumn("top", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.expr("top.length * 1000 div -top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@register(
+    "op13_collocation_stripes",
+    f"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+         words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+         one AS (SELECT lang, a, count(*) AS n FROM (SELECT lang, unnest(w) AS a FROM words) GROUP BY ALL),
+         two AS (SELECT lang, w[i] AS a, w[i + 1] AS b, count(*) AS f FROM words, unnest(range(1, len(w))) t(i) GROUP BY ALL HAVING count(*) >= 10),
+         three AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS f FROM words, unnest(range(1, len(w) - 1)) t(i) GROUP BY ALL HAVING count(*) >= 10),
+         holds AS (SELECT lang, a, b, max(f) AS m FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL),
+         cuts AS (SELECT two.lang, concat_ws(' ', two.a, b) AS phrase, f, x.n AS l, y.n AS r, 1 AS k FROM two JOIN one x ON x.lang = two.lang AND x.a = two.a
+                         JOIN one y ON y.lang = two.lang AND y.a = b LEFT JOIN holds h ON h.lang = two.lang AND h.a = two.a AND h.b = two.b WHERE coalesce(100 * m < 50 * f, true)
+                  UNION ALL SELECT t.lang, concat_ws(' ', t.a, t.b, t.c), t.f, x.n, y.f, 1 FROM three t JOIN one x ON x.lang = t.lang AND x.a = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+                  UNION ALL SELECT t.lang, concat_ws(' ', t.a, t.b, t.c), t.f, x.f, y.n, 2 FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.a = t.c),
+         scored AS (SELECT *, (1000000::HUGEINT * f::HUGEINT * f::HUGEINT // (l::HUGEINT * r::HUGEINT))::BIGINT AS score FROM cuts),
+         least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM least)
+    SELECT lang, rank, phrase, f AS a, l, r, s.n::BIGINT AS n, score FROM ranked JOIN (SELECT lang, sum(n) AS n FROM one GROUP BY lang) s USING (lang) WHERE rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(docs_of(spark, sf_dir))
