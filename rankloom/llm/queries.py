@@ -287,8 +287,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
          two AS (SELECT lang, w[i] AS a, w[i + 1] AS b, count(*) AS f FROM words, unnest(range(1, len(w))) t(i) GROUP BY ALL HAVING count(*) >= 10),
          three AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS f FROM words, unnest(range(1, len(w) - 1)) t(i) GROUP BY ALL HAVING count(*) >= 10),
          holds AS (SELECT lang, a, b, max(f) AS m FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL),
-         cuts AS (SELECT two.lang, concat_ws(' ', two.a, b) AS phrase, f, x.n AS l, y.n AS r, 1 AS k FROM two JOIN one x ON x.lang = two.lang AND x.a = two.a
-                         JOIN one y ON y.lang = two.lang AND y.a = b LEFT JOIN holds h ON h.lang = two.lang AND h.a = two.a AND h.b = two.b WHERE coalesce(100 * m < 50 * f, true)
+         cuts AS (SELECT two.lang, concat_ws(' ', two.a, two.b) AS phrase, f, x.n AS l, y.n AS r, 1 AS k FROM two JOIN one x ON x.lang = two.lang AND x.a = two.a
+                         JOIN one y ON y.lang = two.lang AND y.a = two.b LEFT JOIN holds h ON h.lang = two.lang AND h.a = two.a AND h.b = two.b WHERE coalesce(100 * m < 50 * f, true)
                   UNION ALL SELECT t.lang, concat_ws(' ', t.a, t.b, t.c), t.f, x.n, y.f, 1 FROM three t JOIN one x ON x.lang = t.lang AND x.a = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
                   UNION ALL SELECT t.lang, concat_ws(' ', t.a, t.b, t.c), t.f, x.f, y.n, 2 FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.a = t.c),
          scored AS (SELECT *, (1000000::HUGEINT * f::HUGEINT * f::HUGEINT // (l::HUGEINT * r::HUGEINT))::BIGINT AS score FROM cuts),
