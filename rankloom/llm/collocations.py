@@ -15,7 +15,7 @@ from rankloom.llm.common import bounded_batches, stored
 
 #: Words that a task counts before it sends its stripes.
 CHUNK = 1_000_000
-#: A word with this share of all words or more has its stripe cut into parts of at most that share: at most this many such words.
+#: A word that is one of this many words or more has its stripe cut into parts of about that share.
 HOT = 1000
 #: Punctuation and line ends part pieces; a byte that no UTF-8 text has marks them.
 MARK = b"\xff"
@@ -59,10 +59,16 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield chunk
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk the words with half of a hot word's share or more, and (no word) how many words it has.
+
+    Half the occurrences of a hot word, at least, lie in such chunks.
+    """
     for chunk in chunks(batches):
-        n = np.bincount(np.concatenate([x for _, x in chunk.languages()]), minlength=len(chunk.words))
-        yield pa.RecordBatch.from_arrays([pa.array(chunk.vocabulary()[1:], pa.binary()).cast(pa.string()), pa.array(n[1:])], ["word", "n"])
+        n = np.bincount(np.concatenate([x for _, x in chunk.languages()]), minlength=len(chunk.words))[1:]
+        many = np.flatnonzero(n * 2 * HOT >= n.sum())
+        words = list(chunk.words)[1:]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *(words[i].decode() for i in many)]), pa.array([n.sum(), *n[many]])], ["word", "n"])
 
 
 def parts_of(hot: dict[str, int]):
@@ -76,8 +82,9 @@ def parts_of(hot: dict[str, int]):
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            vocabulary = chunk.vocabulary()
-            v, parts = len(vocabulary), np.array([shares.get(w, 1) for w in vocabulary])
+            words = chunk.vocabulary()
+            v, parts, hashes = len(words), np.array([shares.get(w, 1) for w in words]), np.array([crc32(w) for w in words], np.int64)
+            vocabulary = pa.array(words, pa.binary()).cast(pa.string())
             for lang, numbers in chunk.languages():
                 at = np.flatnonzero(numbers)
                 second = numbers[at + 1]
@@ -86,27 +93,19 @@ def parts_of(hot: dict[str, int]):
                 entries, n = np.unique(pair * v + third, return_counts=True)
                 pair, third = entries // v, entries % v
                 first, second = pairs[pair] // v, pairs[pair] % v
-                part = np.zeros(len(first), np.int64)
-                texts = [vocabulary[b] + b" " + vocabulary[c] for b, c in zip(second.tolist(), third.tolist(), strict=True)]
-                for i in np.flatnonzero(parts[first] > 1).tolist():
-                    part[i] = crc32(texts[i]) % parts[first[i]]
+                part = (hashes[second] * 31 + hashes[third]) % parts[first]
                 order = np.lexsort((part, first))
-                first, part, n = first[order], part[order], n[order]
+                first, second, third, part, n = (x[order] for x in (first, second, third, part, n.astype("<u4")))
                 begins = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])])) if len(first) else np.zeros(0, np.int64)
                 ends = np.append(begins[1:], len(first))
                 # Portions keep a batch small.
                 for low in range(0, len(begins), 2000):
                     b, e = begins[low : low + 2000], ends[low : low + 2000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(b)),
-                            pa.array([vocabulary[w] for w in first[b]], pa.binary()).cast(pa.string()),
-                            pa.array(part[b].astype(np.int32)),
-                            pa.array([b",".join(texts[j] for j in order[x:y]) for x, y in zip(b, e, strict=True)], pa.binary()).cast(pa.string()),
-                            pa.array([n[x:y].astype("<u4").tobytes() for x, y in zip(b, e, strict=True)]),
-                        ],
-                        ["lang", "word", "part", "entries", "counts"],
-                    )
+                    inside, offsets = slice(b[0], e[-1]), np.append(b, e[-1]) - b[0]
+                    texts = pc.binary_join_element_wise(vocabulary.take(pa.array(second[inside])), vocabulary.take(pa.array(third[inside])), " ")
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts)
+                    counts = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((offsets * 4).astype("<i4").tobytes()), pa.py_buffer(n[inside].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b)), vocabulary.take(pa.array(first[b])), pa.array(part[b].astype(np.int32)), pc.binary_join(lists, ","), counts], ["lang", "word", "part", "entries", "counts"])
 
     return stripes
 
@@ -162,9 +161,10 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, a, b, c, n: how often words (b and c null), and pairs (c null) and triples of words found ``least`` times or more, occur."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
-    words = stored(texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = {r.word: -(-r.n * HOT // total) for r in words.where(F.col("n") * HOT > total).collect()}
+    # Only how stripes are cut depends on these counts; a word that isn't hot may be among them, up to twice as many are.
+    words = {r.word: r.n for r in texts.mapInArrow(frequent_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    total = words.pop(None, 0)
+    hot = {w: -(-n * 2 * HOT // total) for w, n in words.items() if n * 2 * HOT > total}
     stripes = texts.mapInArrow(parts_of(hot), "lang string, word string, part int, entries string, counts binary")
     together = stripes.repartition(*KEY).sortWithinPartitions(*KEY)
     found = together.mapInArrow(merger(least, set(hot)), "lang string, a string, b string, c string, n long")
@@ -207,6 +207,8 @@ def collocations(docs: DataFrame, least: int = 10, covered_percent: int = 50, to
     first = F.col("s1") <= F.col("s2")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
     three = three.select("lang", F.concat_ws(" ", "a", "b", "c").alias("phrase"), F.col("f").alias("a"), pick("l1", "l2", "l"), pick("r1", "r2", "r"), pick("s1", "s2", "score"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = two.unionByName(three).withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # The best of 64 parts of a language first, so no task gets the best of each task before.
+    best = two.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    best = best.withColumn("rank", rank("part")).where(F.col("rank") <= top).withColumn("rank", rank().cast("long")).where(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
