@@ -17,12 +17,12 @@ from rankloom.llm.common import bounded_batches, discard, stored
 
 #: Projected dimensions of a curve and bits of each; the bits of the key below them break ties by the vector's id.
 DIMENSIONS, BITS, TIE = 12, 4, 15
-#: Numbers of curves to choose from.
-CURVES = (4, 8, 16, 32, 64)
+#: Curves that every item is on.
+CURVES = 24
 #: Rows whose mean and deviation the grid is fitted to, and queries that windows are fitted to.
 FITTED, TRIED = 4096, 192
 #: Share of the true neighbours of those queries that the windows must hold.
-TARGET = 0.97
+TARGET = 0.95
 #: Rows of a cell, a part of a curve that one task searches, where windows aren't wider; and cells of a curve at most.
 CELL, MOST_CELLS = 8192, 8192
 
@@ -61,7 +61,7 @@ class Grid:
         self.width, self.seed = sample.shape[1], seed
         self.mean = sample.mean(0) if len(sample) else np.zeros(self.width)
         centred = sample - self.mean
-        self.spread = [np.maximum((centred @ self.turn(c).T).std(0) if len(sample) else 1.0, 1e-12) for c in range(CURVES[-1])]
+        self.spread = [np.maximum((centred @ self.turn(c).T).std(0) if len(sample) else 1.0, 1e-12) for c in range(CURVES)]
 
     def turn(self, curve: int) -> np.ndarray:
         """Orthonormal directions of a curve, and random ones where there are fewer dimensions than the curve has."""
@@ -163,7 +163,7 @@ def rank_gaps(found: DataFrame, grid: Grid, tried: list, near: list) -> np.ndarr
         if known.setdefault(r.id, len(vectors)) == len(vectors):
             vectors.append(padded(r.vector, width))
     table, ids = np.array(vectors).reshape(-1, width), np.array(list(known), np.int64)
-    keys = np.array([grid.keys(table, ids, c) for c in range(CURVES[-1])])
+    keys = np.array([grid.keys(table, ids, c) for c in range(CURVES)])
     order = np.sort(keys, 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,19 +186,10 @@ def rank_gaps(found: DataFrame, grid: Grid, tried: list, near: list) -> np.ndarr
     return np.abs(place[:, a] - place[:, b])
 
 
-def choose(gaps: np.ndarray, n: int, queries: int, least: int) -> tuple[int, int]:
-    """Curves and rows on either side of a query: the cheapest choice whose windows hold TARGET of the pairs.
-
-    A curve costs the moving of all its points, a window the comparison of its rows, about a fifth of that for each.
-    """
-    best = None
-    for c in CURVES:
-        closest = np.sort(gaps[:c].min(0)) if gaps.size else np.zeros(1, np.int64)
-        window = max(least, int(closest[min(len(closest) - 1, int(np.ceil(TARGET * len(closest))))]) + 1)
-        cost = c * (n + queries * min(2 * window, n) / 5)
-        if best is None or cost < best[0]:
-            best = cost, c, window
-    return best[1:]
+def fitted_window(gaps: np.ndarray, least: int) -> int:
+    """Rows on either side of a query: the fewest, ``least`` at least, with TARGET of the pairs in the window of some curve."""
+    closest = np.sort(gaps.min(0))
+    return max(least, int(closest[int(TARGET * (len(closest) - 1))]) + 1) if len(closest) else least
 
 
 def nearest_neighbours(queries: DataFrame, items: DataFrame, k: int = 10, least_window: int = 256, seed: int = 7) -> DataFrame:
@@ -210,10 +201,9 @@ def nearest_neighbours(queries: DataFrame, items: DataFrame, k: int = 10, least_
     all their ids that can be in a result are returned. Fewer than k candidates are all found. Other columns don't matter; an
     empty table on either side gives no rows. Distances are those of the vectors themselves.
 
-    Every item is on every curve. How many curves are used and how many rows around a query are compared is fitted: for
-    TRIED queries (those of least hash; a bound, not a share) the true neighbours are found by comparing them
-    with all items, and the cheapest choice whose windows hold TARGET of those neighbours is taken. Vectors that have no structure
-    need wide windows, up to all rows, and get them. Curves are cut into cells of even size; a query goes to its cell and
+    Every item is on every curve. How many rows around a query are compared is fitted: for TRIED queries (those of
+    least hash; a bound, not a share) the true neighbours are found by comparing them with all items, and windows are as
+    wide as it takes to hold TARGET of those neighbours. Vectors that have no structure need wide windows, up to all rows, and get them. Curves are cut into cells of even size; a query goes to its cell and
     both beside it, so that windows cross the cuts.
     """
     spark = items.sparkSession
@@ -226,22 +216,21 @@ def nearest_neighbours(queries: DataFrame, items: DataFrame, k: int = 10, least_
     shared = F.row_number().over(Window.partitionBy("vector", "part").orderBy("id"))
     lone = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16))).withColumn("n", shared).where("n = 1").groupBy("vector").agg(F.min("id").alias("id"))
     lone = stored(lone, "lone")
-    n_asked, wide = lone.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    width = max(width, wide, 1)
+    width = max(1, width, lone.agg(F.coalesce(F.max(F.size("vector")), F.lit(0))).first()[0])
     sample = found.orderBy(F.xxhash64("vector")).limit(FITTED).select("vector").toArrow()
     grid = Grid(matrix(sample.column("vector"), width), seed)
     tried = lone.orderBy(F.xxhash64("vector")).limit(TRIED).collect()
     near = true_neighbours(found, tried, width, k) if n and tried else []
-    curves, window = choose(rank_gaps(found, grid, tried, near), n, n_asked, max(least_window, k + 1)) if near else (CURVES[0], least_window)
+    window = fitted_window(rank_gaps(found, grid, tried, near), max(least_window, k + 1)) if near else least_window
     cells = max(1, min(MOST_CELLS, n // max(CELL, 4 * window)))
 
     def on_curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m, first = matrix(b.column("vector"), width), pa.compute.list_element(b.column("ids"), 0).to_numpy(zero_copy_only=False)
-            for c in range(curves):
+            for c in range(CURVES):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(grid.keys(m, first, c))], ["curve", "key"])
 
-    cuts = np.zeros((curves, 0), np.int64)
+    cuts = np.zeros((CURVES, 0), np.int64)
     if cells > 1:
         shares = [i / cells for i in range(1, cells)]
         by_curve = found.mapInArrow(on_curves, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", shares, max(10_000, 20 * cells)).alias("cuts"))
@@ -251,7 +240,7 @@ def nearest_neighbours(queries: DataFrame, items: DataFrame, k: int = 10, least_
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m, first = matrix(b.column("vector"), width), pa.compute.list_element(b.column("ids"), 0).to_numpy(zero_copy_only=False)
-                for c in range(curves):
+                for c in range(CURVES):
                     keys = grid.keys(m, first, c)
                     own = np.searchsorted(cuts[c], keys, "right")
                     for step in (-1, 0, 1) if beside else (0,):

@@ -95,10 +95,10 @@ def test_neighbours_of_odd_rows(spark):
 
 
 def test_windows_widen_until_neighbours_are_in_them():
-    gaps = np.tile(np.arange(1000) * 10, (64, 1))
-    assert curves.choose(gaps, 10_000, 100, 10) == (4, 9701)
+    gaps = np.tile(np.arange(1001) * 10, (24, 1))
+    assert curves.fitted_window(gaps, 10) == 9501 and curves.fitted_window(gaps[:, :0], 10) == 10
     gaps[5] = 3
-    assert curves.choose(gaps, 10_000, 100, 10) == (8, 10)
+    assert curves.fitted_window(gaps, 10) == 10
 
 
 # ---------------------------------------------------------------- runs
