@@ -20,6 +20,12 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.when(F.abs(c) >= 1e15 / 10.0**digits, c).otherwise(F.floor(c * 10.0**digits + 0.5) / 10.0**digits)
 
 
+def exact_mean(c: Column, digits: int = 9) -> Column:
+    """The mean of values of so many digits at most, summed as whole numbers: the order of the rows doesn't matter."""
+    whole = F.floor(c * 10**digits + 0.5).cast("decimal(20,0)")
+    return F.sum(whole).cast("double") / F.count(c) / 10**digits
+
+
 def clip01(c: Column) -> Column:
     """Between 0 and 1; null stays null."""
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.scalar import exact_mean
+
 
 def close(a: Column, b: Column, tolerance: float = 0.0) -> Column:
     """Equal, both null, or apart by no more than the tolerance."""
@@ -55,9 +57,9 @@ def pool_order(pool: DataFrame, by: str = "query") -> DataFrame:
 
 
 def by_stratum(detail: DataFrame, stratum: str, by: list[str], rates: list[str]) -> DataFrame:
-    """Rows and mean rates by stratum, and over all as stratum ALL, in one pass."""
+    """Rows and mean rates (of nine digits at most) by stratum, and over all as stratum ALL, in one pass."""
     rows = detail.withColumn(stratum, F.explode(F.array(F.col(stratum), F.lit("ALL"))))
-    return rows.groupBy(stratum, *by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col(r).cast("double")).alias(f"mean_{r}") for r in rates))
+    return rows.groupBy(stratum, *by).agg(F.count(F.lit(1)).alias("n"), *(exact_mean(F.col(r).cast("double")).alias(f"mean_{r}") for r in rates))
 
 
 def contrasts(detail: DataFrame, pairs: DataFrame, metrics: list[str], unit: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import clip01, rna_trust, rounded
 from rankloom.operators.scoring import agreement, scale
+from rankloom.session import materialised
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,8 @@ def sweep(rows: DataFrame, configs: DataFrame, by: list[str], controlled: bool =
     applies, and final and confidence scores are rounded before ranking; ties go by confidence, then id.
     """
     rows = scale(rows, by, {"__r": "rnaExpr", "__p": "protExpr", "__e": "exclusionExpr"}, close=True)
-    rows = rows.crossJoin(F.broadcast(configs))
+    # Configurations multiply few candidates, which may lie in a single partition.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).crossJoin(F.broadcast(configs))
     r, p = F.col("__r"), F.col("__p")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     has_r, seen = r.isNotNull(), p.isNotNull()
@@ -119,42 +121,63 @@ def sweep(rows: DataFrame, configs: DataFrame, by: list[str], controlled: bool =
     rows = rows.withColumns({"__trust": trust, "__has_r": has_r, "__has_p": has_p, "__complete": complete, "__support": support, "__agree": agree, "__confidence": confidence})
     has_r, has_p, trust = F.col("__has_r"), F.col("__has_p"), F.col("__trust")
 
-    rna_w = F.col("rna_w") * trust
-    freed = F.col("rna_w") - rna_w
-    protein_w = F.when(has_p, F.col("protein_w") + freed).otherwise(0.0)
-    rna_w = F.when(has_p, rna_w).otherwise(rna_w + freed)
-    weight = rna_w * has_r.cast("int") + protein_w
-    biology = F.try_divide(rna_w * zero(r) + protein_w * zero(p), weight)
-    standard = (F.col("rna_w") + F.col("protein_w")) * biology + F.col("confidence_w") * F.col("__confidence")
-
-    flat_r = F.lit(FLAT["rna"]) * trust
-    flat_freed = FLAT["rna"] - flat_r
-    flat_p = F.when(has_p, FLAT["protein"] + flat_freed).otherwise(0.0)
-    flat_r = F.when(has_p, flat_r).otherwise(flat_r + flat_freed + FLAT["protein"] + FLAT["consistency"])
+    # Weights and partial scores are columns of their own: one expression for all of it repeats them in every branch.
+    rows = rows.withColumns({"__rna_w": F.col("rna_w") * trust, "__flat_r": F.lit(FLAT["rna"]) * trust})
+    freed, flat_freed = F.col("rna_w") - F.col("__rna_w"), FLAT["rna"] - F.col("__flat_r")
+    rows = rows.withColumns(
+        {
+            "__protein_w": F.when(has_p, F.col("protein_w") + freed).otherwise(0.0),
+            "__rna_w": F.when(has_p, F.col("__rna_w")).otherwise(F.col("__rna_w") + freed),
+            "__flat_p": F.when(has_p, FLAT["protein"] + flat_freed).otherwise(0.0),
+            "__flat_r": F.when(has_p, F.col("__flat_r")).otherwise(F.col("__flat_r") + flat_freed + FLAT["protein"] + FLAT["consistency"]),
+        }
+    )
+    weight = F.col("__rna_w") * has_r.cast("int") + F.col("__protein_w")
+    biology = F.try_divide(F.col("__rna_w") * zero(r) + F.col("__protein_w") * zero(p), weight)
     flat_c = F.when(has_p, FLAT["consistency"]).otherwise(0.0)
-    flat = flat_r * zero(r) + flat_p * zero(F.when(has_p, p)) + flat_c * zero(F.col("__agree")) + FLAT["completeness"] * F.col("__complete")
+    flat = F.col("__flat_r") * zero(r) + F.col("__flat_p") * zero(F.when(has_p, p)) + flat_c * zero(F.col("__agree")) + FLAT["completeness"] * F.col("__complete")
+    rows = rows.withColumns({"__standard": (F.col("rna_w") + F.col("protein_w")) * biology + F.col("confidence_w") * F.col("__confidence"), "__flat": flat})
+    standard, flat = F.col("__standard"), F.col("__flat")
     if controlled:
-        flat = F.when(has_r | has_p, flat)
-        final = F.when(F.col("structure") == "rna_only", r).when(F.col("structure") == "v3", flat).otherwise(standard)
-        final, confident = rounded(clip01(final)), rounded(clip01(F.col("__confidence")))
+        final = F.when(F.col("structure") == "rna_only", r).when(F.col("structure") == "v3", F.when(has_r | has_p, flat)).otherwise(standard)
+        shape = lambda c: rounded(clip01(c))
     else:
         penalty = zero(F.col("max_penalty") * F.col("__e"))
         final = F.when(F.col("structure") == "rna_only", zero(r)).when(F.col("structure") == "v3", flat - penalty).otherwise(standard - penalty)
-        final, confident = clip01(final), F.col("__confidence")
-    rows = rows.withColumns({"finalScore": final, "confidenceScore": confident, "exclusionScaled": F.col("__e")}).where(F.col("finalScore").isNotNull())
+        shape = clip01
+    rows = rows.withColumn("__final", final).where(F.col("__final").isNotNull())
+    rows = rows.withColumns({"finalScore": shape(F.col("__final")), "confidenceScore": shape(F.col("__confidence")) if controlled else F.col("__confidence"), "exclusionScaled": F.col("__e")})
     rows = rows.select("config", *by, "DepMap_ID", "finalScore", "confidenceScore", "exclusionScaled", "__has_r", "__has_p").withColumnsRenamed({"__has_r": "has_rna", "__has_p": "has_protein"})
-    return tie_ranks(rows, ["config", *by], controlled)
+    # Ranks need sums over the scores first.
+    return tie_ranks(materialised(rows), ["config", *by], controlled)
 
 
 def tie_ranks(rows: DataFrame, by: list[str], by_confidence: bool = False, score: str = "finalScore") -> DataFrame:
-    """rank (ordinal), rankMin, rankMid, rankMax and tieSize of equal scores."""
-    more = [F.desc("confidenceScore")] if by_confidence else []
-    group = Window.partitionBy(*by)
-    ordinal = F.row_number().over(group.orderBy(F.desc(score), *more, F.asc("DepMap_ID"))).cast("long")
-    least = F.rank().over(group.orderBy(F.desc(score))).cast("long")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by, score))
-    rows = rows.withColumns({"rank": ordinal, "rankMin": least, "tieSize": size})
-    return rows.withColumns({"rankMid": F.col("rankMin") + (F.col("tieSize") - 1) / 2.0, "rankMax": F.col("rankMin") + F.col("tieSize") - 1})
+    """rank (ordinal), rankMin, rankMid, rankMax and tieSize of equal scores, and comparatorTieSize, of equal score and confidence.
+
+    Scores are from 0 to 1. Groups of equal rows are counted, and their places come from sums over a ten-thousandth of the scores and
+    over at most 10,001 of those, so no task has all candidates of ``by``. Equal rows are sorted by id; without ``by_confidence``
+    all rows of a score are. Scores and confidences (if there are any) may not be null.
+    """
+    confidence = [c for c in rows.columns if c == "confidenceScore"]
+    part, tied = F.floor((1.0 - F.col(score)) * 10_000).cast("int"), [*by, "__part", score]
+    equal = tied + confidence
+    rows = rows.withColumn("__part", part)
+    # Keyed on all columns of ``equal``, so that the counts and the rows that get them meet by one exchange each.
+    groups = rows.groupBy(*equal).agg(F.count(F.lit(1)).alias("comparatorTieSize"))
+    up_to = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    parts = groups.groupBy(*by, "__part").agg(F.sum("comparatorTieSize").alias("__rows"))
+    parts = parts.withColumn("__above", none(F.sum("__rows").over(up_to(*by).orderBy("__part")))).drop("__rows")
+    same = Window.partitionBy(*tied)
+    groups = groups.withColumn("__before", none(F.sum("comparatorTieSize").over(up_to(*by, "__part").orderBy(F.desc(score), *map(F.desc, confidence)))))
+    groups = groups.withColumns({"__first": F.min("__before").over(same), "tieSize": F.sum("comparatorTieSize").over(same)}).join(parts, [*by, "__part"])
+    within = equal if by_confidence else tied
+    nth = F.row_number().over(Window.partitionBy(*within).orderBy("DepMap_ID"))
+    least, start = F.col("__above") + F.col("__first") + 1, F.col("__above") + F.col("__before" if by_confidence else "__first")
+    placed = rows.withColumn("__nth", nth).join(groups, equal).withColumns({"rank": start + F.col("__nth"), "rankMin": least})
+    placed = placed.withColumns({"rankMid": F.col("rankMin") + (F.col("tieSize") - 1) / 2.0, "rankMax": F.col("rankMin") + F.col("tieSize") - 1})
+    return placed.select(*(c for c in rows.columns if c != "__part"), "rank", "rankMin", "tieSize", "comparatorTieSize", "rankMid", "rankMax")
 
 
 def top_with_ties(ranked: DataFrame, k: int) -> DataFrame:

@@ -37,6 +37,11 @@ def r4(x: str, digits: int = 4) -> str:
     return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
+def mean(x: str, digits: int = 9) -> str:
+    """The mean of values of so many digits at most, in any order."""
+    return f"(sum(floor(({x}) * 1e{digits} + 0.5)::HUGEINT)::DOUBLE / count({x}) / 1e{digits})"
+
+
 def clip(x: str) -> str:
     return f"(CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, least(1.0, {x})) END)"
 

@@ -83,7 +83,7 @@ def swept(configs: list[SweepConfig], controlled: bool) -> str:
     c AS (SELECT *, {final} AS finalScore, {confident} AS confidenceScore FROM b),
     d AS (SELECT config, query, id, e, r IS NOT NULL AS has_rna, hp AS has_protein, finalScore, confidenceScore FROM c WHERE finalScore IS NOT NULL),
     ranked0 AS (SELECT *, row_number() OVER (PARTITION BY config, query ORDER BY {order}) AS rank, rank() OVER (PARTITION BY config, query ORDER BY finalScore DESC) AS rankMin,
-                      count(*) OVER (PARTITION BY config, query, finalScore) AS tieSize FROM d),
+                      count(*) OVER (PARTITION BY config, query, finalScore) AS tieSize, count(*) OVER (PARTITION BY config, query, finalScore, confidenceScore) AS comparatorTieSize FROM d),
     ranked AS (SELECT *, rankMin + (tieSize - 1) / 2.0 AS rankMid, rankMin + tieSize - 1 AS rankMax FROM ranked0)"""
 
 
@@ -99,6 +99,33 @@ def sweep_controlled(spark, sf_dir):
     return top_with_ties(ranked, 10).select("config", "query", "DepMap_ID", "finalScore", "confidenceScore", "rank", "rankMin", "rankMid", "rankMax", "tieSize")
 
 
+@register(
+    "sweep_ties",
+    f"""WITH {swept(CONTROLLED, True)} SELECT config, query, count(*) AS n, count(*) FILTER (WHERE tieSize > 1) AS n_tied, max(tieSize) AS largest_tie, count(*) FILTER (WHERE comparatorTieSize > 1) AS n_equal,
+        max(comparatorTieSize) AS largest_equal, max(rankMid) AS last_mid, sum(rank)::BIGINT AS ranks FROM ranked GROUP BY ALL""",
+)
+def sweep_ties(spark, sf_dir):
+    """How many candidates the score alone, and score and confidence, leave undecided."""
+    ranked = sweep(rows_of(spark, sf_dir), config_table(spark, CONTROLLED), ["query"], controlled=True)
+    return ranked.groupBy("config", "query").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("tieSize") > 1).alias("n_tied"),
+        F.max("tieSize").alias("largest_tie"),
+        F.count_if(F.col("comparatorTieSize") > 1).alias("n_equal"),
+        F.max("comparatorTieSize").alias("largest_equal"),
+        F.max("rankMid").alias("last_mid"),
+        F.sum("rank").alias("ranks"),
+    )
+
+
+@register("sweep_labelled_best", f"WITH {swept(LABELLED, False)} SELECT config, query, id AS DepMap_ID, rank, {r4('finalScore')} AS finalScore FROM ranked WHERE rank <= 10 AND config <> 'B0_rna_mean'")
+def sweep_labelled_best(spark, sf_dir):
+    """The ten best by scores that aren't rounded."""
+    ranked = sweep(rows_of(spark, sf_dir), config_table(spark, LABELLED), ["query"])
+    best = ranked.where((F.col("rank") <= 10) & (F.col("config") != "B0_rna_mean"))
+    return best.select("config", "query", "DepMap_ID", "rank", rounded(F.col("finalScore")).alias("finalScore"))
+
+
 @register("sweep_labelled_10", f"WITH {swept(LABELLED, False)} {_DETAIL}")
 def sweep_labelled(spark, sf_dir):
     ranked = sweep(rows_of(spark, sf_dir), config_table(spark, LABELLED), ["query"])

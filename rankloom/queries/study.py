@@ -9,7 +9,7 @@ from rankloom.operators.checks import by_stratum, check_row, contrasts, paired_b
 from rankloom.operators.reviews import candidate_pool, stability
 from rankloom.operators.sweeps import CONTROLLED, config_table, sweep
 from rankloom.queries import evaluation as E
-from rankloom.queries.base import r4, registry, scored, store
+from rankloom.queries.base import mean, r4, registry, scored, store
 from rankloom.queries.reviews import _ranked
 from rankloom.session import materialised
 
@@ -41,7 +41,8 @@ _LONG = " UNION ALL ".join(f"SELECT config, query, '{m}' AS metric, {m} AS v FRO
 )
 def controlled_contrasts(spark, sf_dir):
     pairs = spark.createDataFrame(CONTRASTS, "contrast string, reference string, treatment string")
-    out = contrasts(E.detail_of(spark, sf_dir, CONTROLLED), pairs, METRICS, "query")
+    # Both sides of a contrast are read from the detail, a row for each configuration and query.
+    out = contrasts(materialised(E.detail_of(spark, sf_dir, CONTROLLED)), pairs, METRICS, "query")
     return out.withColumns({c: rounded(F.col(c), 6) for c in ("reference_mean", "treatment_mean", "mean_delta", "median_delta")})
 
 
@@ -63,7 +64,7 @@ _WORD = 1 << 32
     SELECT config, {r4("any_value(mean)", 6)} AS mean_delta, {r4("CASE WHEN any_value(zero) THEN 0.0 ELSE quantile_cont(m, 0.025) END", 6)} AS low, {r4("CASE WHEN any_value(zero) THEN 0.0 ELSE quantile_cont(m, 0.975) END", 6)} AS high FROM mm GROUP BY config""",
 )
 def portable_bootstrap(spark, sf_dir):
-    detail = E.detail_of(spark, sf_dir, CONTROLLED)
+    detail = materialised(E.detail_of(spark, sf_dir, CONTROLLED))
     base = detail.where("config = 'A0_team_baseline'").select("query", F.col("ndcg_at_5").alias("b"))
     differences = detail.join(base, "query").select("config", "query", (F.col("ndcg_at_5") - F.col("b")).alias("d"))
     out = paired_bootstrap(differences, "config", "query", "d", ROUNDS, SEED)
@@ -99,7 +100,7 @@ def study_checks(spark, sf_dir):
 @register(
     "panel_summary",
     f"""WITH s AS ({E.ORACLE_SQL["sweep_against_baseline"]}), t AS (SELECT *, CASE WHEN query IN ('BRAND-13', 'BRAND-7') THEN 'reliable' ELSE 'unreliable' END AS stratum FROM s)
-    SELECT stratum, config, count(*) AS n, {r4("avg(jaccard)")} AS mean_jaccard, {r4("avg(top1_changed::INT)")} AS mean_top1_changed FROM (SELECT * FROM t UNION ALL SELECT * REPLACE ('ALL' AS stratum) FROM t) GROUP BY stratum, config""",
+    SELECT stratum, config, count(*) AS n, {r4(mean("jaccard"))} AS mean_jaccard, {r4(mean("top1_changed::INT"))} AS mean_top1_changed FROM (SELECT * FROM t UNION ALL SELECT * REPLACE ('ALL' AS stratum) FROM t) GROUP BY stratum, config""",
 )
 def panel_summary(spark, sf_dir):
     detail = E.sweep_against_baseline(spark, sf_dir).withColumn("stratum", F.when(F.col("query").isin("BRAND-13", "BRAND-7"), "reliable").otherwise("unreliable"))

@@ -143,6 +143,20 @@ def test_cut_off_tie(spark):
     assert kept.count() == 11 and {(r["rankMin"], r["rankMid"], r["rankMax"], r["tieSize"]) for r in tied} == {(10, 10.5, 11, 2)}
 
 
+def test_ranks_and_ties_against_sorting(spark):
+    """Ordinal and tie ranks by score alone and by score and confidence, over rows that tie in either."""
+    rows = [("Q%d" % (i % 2), f"E{i:03}", (i * 7 % 11) / 11 / (1 + i % 3), (i * 5 % 4) / 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "query string, DepMap_ID string, finalScore double, confidenceScore double")
+    for by_confidence in (True, False):
+        got = {r["DepMap_ID"]: r for r in tie_ranks(df, ["query"], by_confidence).collect()}
+        for q in ("Q0", "Q1"):
+            mine = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], -r[3] if by_confidence else 0, r[1]))
+            for nth, (_, i, score, confidence) in enumerate(mine):
+                above, same = sum(r[2] > score for r in mine), sum(r[2] == score for r in mine)
+                want = (nth + 1, above + 1, above + (same + 1) / 2, above + same, same, sum(r[2:] == (score, confidence) for r in mine))
+                assert tuple(got[i][c] for c in ("rank", "rankMin", "rankMid", "rankMax", "tieSize", "comparatorTieSize")) == want
+
+
 def test_expected_reciprocal_rank(spark):
     out = evaluate(ranking(spark, {"N0": 1, "P1": 0.5, "N1": 0.5, "N2": 0.5}), marks(spark, P1="positive"), ["query"], ks=(2,)).first()
     assert out["expected_rr"] == pytest.approx((1 / 2 + 1 / 3 + 1 / 4) / 3) and out["p_at_2"] * 2 == pytest.approx(1 / 3) and out["mrr"] == pytest.approx(1 / 3)
