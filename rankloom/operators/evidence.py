@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.scalar import clip01, mean_available, spread_available
+from rankloom.functions.scalar import clip01, mean_available, spread_available, upper_key
 
 # The columns of the unified long table, its layers, and the sources with their layers.
 UNIFIED = ["DepMap_ID", "gene_symbol", "ensembl_id", "omics_layer", "value_raw", "value_unit", "source", "source_version"]
@@ -95,3 +95,53 @@ def replicate_audit(long: DataFrame) -> DataFrame:
         F.count_if(F.col("d") > 1).alias("n_conflicting"),
         F.sum(F.col("n") - 1).alias("n_collapsed"),
     )
+
+
+#: Numeric types from narrow to wide; any other mixture of types is text.
+WIDTHS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """Tables of unlike columns as one: a column that a table lacks is null there, one of several types gets the widest number or is text.
+
+    Columns keep the order in which they first appear, but masks (has_*), rna_consistency and data_completeness come last. Column
+    names are compared as they are. No tables are an error.
+    """
+    if not tables:
+        raise ValueError("no tables to stack")
+    kinds: dict[str, set[str]] = {}
+    for t in tables:
+        for c, kind in t.dtypes:
+            kinds.setdefault(c, set()).add(kind)
+    widest = {c: k.pop() if len(k := set(found) - ({"void"} if len(found) > 1 else set())) == 1 else max(k, key=WIDTHS.index) if k <= set(WIDTHS[1:]) else "string" for c, found in kinds.items()}
+    late = lambda c: c.startswith("has_") or c in ("rna_consistency", "data_completeness")
+    order = sorted(widest, key=late)
+    cast = lambda t, c: (F.col(f"`{c}`") if c in t.columns else F.lit(None)).cast(widest[c]).alias(c)
+    return reduce(DataFrame.unionAll, (t.select(*(cast(t, c) for c in order)) for t in tables))
+
+
+def panel_rows(long: DataFrame, panel: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The long rows of a panel's features and of known entities, and one row that tells what went.
+
+    panel: gene_symbol, a short list without repeated symbols (broadcast, its size is checked). Keys are normalised. The audit has
+    rows_before, rows_after, ids_before, unmatched_ids, rows_removed, n_missing (features without rows left) and missing (the least of them).
+    """
+    n, distinct = panel.agg(F.count(F.lit(1)), F.count_distinct(upper_key(F.col("gene_symbol")))).first()
+    if n != distinct or n > 1_000_000:
+        raise ValueError("a panel lists each feature once, and a million at most")
+    features = F.broadcast(panel.select(upper_key(F.col("gene_symbol")).alias("gene_symbol")))
+    mine = long.withColumns({"DepMap_ID": upper_key(F.col("DepMap_ID")), "gene_symbol": upper_key(F.col("gene_symbol"))}).join(features, "gene_symbol", "left_semi")
+    there = known.select(upper_key(F.col("DepMap_ID")).alias("DepMap_ID")).distinct().withColumn("__known", F.lit(True))
+    marked = mine.join(there, "DepMap_ID", "left")
+    kept = marked.where("__known").select(*long.columns)
+    by_feature = marked.groupBy("gene_symbol").agg(F.count_if("__known").alias("n"))
+    missing = features.join(by_feature.where("n > 0"), "gene_symbol", "left_anti").agg(F.count(F.lit(1)).alias("n_missing"), F.min("gene_symbol").alias("missing"))
+    ids = marked.groupBy("DepMap_ID").agg(F.count(F.lit(1)).alias("n"), F.max("__known").alias("known"))
+    audit = ids.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("rows_after"),
+        F.count(F.lit(1)).alias("ids_before"),
+        F.count_if(F.col("known").isNull()).alias("unmatched_ids"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("rows_removed"),
+    )
+    return kept, audit.crossJoin(F.broadcast(missing))

@@ -50,6 +50,31 @@ class ScoringConfig:
             raise ValueError(f"weights must be finite, not negative and sum to 1 in each group: {weights}")
 
 
+#: Columns that the display name may come from where it is null throughout, in this order.
+NAME_FALLBACKS = ("cell_line_name", "CCLE_Name", "ModelID")
+
+
+def prepared_annotations(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row for each entity, with stripped_cell_line_name, lineage and primary_disease.
+
+    Of an entity's rows the first by ``order`` stays (by all columns, in their order, if none is given). Columns that aren't there are null. If no
+    row has a stripped_cell_line_name, the first of NAME_FALLBACKS that is there takes its place throughout. Rows without an id go.
+    """
+    need = [c for c in ("stripped_cell_line_name", "lineage", "primary_disease") if c not in rows.columns]
+    rows = rows.where(F.col("DepMap_ID").isNotNull()).withColumns({c: F.lit(None).cast("string") for c in need})
+    others = [c for c in rows.columns if c != "DepMap_ID"]
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in others)), F.struct(*(F.col(f"`{c}`") for c in order or others)))
+    one = rows.groupBy("DepMap_ID").agg(first.alias("__row")).select("DepMap_ID", "__row.*")
+    other = next((c for c in NAME_FALLBACKS if c in others), None)
+    if other is None:
+        return one
+    if "stripped_cell_line_name" in need:
+        return one.withColumn("stripped_cell_line_name", F.col(other).cast("string"))
+    named = one.agg(F.count("stripped_cell_line_name").alias("__named"))
+    name = F.when(F.col("__named") > 0, F.col("stripped_cell_line_name")).otherwise(F.col(other).cast("string"))
+    return one.crossJoin(F.broadcast(named)).withColumn("stripped_cell_line_name", name).drop("__named")
+
+
 def context_filter(rows: DataFrame, aliases: list[str]) -> DataFrame:
     """Rows whose disease and lineage hold one of the aliases as a substring; no aliases: all rows. Adds matchedDiseaseText."""
     text = normal_context(F.concat_ws(" ", F.coalesce("primary_disease", F.lit("")), F.coalesce("lineage", F.lit(""))))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.contexts import clean_request, context_aliases, query_mode
 from rankloom.operators.evidence import EVIDENCE, standardise, wide_table
-from rankloom.operators.scoring import ScoringConfig, candidates, scored
+from rankloom.operators.scoring import ScoringConfig, candidates, prepared_annotations, scored
 from rankloom.session import materialised
-from rankloom.sources.resolve import duplicated
 
 
 @dataclass
@@ -43,7 +42,7 @@ class EvidenceStore:
     def candidates(self, gene: str | None = None, protein: str | None = None, exclusion: str | None = None, context: str | None = None, merged: bool = False) -> DataFrame:
         mode = query_mode(gene, protein)
         wide = self.wide(gene, protein, exclusion)
-        return candidates(wide, self.annotations, context_aliases(context, merged), mode, gene, protein, exclusion)
+        return candidates(wide, prepared_annotations(self.annotations), context_aliases(context, merged), mode, gene, protein, exclusion)
 
     def rank(self, gene: str | None = None, protein: str | None = None, exclusion: str | None = None, context: str | None = None, merged: bool = False, config: ScoringConfig | None = None) -> DataFrame:
         """All candidates of a request, scored and ranked."""
@@ -53,8 +52,6 @@ class EvidenceStore:
     def recommend(self, request: dict) -> DataFrame:
         """The best rows of a checked request; LookupError where the target has no evidence."""
         q = clean_request(request)
-        if not duplicated(self.annotations, "DepMap_ID").isEmpty():
-            raise ValueError("repeated entities among the annotations")
         gene, protein = q["target_gene"], q["target_protein"]
         if gene and not self.has_evidence(gene):
             raise LookupError(f"no evidence for {gene}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import ensembl_base, ensembl_of_header, fusion_confidence, high_impact, log2_plus_one, symbol_in_parens, symbol_of_header
 from rankloom.operators.evidence import packed
-from rankloom.sources.files import number, read_matrix, read_table
+from rankloom.sources.files import number, read_matrix, read_matrix_of, read_table
 from rankloom.sources.resolve import resolve_accessions, resolve_names
 
 
@@ -50,13 +50,12 @@ def rna_samples(spark: SparkSession, path: str, samples: DataFrame, symbols: Dat
 
     Only columns of resolved samples are read.
     """
-    known = {r["sample"] for r in samples.select("sample").collect()}
-    rows = read_matrix(spark, path, wanted=lambda name: name in known).where("value is not null")
+    rows, _ = read_matrix_of(spark, path, samples.select(F.col("sample").alias("name"), F.col("entity").alias("id")))
+    rows = rows.where("value is not null").withColumnRenamed("id", "entity")
     rows = rows.withColumn("ensembl", F.when(F.startswith("row", F.lit("ENSG")), ensembl_base(F.col("row"))))
     rows = rows.join(symbols, "ensembl", "left").withColumn("symbol", F.when(F.col("ensembl").isNull(), F.col("row")).otherwise(F.col("symbol")))
     if features is not None:
         rows = rows.where(F.upper("symbol").isin([f.upper() for f in features]))
-    rows = rows.join(samples, rows["column"] == samples["sample"])
     value, unit = (log2_plus_one(F.col("value"), clipped=False), "log2(intensity+1)") if logged else (F.col("value"), "intensity")
     return packed(rows, "geo_rna", "entity", F.col("symbol"), value, unit, "matrix", F.col("ensembl"))
 

@@ -97,6 +97,25 @@ def read_matrix(spark: SparkSession, path: str, sep: str = ",", skip: int = 0, k
     return rows.select("row", F.col("p.n").alias("column"), number(F.get("cells", F.col("p.i"))).alias("value"))
 
 
+def read_matrix_of(spark: SparkSession, path: str, known: DataFrame, sep: str = ",", skip: int = 0, keys: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A wide matrix whose column names are re-keyed by ``known`` (name, id): long rows (row, id, value), and the names that have no id.
+
+    The header is read as rows, (place, name), and joined to ``known``; a line gets the places and ids of the columns that have an id
+    and only those cells are exploded, so no list of ids comes to the driver. Of several ids of a name the least counts. Rows without a
+    key go; cells without a number are null.
+    """
+    lines = spark.read.text(path)
+    preamble = [r["value"] for r in lines.head(skip + 1)]
+    head = spark.createDataFrame([(preamble[-1].lstrip("\ufeff"),)], "value string").select(F.posexplode(_cells(F.col("value"), sep)).alias("place", "name")).where(F.col("place") >= keys)
+    ids = known.where("name IS NOT NULL AND id IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"))
+    matched = head.join(ids, "name", "left")
+    places = matched.where("id IS NOT NULL").agg(F.collect_list(F.struct("place", "id")).alias("places"))
+    body = lines.where(~F.col("value").isin(preamble)).select(_cells(F.col("value"), sep).alias("cells"))
+    body = body.where(F.coalesce(F.get("cells", F.lit(0)), F.lit("")) != "").crossJoin(F.broadcast(places))
+    rows = body.select(F.get("cells", F.lit(0)).alias("row"), "cells", F.explode("places").alias("p"))
+    return rows.select("row", F.col("p.id").alias("id"), number(F.get("cells", F.col("p.place"))).alias("value")), matched.where("id IS NULL").select("name")
+
+
 def read_gct(spark: SparkSession, path: str) -> DataFrame:
     """A GCT file as (feature, entity, value): two lines of preamble, features in rows, entities in columns."""
     return read_matrix(spark, path, "\t", skip=2, keys=2).select(F.col("row").alias("feature"), F.col("column").alias("entity"), "value")

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import finite
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 RUN_ID = re.compile(r"[A-Za-z0-9_-]{1,64}")
 
 
@@ -39,9 +45,12 @@ def payload(request: Column, rows: DataFrame, columns: list[str], order: str = "
     return json_safe(rows).agg(F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def cache_features(long: DataFrame, path: str) -> None:
-    """Long rows by feature; only the features at hand are replaced."""
+def cache_features(long: DataFrame, path: str) -> bool:
+    """Long rows by feature; only the features at hand are replaced. Nothing is written, and False returned, if no row has a value (value_raw, or any row where there is no such column)."""
+    if (long.where("value_raw IS NOT NULL") if "value_raw" in long.columns else long).limit(1).isEmpty():
+        return False
     long.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gene_symbol").parquet(path)
+    return True
 
 
 def cached_features(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
@@ -76,3 +85,16 @@ def candidate_detail(run: DataFrame, rank: int, context: DataFrame | None = None
     """The row of one rank of a run, with its entity's context if there is one."""
     row = run.where(F.col("rank") == rank)
     return row if context is None else row.join(context, "DepMap_ID", "left")
+
+
+def save_labels(sheet: DataFrame, path: str) -> None:
+    """A review sheet as Parquet, over one that nobody has reviewed; a sheet with a judgement, a verified row, a source or a note is refused."""
+    spark = sheet.sparkSession
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        text = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+        start = {"judgement": "unknown", "verified": "no", "source_url": "", "evidence_summary": "", "review_notes": ""}
+        touched = [~text(c).isin(blank, "") for c, blank in start.items() if c in old.columns]
+        if touched and not old.where(reduce(lambda a, b: a | b, touched)).limit(1).isEmpty():
+            raise ValueError(f"{path} has reviewed labels; write a new version instead")
+    sheet.write.mode("overwrite").parquet(path)
