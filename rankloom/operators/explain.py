@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.contexts import MAX_TOP_N
 from rankloom.functions.scalar import clip01, rounded
+from rankloom.operators.scoring import weights_payload
+from rankloom.session import materialised
 
 # Datasets and units of a trace, cards a type and the claims they make.
 TRACE_RNA = [("DepMap_RNAseq", "depmapRnaRaw", "log2(TPM+1)"), ("HPA_RNAseq", "hpaRnaRaw", "log2(nTPM+1)"), ("GEO_RNA", "geoRnaRaw", "log2(intensity+1)")]
@@ -125,9 +129,11 @@ def evidence_id(kind: str, *parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.lit(kind), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, 12)
 
 
-def cards(ranked: DataFrame, mode: str, gene: str | None, protein: str | None) -> DataFrame:
+def cards(ranked: DataFrame, mode: str, gene: str | None, protein: str | None, context: DataFrame | None = None) -> DataFrame:
     """Cards of a short ranked list: position, evidence_id, card_type, text, source, DepMap_ID, cellLine, target, values.
 
+    With a ``context`` (see ``entity_context``) the best entity's global signatures, if it has any, are a SUPPLEMENTARY card.
+
     The list is what a request returns, MAX_TOP_N rows at most, and is brought to the driver once, so that the
     cards' plan doesn't rank again for every kind of card.
     """
@@ -166,6 +172,10 @@ def cards(ranked: DataFrame, mode: str, gene: str | None, protein: str | None) -
     out = ranking
     for more in (score, gap, measured, similar):
         out = out.unionByName(more)
+    if context is not None:
+        signed = top.join(context.select("DepMap_ID", "global_signatures"), "DepMap_ID").where(F.size("global_signatures") > 0)
+        about = F.concat(F.lit("Supplementary global signatures are available for "), "cellLine", F.lit("; they are context only and were not used in scoring."))
+        out = out.unionByName(made(signed, "SUPPLEMENTARY", about, F.lit("File 14"), F.map_values("global_signatures"), F.lit(5000), F.col("DepMap_ID"), F.to_json("global_signatures")))
     return out
 
 
@@ -225,11 +235,30 @@ def normal_claims(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"text": F.trim(F.coalesce("text", F.lit(""))), "claim_type": F.upper(F.trim(F.coalesce("claim_type", F.lit("SUPPORT")))), "evidence_ids": ids})
 
 
-def explain_run(ranked: DataFrame, mode: str, gene: str | None, protein: str | None, verifying: str = "full") -> tuple[DataFrame, DataFrame]:
+def explain_run(ranked: DataFrame, mode: str, gene: str | None, protein: str | None, verifying: str = "full", context: DataFrame | None = None, reread: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The scripted writer over a short list: its checked claims, and one row of the fingerprint with whether the list is
-    the same afterwards."""
-    before = fingerprint(ranked)
-    made = cards(ranked, mode, gene, protein)
-    claims = verify(normal_claims(scripted_claims(made)), made, verifying)
-    after = fingerprint(ranked).select(F.col("fingerprint").alias("after"))
+    the same afterwards.
+
+    Claims are made and stored first; then the list is read again, by ``reread`` where it is stored (else from its plan), and its fingerprint
+    compared with the one taken before the writer ran.
+    """
+    before = materialised(fingerprint(ranked))
+    made = cards(ranked, mode, gene, protein, context)
+    claims = materialised(verify(normal_claims(scripted_claims(made)), made, verifying))
+    after = fingerprint(reread() if reread else ranked).select(F.col("fingerprint").alias("after"))
     return claims, before.crossJoin(after).select("fingerprint", (F.col("fingerprint") == F.col("after")).alias("unchanged"), "n_rows")
+
+
+def run_detail(run: DataFrame, rank: int, mode: str, target: str, context: DataFrame) -> DataFrame:
+    """One rank of a saved run, for display: its row (candidate), weights (JSON), evidence_trace, data_gaps, the entity's
+    supplementary context, and the fingerprint of the whole run. LookupError where the run has no such rank.
+
+    The run must have all columns of a scored row. A short list is expected, as requests give one.
+    """
+    row = run.where(F.col("rank") == rank)
+    if row.isEmpty():
+        raise LookupError(f"rank {rank} is not among the results of this run")
+    weights = F.lit(json.dumps(weights_payload(mode), ensure_ascii=False))
+    shown = row.select("DepMap_ID", F.struct(*(F.col(c) for c in run.columns)).alias("candidate"), weights.alias("weights"), trace(mode).alias("evidence_trace"), gaps(mode, target).alias("data_gaps"))
+    more = context.select("DepMap_ID", F.struct("global_signatures", "top_mirna", "top_metabolites", "notes").alias("supplementary"))
+    return shown.join(more, "DepMap_ID", "left").crossJoin(fingerprint(run).select(F.col("fingerprint").alias("ranking_fingerprint")))

@@ -240,9 +240,16 @@ def scored(rows: DataFrame, mode: str, config: ScoringConfig | None = None, by:
     return rows.drop("__r", "__p", "__e", "__biology", "__confidence", "__penalty", "__final")
 
 
-def weights_payload(mode: str, config: ScoringConfig | None = None) -> dict[str, float]:
+# The notes of responses on the weights of the two modes.
+WEIGHT_NOTES = {
+    "PROTEIN_ONLY": "Protein is the only directly scored biological modality: 0.85× protein + 0.15× confidence. RNA contributes only supporting evidence to confidence.",
+    "": "RNA and protein comprise the 0.85 biological-evidence weight. The weight of a missing modality is redistributed across the available biological modalities.",
+}
+
+
+def weights_payload(mode: str, config: ScoringConfig | None = None) -> dict[str, float | str]:
     """The weights that a mode ranks with, as responses show them: without RNA, protein has the weight of both."""
     c = config or ScoringConfig()
     only = mode == "PROTEIN_ONLY"
-    biology = {"protein": round(c.rna_weight + c.protein_weight, 10)} if only else {"rna": c.rna_weight, "protein": c.protein_weight}
-    return biology | {"confidence": c.confidence_weight, "maxExclusionPenalty": c.max_exclusion_penalty}
+    biology = {"rna": 0.0, "protein": round(c.rna_weight + c.protein_weight, 10)} if only else {"rna": c.rna_weight, "protein": c.protein_weight}
+    return biology | {"confidence": c.confidence_weight, "exclusion_penalty_max": c.max_exclusion_penalty, "note": WEIGHT_NOTES["PROTEIN_ONLY" if only else ""]}

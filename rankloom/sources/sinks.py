@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankloom.functions.scalar import finite
 
@@ -77,8 +78,10 @@ def save_run(ranked: DataFrame, folder: str, run_id: str) -> None:
     json_safe(ranked).write.option("ignoreNullFields", False).json(run_path(folder, run_id))
 
 
-def load_run(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
-    return spark.read.json(run_path(folder, run_id))
+def load_run(spark: SparkSession, folder: str, run_id: str, schema: StructType | None = None) -> DataFrame:
+    """A saved run; with ``schema`` its columns have those types, also where all their values are null."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.json(run_path(folder, run_id))
 
 
 def candidate_detail(run: DataFrame, rank: int, context: DataFrame | None = None) -> DataFrame:

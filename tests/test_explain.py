@@ -73,3 +73,54 @@ def test_review_sheets_tell_nothing(spark):
         assert_blinded(good.withColumn("min_rank", F.lit(1)))
     with pytest.raises(ValueError):
         assert_blinded(good.union(good))
+
+
+SCORED = "DepMap_ID string, cellLine string, rank long, finalScore double, confidenceScore double, recommendationLevel string, rnaScore double, proteinScore double, biologicalScore double, exclusionPenalty double, completenessScore double, sourceSupportScore double, targetGeneLabel string, depmapRnaRaw double, hpaRnaRaw double, geoRnaRaw double, proteinRaw double, mutationRaw double, fusionRaw double, fusionConfidenceRaw double, hasMutation boolean, hasHighImpactMutation boolean, hasFusion boolean, hasDepMapRNA boolean, hasHpaRNA boolean, hasGeoRNA boolean, hasProteomics boolean"
+
+
+def short_list(spark, *ids):
+    rows = [(i, f"Line{n}", n, 1.0 - n / 10, 0.5, "Recommended", 0.9 - n / 10, None, 0.5, 0.0, 0.5, 0.25, "G", 1.5, None, None, None, 2.0, None, None, True, False, False, True, False, False, False) for n, i in enumerate(ids, 1)]
+    return spark.createDataFrame(rows, SCORED)
+
+
+def context_of(spark, rows, signatures):
+    from rankloom.operators.lookups import entity_context
+
+    tops = spark.createDataFrame([("ACH-1", [("m", 2.0)])], "DepMap_ID string, top array<struct<feature:string,value:double>>")
+    return entity_context(rows.select("DepMap_ID"), signatures, tops, tops.limit(0))
+
+
+def test_contexts_show_what_there_is(spark):
+    nan = float("nan")
+    signatures = spark.createDataFrame([("ACH-1", 1.5, nan, 3), ("ACH-2", None, nan, None)], "DepMap_ID string, CIN double, Ploidy double, WGD int")
+    rows = {r["DepMap_ID"]: r for r in context_of(spark, short_list(spark, "ACH-1", "ACH-2", "ACH-3"), signatures).collect()}
+    assert rows["ACH-1"]["global_signatures"] == {"CIN": 1.5, "WGD": 3.0} and rows["ACH-2"]["global_signatures"] == {} == rows["ACH-3"]["global_signatures"]
+    assert [x["feature"] for x in rows["ACH-1"]["top_mirna"]] == ["m"] and rows["ACH-3"]["top_mirna"] == []
+    assert [len(rows[i]["notes"]) for i in ("ACH-1", "ACH-2", "ACH-3")] == [1, 2, 3] and "File 14" in rows["ACH-3"]["notes"][0]
+
+
+def test_supplementary_cards_and_details_of_a_saved_run(spark, tmp_path):
+    from rankloom.operators.explain import cards, explain_run, run_detail
+    from rankloom.sources.sinks import load_run, save_run
+
+    ranked = short_list(spark, "ACH-1", "ACH-2")
+    context = context_of(spark, ranked, spark.createDataFrame([("ACH-1", 1.5)], "DepMap_ID string, CIN double"))
+    made = [c for c in cards(ranked, "GENE_MULTIOMICS", "G", None, context).collect() if c["card_type"] == "SUPPLEMENTARY"]
+    assert [(c["text"], c["source"], list(c["values"])) for c in made] == [("Supplementary global signatures are available for Line1; they are context only and were not used in scoring.", "File 14", [1.5])]
+    bare = context_of(spark, ranked, spark.createDataFrame([("ACH-2", 1.5)], "DepMap_ID string, CIN double"))
+    assert cards(ranked, "GENE_MULTIOMICS", "G", None, bare).where("card_type = 'SUPPLEMENTARY'").count() == 0
+
+    save_run(ranked, str(tmp_path), "run")
+    read = lambda: load_run(spark, str(tmp_path), "run", ranked.schema)
+    detail = run_detail(read(), 2, "GENE_MULTIOMICS", "G", context).first()
+    assert detail["candidate"]["cellLine"] == "Line2" and [t["dataset"] for t in detail["evidence_trace"]] == ["DepMap_RNAseq", "DepMap_Mutation"]
+    assert detail["supplementary"]["global_signatures"] == {} and len(detail["data_gaps"]) == 3 and '"note"' in detail["weights"]
+    with pytest.raises(LookupError, match="rank 9"):
+        run_detail(read(), 9, "GENE_MULTIOMICS", "G", context)
+
+    claims, prints = explain_run(read(), "GENE_MULTIOMICS", "G", None, context=context, reread=read)
+    assert prints.first()["unchanged"] and {r["claim_type"] for r in claims.collect()} == {"SUPPORT", "LIMITATION", "ALTERNATIVE", "CONTEXT"}
+    assert prints.first()["fingerprint"] == detail["ranking_fingerprint"]
+    # A list that isn't what it was when the writer began is noticed.
+    changed = ranked.withColumn("finalScore", F.col("finalScore") + F.when(F.col("rank") == 2, 0.01).otherwise(0.0))
+    assert not explain_run(read(), "GENE_MULTIOMICS", "G", None, reread=lambda: changed)[1].first()["unchanged"]

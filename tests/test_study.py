@@ -135,12 +135,17 @@ def test_requests_weights_and_claims(spark):
     with pytest.raises(ValueError):
         clean_request({"target_gene": "A#B", "disease": "x"})
     assert clean_request({"target_gene": "a", "context": " lung "}) == {"target_gene": "A", "target_protein": None, "exclusion_gene": None, "context": "lung", "top_n": 10}
-    assert weights_payload("PROTEIN_ONLY") == {"protein": 0.85, "confidence": 0.15, "maxExclusionPenalty": 0.3} and weights_payload("COMBINED")["rna"] == 0.55
+    assert {k: v for k, v in weights_payload("PROTEIN_ONLY").items() if k != "note"} == {"rna": 0.0, "protein": 0.85, "confidence": 0.15, "exclusion_penalty_max": 0.3} and weights_payload("COMBINED")["rna"] == 0.55
+    assert "only directly scored" in weights_payload("PROTEIN_ONLY")["note"] and "redistributed" in weights_payload("GENE_MULTIOMICS")["note"]
+    for blank in (None, ""):
+        with pytest.raises(ValueError, match="integer"):
+            clean_request({"target_gene": "a", "disease": "lung", "top_n": blank})
     claims = spark.createDataFrame([(" t ", " gap", ["e", None]), (None, None, None)], "text string, claim_type string, evidence_ids array<string>")
     assert [tuple(r) for r in normal_claims(claims).collect()] == [("t", "GAP", ["e"]), ("", "SUPPORT", [])]
     long = spark.createDataFrame([], "DepMap_ID string, gene_symbol string, ensembl_id string, omics_layer string, value_raw double, value_unit string, source string, source_version string")
     twice = spark.createDataFrame([("A", "d", "l"), ("A", "d", "l")], "DepMap_ID string, primary_disease string, lineage string")
-    with pytest.raises(ValueError, match="repeated"):
+    # Repeated annotations are no error any more (test_curation: they don't multiply candidates).
+    with pytest.raises(LookupError, match="no evidence"):
         EvidenceStore(long, twice.select("DepMap_ID"), twice).recommend({"target_gene": "x", "disease": "d"})
 
 
