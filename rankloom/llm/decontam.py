@@ -16,6 +16,8 @@ from rankloom.llm.common import bounded_batches
 #: UTF-8 bytes of test items that one automaton holds, and that a test set may have at most. A test set of more than
 #: one automaton is scanned for in turn over BUFFER bytes of texts at a time, so that no task holds more than one of them.
 ITEM_BYTES, MOST_BYTES, BUFFER = 16 << 20, 512 << 20, 64 << 20
+#: Places of a piece in the items up to which each is looked at by itself.
+SHARED = 8
 
 OUT = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 
@@ -30,14 +32,16 @@ class Windows:
     """An Aho-Corasick automaton over the words of test items, and where it finds their windows.
 
     A window of w words of an item holds a whole piece of (w + 1) / 2 words of the item's cut into such pieces,
-    so the automaton has the pieces, each word of an item once, and what it finds is extended to both sides
-    along the item. Items of fewer than w words are pieces of their own.
+    so the automaton has the pieces, each word of an item once. Items of fewer than w words are pieces of their
+    own. A piece that few items have is extended to both sides along each of them. Of a piece in more than SHARED
+    places all windows that hold it are listed once, with the items that have them, and are looked up around each
+    find: as many steps as a window has places for its piece, however many items share it.
     """
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         import ahocorasick
 
-        table, size = normal_table(), (window + 1) // 2
+        table, self.size = normal_table(), (window + 1) // 2
         self.window, self.number, self.items = window, {}, []
         pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item, text in items:
@@ -46,25 +50,50 @@ class Windows:
                 continue
             nth = len(self.items)
             self.items.append((item, array("i", words)))
-            for at in range(0, len(words) - size + 1, size) if len(words) >= window else (0,):
-                pieces.setdefault(words[at : at + size] if len(words) >= window else words, []).append((nth, at))
+            for at in range(0, len(words) - self.size + 1, self.size) if len(words) >= window else (0,):
+                pieces.setdefault(words[at : at + self.size] if len(words) >= window else words, []).append((nth, at))
         self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        #: Lists of items, each once.
+        self.lists: dict[tuple[int, ...], tuple[int, ...]] = {}
         for piece, places in pieces.items():
-            self.found.add_word(piece, (len(piece), places))
+            self.found.add_word(piece, (len(piece), places, self.around(places) if len(places) > SHARED else None))
         if pieces:
             self.found.make_automaton()
 
-    def runs(self, words: list[bytes]) -> list[tuple[int, int, int | None]]:
-        """(first word, word after the last, item id) of the passages of a text whose words are all in windows."""
+    def around(self, places: list[tuple[int, int]]) -> dict[tuple[int, int], dict[bytes, tuple[int, ...]]]:
+        """The windows that hold a piece, by the number of words before it and of the window: its words, and the items that have it."""
+        out: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        for nth, at in places:
+            own = self.items[nth][1]
+            width = min(self.window, len(own))
+            # A short item is its own piece and only window.
+            for before in range(max(0, at + width - len(own)), min(at, width - self.size) + 1) if width == self.window else (0,):
+                has = out.setdefault((before, width), {}).setdefault(own[at - before : at - before + width].tobytes(), [])
+                if not has or has[-1] != nth:
+                    has.append(nth)
+        return {where: {w: self.lists.setdefault(t, t) for w, t in ((w, tuple(has)) for w, has in some.items())} for where, some in out.items()}
+
+    def runs(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
+        """(first word, word after the last) of passages of a text whose words are all in windows, and the ids of their items."""
         if not words or not len(self.found):
-            return []
-        text = tuple(map(self.number.get, words, repeat(0)))
+            return [], set()
+        text = array("i", map(self.number.get, words, repeat(0)))
         done: dict[tuple[int, int], int] = {}
-        out = []
-        for last, (size, places) in self.found.iter(text):
+        spans: list[tuple[int, int]] = []
+        seen: set[int] = set()
+        listed: dict[int, tuple[int, ...]] = {}
+        for last, (size, places, around) in self.found.iter(tuple(text)):
             start = last + 1 - size
+            if around is not None:
+                for (before, width), windows in around.items():
+                    low, high = start - before, start - before + width
+                    has = windows.get(text[low:high].tobytes()) if low >= 0 and high <= len(text) else None
+                    if has is not None:
+                        spans.append((low, high))
+                        listed[id(has)] = has
+                continue
             for nth, at in places:
-                item, own = self.items[nth]
+                own = self.items[nth][1]
                 # A run along one item at one offset is found by its first piece.
                 if done.get((nth, start - at), -1) > start:
                     continue
@@ -75,8 +104,11 @@ class Windows:
                     high += 1
                 done[nth, start - at] = start - at + high
                 if high - low >= min(self.window, len(own)):
-                    out.append((start - at + low, start - at + high, item))
-        return out
+                    spans.append((start - at + low, start - at + high))
+                    seen.add(nth)
+        for has in listed.values():
+            seen.update(has)
+        return spans, {self.items[nth][0] for nth in seen}
 
 
 def scanner(held: list, window: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -94,13 +126,13 @@ def scanner(held: list, window: int, at: int) -> Callable[[Iterator[pa.RecordBat
         raw = value.as_buffer()
         return bytes(raw).translate(table) if raw is not None else b""
 
-    def result(flat: bytes, runs: list[tuple[int, int, int | None]]) -> tuple[int, int, list[int], list[dict]]:
+    def result(flat: bytes, runs: list[tuple[int, int]], ids: set[int | None]) -> tuple[int, int, list[int], list[dict]]:
         words = flat.split()
         if not runs:
             return len(words), 0, [], []
         hit = np.zeros(len(words) + 1, np.int64)
-        np.add.at(hit, [s for s, _, _ in runs], 1)
-        np.add.at(hit, [e for _, e, _ in runs], -1)
+        np.add.at(hit, [s for s, _ in runs], 1)
+        np.add.at(hit, [e for _, e in runs], -1)
         hit = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
         # Where hit words stand in the text itself, in UTF-8 bytes.
         b = np.frombuffer(flat, np.uint8) != 32
@@ -108,18 +140,20 @@ def scanner(held: list, window: int, at: int) -> Callable[[Iterator[pa.RecordBat
         cuts = np.flatnonzero(np.diff(hit) > 1)
         starts, stops = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
         spans = [{"start": int(heads[s]), "end": int(heads[e]) + len(words[e])} for s, e in zip(starts, stops, strict=True)]
-        return len(words), len(hit), sorted({i for _, _, i in runs if i is not None}), spans
+        return len(words), len(hit), sorted(ids - {None}), spans
 
     def scanned(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = normal_table()
-        runs: list[list] = [[[] for _ in range(b.num_rows)] for b in batches]
+        runs: list[list[tuple[list, set]]] = [[([], set()) for _ in range(b.num_rows)] for b in batches]
         for part in held:
             patterns = automaton(part)
             for batch, found in zip(batches, runs, strict=True):
-                for value, r in zip(batch.column(at), found, strict=True):
-                    r += patterns.runs(words_of(value, table).split())
+                for value, (spans, ids) in zip(batch.column(at), found, strict=True):
+                    more, of = patterns.runs(words_of(value, table).split())
+                    spans += more
+                    ids |= of
         for batch, found in zip(batches, runs, strict=True):
-            n_words, n_hit, items, spans = zip(*(result(words_of(v, table), r) for v, r in zip(batch.column(at), found, strict=True)), strict=True)
+            n_words, n_hit, items, spans = zip(*(result(words_of(v, table), *r) for v, r in zip(batch.column(at), found, strict=True)), strict=True)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, kind)]
             rest = [i for i in range(batch.num_columns) if i != at]

@@ -546,13 +546,32 @@ def brute_windows(text, items, window):
     return len(w), hit, sorted(found)
 
 
+@pytest.mark.parametrize("shared", [8, 1, 0])
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abc-"), max_size=40), st.integers(1, 6))
 @settings(max_examples=300, deadline=None)
-def test_windows_are_those_of_brute_force(items, text, window):
+def test_windows_are_those_of_brute_force(shared, items, text, window):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontam, "SHARED", shared)
+        windows_as_brute_force(items, text, window)
+
+
+def windows_as_brute_force(items, text, window):
     items = [(i, " ".join(t)) for i, t in enumerate(items)]
     n, hit, found = brute_windows(" ".join(text), items, window)
-    runs = decontam.Windows([(i, t.encode()) for i, t in items], window).runs(" ".join(text).replace("-", " ").encode().split())
-    assert ({p for s, e, _ in runs for p in range(s, e)}, sorted({i for _, _, i in runs})) == (hit, found)
+    runs, ids = decontam.Windows([(i, t.encode()) for i, t in items], window).runs(" ".join(text).replace("-", " ").encode().split())
+    assert ({p for s, e in runs for p in range(s, e)}, sorted(ids)) == (hit, found)
+
+
+def test_windows_of_a_passage_that_many_items_share():
+    """Finds are as many for 4,000 items with one preamble as for 40, and no item is missed."""
+    preamble = [f"p{i}" for i in range(15)]
+    text = [w for k in range(20) for w in [*preamble, f"x{k}"]]
+    spans = {}
+    for n in (40, 4000):
+        items = [(i, " ".join([*preamble, *(f"i{i}w{j}" for j in range(20))]).encode()) for i in range(n)]
+        spans[n], ids = decontam.Windows(items, 13).runs([w.encode() for w in text])
+        assert ids == set(range(n)) and {p for s, e in spans[n] for p in range(s, e)} == {p for p in range(len(text)) if p % 16 < 15}
+    assert len(spans[40]) == len(spans[4000]) <= 20 * 6
 
 
 def test_output_does_not_depend_on_the_cut_of_items(spark, corpus, monkeypatch):
