@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ class Windows:
 
     A window of w words of an item holds a whole piece of (w + 1) / 2 words of the item's cut into such pieces,
     so the automaton has the pieces, each word of an item once. Items of fewer than w words are pieces of their
-    own. A piece that few items have is extended to both sides along each of them. Of a piece in more than SHARED
+    own. A word is two symbols of about the square root of the number of words, as a state's transitions are
+    searched one by one. A piece that few items have is extended to both sides along each of them. Of a piece in more than SHARED
     places all windows that hold it are listed once, with the items that have them, and are looked up around each
     find: as many steps as a window has places for its piece, however many items share it.
     """
@@ -53,13 +55,18 @@ class Windows:
             for at in range(0, len(words) - self.size + 1, self.size) if len(words) >= window else (0,):
                 pieces.setdefault(words[at : at + self.size] if len(words) >= window else words, []).append((nth, at))
         self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.base = isqrt(len(self.number)) + 1
         #: Lists of items, each once.
         self.lists: dict[tuple[int, ...], tuple[int, ...]] = {}
         for piece, places in pieces.items():
-            self.found.add_word(piece, (len(piece), places, self.around(places) if len(places) > SHARED else None))
+            self.found.add_word(self.symbols(piece), (len(piece), places, self.around(places) if len(places) > SHARED else None))
         if pieces:
             self.found.make_automaton()
 
+    def symbols(self, words: Iterable[int]) -> tuple[int, ...]:
+        """Two for each word."""
+        return tuple(chain.from_iterable(divmod(w, self.base) for w in words))
+
     def around(self, places: list[tuple[int, int]]) -> dict[tuple[int, int], dict[bytes, tuple[int, ...]]]:
         """The windows that hold a piece, by the number of words before it and of the window: its words, and the items that have it."""
         out: dict[tuple[int, int], dict[bytes, list[int]]] = {}
@@ -82,8 +89,11 @@ class Windows:
         spans: list[tuple[int, int]] = []
         seen: set[int] = set()
         listed: dict[int, tuple[int, ...]] = {}
-        for last, (size, places, around) in self.found.iter(tuple(text)):
-            start = last + 1 - size
+        for last, (size, places, around) in self.found.iter(self.symbols(text)):
+            # What ends within a word is no find.
+            if last % 2 == 0:
+                continue
+            start = last // 2 + 1 - size
             if around is not None:
                 for (before, width), windows in around.items():
                     low, high = start - before, start - before + width
