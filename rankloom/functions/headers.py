@@ -23,6 +23,17 @@ def find_column(columns: Sequence[str], keywords: Sequence[str], required: bool
     return None
 
 
+def exact_column(columns: Sequence[str], names: Sequence[str]) -> str:
+    """The column that the first of some names is, by normalised names; nothing less than the whole name counts, and two such columns are refused."""
+    for name in names:
+        found = [c for c in columns if normal_name(c) == normal_name(name)]
+        if len(found) > 1:
+            raise ValueError(f"{found} are all called {name}")
+        if found:
+            return found[0]
+    raise KeyError(f"none of {list(names)} among {list(columns)}")
+
+
 def match_feature(columns: Sequence[str], symbol: str) -> str | None:
     """The column of a feature in a wide matrix: its symbol or a token in parentheses, else a whole word; the first wins."""
     want = symbol.strip().upper()

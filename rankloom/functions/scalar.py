@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType
 
 # Cut-points and names of the levels, and the trust curve.
 CUTS = (0.80, 0.65, 0.50, 0.35)
@@ -20,6 +21,13 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.when(F.abs(c) >= 1e15 / 10.0**digits, c).otherwise(F.floor(c * 10.0**digits + 0.5) / 10.0**digits)
 
 
+def rounded_epsilon(c: Column, digits: int = 8) -> Column:
+    """Half-up after 2^-52 is added, halves of negative values towards zero; null for what is no finite number."""
+    scaled = (c + 2.0**-52) * 10.0**digits
+    whole = F.floor(scaled)
+    return F.when(F.abs(c) >= 1e15 / 10.0**digits, finite(c)).otherwise(finite((whole + (scaled - whole >= 0.5).cast("int")) / 10.0**digits))
+
+
 def exact_mean(c: Column, digits: int = 9) -> Column:
     """The mean of values of so many digits at most, summed as whole numbers: the order of the rows doesn't matter."""
     whole = F.floor(c * 10**digits + 0.5).cast("decimal(20,0)")
@@ -86,6 +94,22 @@ def feature_label(feature: Column, status: Column) -> Column:
     return F.when(status == "NO ALTERATION", feature).otherwise(F.concat(feature, F.lit(" ["), status, F.lit("]")))
 
 
+def list_texts(df: DataFrame, *columns: str) -> list[Column]:
+    """Columns as the text of a sheet: null and NaN are empty, the elements of a list are joined by semicolons, true and false are capitalised."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c: str) -> Column:
+        col, kind = F.col(f"`{c}`"), kinds[c]
+        if isinstance(kind, ArrayType):
+            return F.coalesce(F.array_join(col.cast("array<string>"), ";", "None"), F.lit("")).alias(c)
+        if isinstance(kind, DoubleType | FloatType):
+            col = F.when(~F.isnan(col), col)
+        out = F.initcap(col.cast("string")) if isinstance(kind, BooleanType) else col.cast("string")
+        return F.coalesce(out, F.lit("")).alias(c)
+
+    return [text(c) for c in columns]
+
+
 def positive(c: Column) -> Column:
     return F.coalesce(c > 0, F.lit(False))
 
@@ -163,6 +187,11 @@ def symbol_in_parens(c: Column) -> Column:
     return F.coalesce(extracted(c, r"\(([^)]+)\)"), F.trim(c))
 
 
+def symbol_in_last_parens(c: Column) -> Column:
+    """``any (text) (SYMBOL)`` -> SYMBOL, only where the parentheses end the header; null elsewhere."""
+    return extracted(c, r"\(([^()]+)\)\s*$")
+
+
 def ensembl_base(c: Column) -> Column:
     """Without the version."""
     return F.substring_index(c, ".", 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalar import clip01, mean_available, spread_available, upper_key
@@ -26,8 +26,11 @@ RNA = [s for s, layer in SOURCES.items() if layer == "rna"]
 EVIDENCE = ["depmap_rna", "hpa_rna", "geo_rna", "ccle_gygi_protein", "depmap_mutation", "depmap_fusion"]
 
 
-def packed(df: DataFrame, source: str, entity: str, feature: Column, value: Column, unit: str, version: str, alt: Column | None = None) -> DataFrame:
-    """Rows in the unified schema, without those that lack an entity or a feature; features are upper-cased."""
+def packed(df: DataFrame, source: str, entity: str, feature: Column, value: Column, unit: str, version: str, alt: Column | None = None, seen: Observation | None = None) -> DataFrame:
+    """Rows in the unified schema, without those that lack an entity or a feature; features are upper-cased.
+
+    ``seen`` gets the number of rows and of ``dropped`` ones when the rows are read, without another pass.
+    """
     rows = df.select(
         F.col(entity).alias("DepMap_ID"),
         F.upper(F.trim(feature)).alias("gene_symbol"),
@@ -38,6 +41,9 @@ def packed(df: DataFrame, source: str, entity: str, feature: Column, value: Colu
         F.lit(source).alias("source"),
         F.lit(version).alias("source_version"),
     )
+    if seen is not None:
+        lacks = F.col("DepMap_ID").isNull() | F.col("gene_symbol").isNull()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(lacks).alias("dropped"))
     return rows.dropna(subset=["DepMap_ID", "gene_symbol"])
 
 

@@ -42,6 +42,21 @@ def trace(mode: str) -> Column:
     return F.array_compact(F.array(*([protein, *rna] if only else [*rna, protein]), *events))
 
 
+def merged_trace() -> Column:
+    """The evidence of a row of the merged ranker, in order: array of (dataset, type, value, unit); types name no role."""
+    there = {"proteinRaw": ("CCLE_Gygi_Proteomics", "protein_expression", "log2 MS intensity")} | {v: (d, "rna_expression", u) for d, v, u in TRACE_RNA}
+    measured = [(*there[v], v, F.col(v).isNotNull()) for v in (*(v for _, v, _ in TRACE_RNA), "proteinRaw")]
+    fused = F.col("hasFusion")
+    events = [
+        ("DepMap_Mutation", F.when(F.col("hasHighImpactMutation"), "high_impact_mutation").otherwise("mutation"), "event count", "mutationRaw", F.col("hasMutation")),
+        ("DepMap_Fusion", "fusion", "event evidence", "fusionRaw", fused),
+        ("DepMap_Fusion", "fusion_confidence", "source confidence", "fusionConfidenceRaw", fused & F.col("fusionConfidenceRaw").isNotNull()),
+    ]
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    items = (F.when(when, F.struct(F.lit(d).alias("dataset"), column(kind).alias("type"), F.col(v).alias("value"), F.lit(unit).alias("unit"))) for d, kind, unit, v, when in (*measured, *events))
+    return F.array_compact(F.array(*items))
+
+
 def graded(score: Column, what: str, symbol: str) -> Column:
     return F.when(score >= 0.70, f"Strong {what} for {symbol}.").when(score >= 0.40, f"Moderate {what} for {symbol}.").otherwise(f"Limited {what} for {symbol}.")
 
@@ -81,15 +96,20 @@ def card_gaps(mode: str, target: str) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def alternatives(scored: DataFrame, k: int = 5) -> DataFrame:
-    """The rows most like the top row: 1 - mean difference of the scores that both have."""
+def alternatives(scored: DataFrame, k: int = 5, shown: tuple[str, ...] = (), tie: str = "DepMap_ID") -> DataFrame:
+    """The rows most like the top row: 1 - mean difference of the scores that both have; other columns as ``shown``, ties by ``tie``."""
     top = scored.where("rank = 1").select(F.col("rnaScore").alias("r"), F.col("proteinScore").alias("p"))
     rows = scored.where("rank > 1").crossJoin(F.broadcast(top))
     apart = F.array_compact(F.array(F.abs(F.col("r") - F.col("rnaScore")), F.abs(F.col("p") - F.col("proteinScore"))))
     total = F.aggregate(apart, F.lit(0.0), lambda a, x: a + x)
     alike = F.coalesce(clip01(1.0 - F.try_divide(total, F.size(apart))), F.lit(0.0))
-    out = rows.select("DepMap_ID", F.col("cellLine").alias("alternativeCellLine"), rounded(alike).alias("similarityScore"), "finalScore", "targetGeneLabel")
-    return out.orderBy(F.desc("similarityScore"), F.desc("finalScore"), "DepMap_ID").limit(k)
+    out = rows.select("DepMap_ID", F.col("cellLine").alias("alternativeCellLine"), rounded(alike).alias("similarityScore"), "finalScore", "targetGeneLabel", *shown, F.col(tie).alias("__tie"))
+    return out.orderBy(F.desc("similarityScore"), F.desc("finalScore"), "__tie").limit(k).drop("__tie")
+
+
+def merged_alternatives(scored: DataFrame, k: int = 5) -> DataFrame:
+    """``alternatives`` of the merged ranker: with lineage and disease, ties in the order of the ranks."""
+    return alternatives(scored, k, ("lineage", "disease"), "rank")
 
 
 def top_features(profile: DataFrame, by: str, feature: str, value: str, n: int = 5) -> DataFrame:

@@ -69,6 +69,22 @@ def check_labels(labels: DataFrame, known: DataFrame) -> DataFrame:
     return one.crossJoin(pairs.agg(F.count_if(F.col("n") > 1).alias("n_repeated"), F.count_if(F.col("d") > 1).alias("n_conflicting")))
 
 
+def known_rows(rows: DataFrame, known: DataFrame, by: str = "DepMap_ID") -> tuple[DataFrame, DataFrame]:
+    """The rows of known entities, and one row that tells what was removed: n_rows, n_kept, n_removed, n_entities_removed, first_removed.
+
+    Ids are compared trimmed and in upper case; rows without an id are removed, and are no entity.
+    """
+    there = known.select(upper_key(F.col(by)).alias("__known")).distinct()
+    joined = rows.withColumn("__id", F.nullif(upper_key(F.col(by)), F.lit(""))).join(there, F.col("__id") == F.col("__known"), "left")
+    ids = joined.groupBy("__id", F.col("__known").isNotNull().alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    audit = ids.agg(
+        total(F.col("n"))("n_rows"), total(F.when(F.col("ok"), F.col("n")))("n_kept"), total(F.when(~F.col("ok"), F.col("n")))("n_removed"),
+        F.count_if(~F.col("ok") & F.col("__id").isNotNull()).alias("n_entities_removed"), F.min(F.when(~F.col("ok"), F.col("__id"))).alias("first_removed"),
+    )
+    return joined.where(F.col("__known").isNotNull()).drop("__id", "__known"), audit
+
+
 def export_verified(labels: DataFrame) -> DataFrame:
     """Verified positive and negative labels with well-formed ids, keys normalised."""
     rows = labels.where(is_true(F.col("verified"))).select(upper_key(F.col("query")).alias("query"), upper_key(F.col("DepMap_ID")).alias("DepMap_ID"), F.lower(F.trim("relation")).alias("relation"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.functions.scalar import rounded
+from rankloom.functions.scalar import list_texts, rounded, rounded_epsilon
 from rankloom.operators.evidence import coverage, replicate_audit, rna_mean
+from rankloom.operators.reviews import known_rows
 from rankloom.queries.base import LONG, SOURCES, r4, registry, store, wide
+from rankloom.session import table
 from rankloom.sources import star
 
 QUERIES, ORACLE_SQL, register = registry()
@@ -103,3 +105,37 @@ def source_overlaps(spark, sf_dir):
     sets = star.raw_long(spark, sf_dir).groupBy("DepMap_ID").agg(F.collect_set("source").alias("s"))
     pairs = sets.select("DepMap_ID", F.explode("s").alias("a"), "s").select("DepMap_ID", "a", F.explode("s").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_common"))
+
+
+@register(
+    "known_entities_audit",
+    """WITH k AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    SELECT count(*) AS n_rows, count(k.c_custkey) AS n_kept, count(*) - count(k.c_custkey) AS n_removed, count(DISTINCT CASE WHEN k.c_custkey IS NULL THEN o_custkey END) AS n_entities_removed,
+           min(CASE WHEN k.c_custkey IS NULL THEN 'ACH-' || lpad(o_custkey::VARCHAR, 6, '0') END) AS first_removed FROM orders LEFT JOIN k ON o_custkey = c_custkey""",
+)
+def known_entities_audit(spark, sf_dir):
+    """Orders of entities that aren't known (those without a balance) are removed, and counted."""
+    rows = table(spark, sf_dir, "orders").select(star.entity_id(F.col("o_custkey")).alias("DepMap_ID"), "o_orderkey")
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(star.entity_id(F.col("c_custkey")).alias("DepMap_ID"))
+    return known_rows(rows, known)[1]
+
+
+@register(
+    "entity_sheet",
+    f"""WITH {LONG}, g AS (SELECT id, string_agg(DISTINCT src, ';' ORDER BY src) AS sources, count(*) AS n, bool_or(layer = 'protein') AS protein FROM long GROUP BY id)
+    SELECT s.id AS DepMap_ID, coalesce(sources, '') AS sources, coalesce(n::VARCHAR, '') AS n_rows, CASE WHEN protein THEN 'True' WHEN NOT protein THEN 'False' ELSE '' END AS has_protein FROM spine s LEFT JOIN g USING (id)""",
+)
+def entity_sheet(spark, sf_dir):
+    """Every entity with its sources as the text of a sheet; entities without evidence have empty cells."""
+    of = star.raw_long(spark, sf_dir).groupBy("DepMap_ID").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.count(F.lit(1)).alias("n_rows"), F.bool_or(F.col("omics_layer") == "protein").alias("has_protein"))
+    rows = star.spine(spark, sf_dir).select("DepMap_ID").join(of, "DepMap_ID", "left")
+    return rows.select(*list_texts(rows, *rows.columns))
+
+
+_SEVENTH = "(o_totalprice::DOUBLE / 7 + 2.220446049250313e-16) * 1e8"
+
+
+@register("epsilon_rounding", f"SELECT o_orderkey, (floor({_SEVENTH}) + ({_SEVENTH} - floor({_SEVENTH}) >= 0.5)::INT) / 1e8 AS share FROM orders")
+def epsilon_rounding(spark, sf_dir):
+    """A seventh of every order, rounded as study reports are."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", rounded_epsilon(F.col("o_totalprice").cast("double") / 7).alias("share"))

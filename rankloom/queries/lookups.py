@@ -14,7 +14,7 @@ from rankloom.queries.base import LONG, r4, registry, scored, store
 from rankloom.queries.ranking import _SQL, CONTEXT, EXCLUDED, GENE, SHOWN
 from rankloom.session import materialised, scratch_folder, table
 from rankloom.sources import star
-from rankloom.sources.sinks import candidate_detail, load_run, save_run
+from rankloom.sources.sinks import EXPORTED, candidate_detail, load_run, read_export, save_export, save_run
 
 QUERIES, ORACLE_SQL, register = registry()
 OTHERS = ("BRAND-22", "BRAND-7")
@@ -111,6 +111,17 @@ def explained_run(spark, sf_dir):
     return prints
 
 
+_TARGETS = {"DepMap_ID": "id AS DepMap_ID", "cellLine": "name AS cellLine", "queryMode": "'GENE_MULTIOMICS' AS queryMode", "targetGene": f"'{GENE}' AS targetGene", "targetProtein": "NULL::VARCHAR AS targetProtein"}
+
+
+@register("ranking_export", f"WITH {scored(GENE, None, EXCLUDED, context_aliases(CONTEXT))} SELECT {', '.join(_TARGETS.get(c, c) for c in EXPORTED)} FROM ranked WHERE rank <= 10")
+def ranking_export(spark, sf_dir):
+    """A request's answer as the file that users download, read back."""
+    folder = scratch_folder(spark, "export")
+    save_export(store(spark, sf_dir).recommend({"target_gene": GENE, "exclusion_gene": EXCLUDED, "disease": CONTEXT, "top_n": 10}), folder)
+    return read_export(spark, folder)
+
+
 _CARDINAL = "printf('%.4f', {})".format
 _TOPS = """prof AS (SELECT 'ACH-' || lpad(vec_id::VARCHAR, 6, '0') AS id, unnest(embedding)::DOUBLE AS v, 'F' || lpad(unnest(range(len(embedding)))::VARCHAR, 3, '0') AS f FROM embeddings),
     tops AS (SELECT id, string_agg(f, ';' ORDER BY n) FILTER (WHERE NOT high) AS metabolites, string_agg(f, ';' ORDER BY n) FILTER (WHERE high) AS mirnas

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.contexts import context_aliases
 from rankloom.functions.scalar import rounded
-from rankloom.operators.explain import alternatives, fingerprint, gaps, reasons, top_features, trace
+from rankloom.operators.explain import alternatives, fingerprint, gaps, merged_alternatives, merged_trace, reasons, top_features, trace
 from rankloom.operators.scoring import ScoringConfig, context_filter
 from rankloom.queries.base import r4, registry, scored, store
 from rankloom.sources import star
@@ -93,6 +93,33 @@ def alternatives_to_the_best(spark, sf_dir):
     return alternatives(store(spark, sf_dir).rank(GENE, None, EXCLUDED, CONTEXT)).drop("targetGeneLabel")
 
 
+_MERGED = f"{scored(GENE, None, EXCLUDED, context_aliases(CONTEXT, True), True)}"
+_SEEN = [("depmap_rna_v IS NOT NULL", "'DepMap_RNAseq rna_expression '", "depmap_rna_v", "log2(TPM+1)"), ("hpa_rna_v IS NOT NULL", "'HPA_RNAseq rna_expression '", "hpa_rna_v", "log2(nTPM+1)"), ("geo_rna_v IS NOT NULL", "'GEO_RNA rna_expression '", "geo_rna_v", "log2(intensity+1)"),
+         ("prot_v IS NOT NULL", "'CCLE_Gygi_Proteomics protein_expression '", "prot_v", "log2 MS intensity"), ("mutated", "CASE WHEN high THEN 'DepMap_Mutation high_impact_mutation ' ELSE 'DepMap_Mutation mutation ' END", "depmap_mutation_v", "event count"),
+         ("fused_", "'DepMap_Fusion fusion '", "depmap_fusion_v", "event evidence"), ("fused_ AND depmap_fusion_confidence_v IS NOT NULL", "'DepMap_Fusion fusion_confidence '", "depmap_fusion_confidence_v", "source confidence")]
+_LINES = ", ".join(f"CASE WHEN {when} THEN {what} || printf('%.4f', {r4(v)}) || ' {unit}' END" for when, what, v, unit in _SEEN)
+
+
+@register("merged_traces", f"WITH {_MERGED} SELECT id AS DepMap_ID, rank, array_to_string(list_filter([{_LINES}], lambda x: x IS NOT NULL), ';') AS trace FROM ranked")
+def merged_traces(spark, sf_dir):
+    """The evidence of every row of the merged ranker, a line for each measurement."""
+    rows = store(spark, sf_dir).rank(GENE, None, EXCLUDED, CONTEXT, merged=True)
+    line = lambda t: F.concat_ws(" ", t["dataset"], t["type"], F.format_string("%.4f", rounded(t["value"])), t["unit"])
+    return rows.select("DepMap_ID", "rank", F.array_join(F.transform(merged_trace(), line), ";").alias("trace"))
+
+
+@register(
+    "merged_alternatives",
+    f"""WITH {_MERGED}, top AS (SELECT rnaScore AS r0, proteinScore AS p0 FROM ranked WHERE rank = 1),
+    d AS (SELECT k.*, abs(r0 - rnaScore) AS dr, abs(p0 - proteinScore) AS dp FROM ranked k, top WHERE rank > 1),
+    s AS (SELECT *, CASE WHEN dr IS NULL AND dp IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - (coalesce(dr, 0) + coalesce(dp, 0)) / ((dr IS NOT NULL)::INT + (dp IS NOT NULL)::INT))) END AS sim FROM d)
+    SELECT id AS DepMap_ID, name AS alternativeCellLine, lineage, disease, {r4("sim")} AS similarityScore, finalScore, '{GENE}' || CASE WHEN alterationStatus = 'NO ALTERATION' THEN '' ELSE ' [' || alterationStatus || ']' END AS targetGeneLabel
+    FROM s ORDER BY similarityScore DESC, finalScore DESC, rank LIMIT 5""",
+)
+def alternatives_of_the_merged_ranker(spark, sf_dir):
+    return merged_alternatives(store(spark, sf_dir).rank(GENE, None, EXCLUDED, CONTEXT, merged=True))
+
+
 @register(
     "ranking_fingerprint",
     f"""WITH {scored(GENE, None, EXCLUDED, context_aliases(CONTEXT))},

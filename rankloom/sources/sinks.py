@@ -38,6 +38,27 @@ def save_ranked(df: DataFrame, path: str, columns: list[str], order: str = "rank
     return True
 
 
+# The columns of an exported ranking, in order.
+EXPORTED = {
+    "rank": "long", "DepMap_ID": "string", "cellLine": "string", "lineage": "string", "disease": "string", "queryMode": "string", "targetGene": "string", "targetProtein": "string",
+    "finalScore": "double", "confidenceScore": "double", "recommendationLevel": "string", "rnaScore": "double", "proteinScore": "double", "biologicalScore": "double",
+    "exclusionPenalty": "double", "completenessScore": "double", "sourceSupportScore": "double",
+}
+
+
+def save_export(ranked: DataFrame, path: str) -> bool:
+    """The columns EXPORTED of a ranking as one CSV file, as spreadsheets want it; False, and no file, if it is empty."""
+    return save_ranked(ranked, path, list(EXPORTED), line_sep="\r\n")
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """What ``save_export`` wrote, with its types; a file with other columns is refused."""
+    head = spark.read.option("header", True).csv(path).columns
+    if [c.lstrip("\ufeff").rstrip("\r") for c in head] != list(EXPORTED):
+        raise ValueError(f"{path} has columns {head}, not those of an exported ranking")
+    return spark.read.option("header", True).schema(", ".join(f"`{c}` {t}" for c, t in EXPORTED.items())).csv(path)
+
+
 def payload(request: Column, rows: DataFrame, columns: list[str], order: str = "rank") -> DataFrame:
     """One JSON document: schemaVersion, query and the results in order."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__order"), F.struct(*columns).alias("row"))))

@@ -3,15 +3,20 @@
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from rankloom.functions.headers import exact_column
+from rankloom.functions.scalar import list_texts, rounded_epsilon, symbol_in_last_parens
 from rankloom.operators import rules
 from rankloom.operators.detect import containing, detect, ranged_ranks
-from rankloom.operators.evidence import panel_rows, stacked
+from rankloom.operators.evidence import packed, panel_rows, stacked
+from rankloom.operators.reviews import known_rows
 from rankloom.operators.scoring import prepared_annotations
 from rankloom.plans.recommend import EvidenceStore
 from rankloom.sources import digests, sinks
 from rankloom.sources.files import read_matrix_of
+from rankloom.sources.sinks import EXPORTED, read_export, save_export
 
 LABELS = "query string, DepMap_ID string, name string, relation string"
 
@@ -223,3 +228,50 @@ def test_matrices_are_re_keyed(spark, tmp_path):
     assert sorted(map(tuple, long.collect()), key=str) == [("n1", "ACH-1", 1.5), ("n1", "ACH-3", None), ("n2", "ACH-1", 3.0), ("n2", "ACH-3", 5.0)]
     assert [r["name"] for r in unmatched.collect()] == ["NOPE"]
     assert re.fullmatch("n[12]", long.first()["row"])
+
+
+def test_texts_of_a_sheet(spark):
+    df = spark.createDataFrame([(None, None, None, None), (["b", None, "a"], float("nan"), True, "x"), ([], 0.5, False, "")], "l array<string>, v double, b boolean, t string")
+    got = [tuple(r) for r in df.select(*list_texts(df, "l", "v", "b", "t")).collect()]
+    assert got == [("", "", "", ""), ("b;None;a", "", "True", "x"), ("", "0.5", "False", "")]
+
+
+def test_rounding_with_epsilon(spark):
+    values = [0.125, -0.125, 1.005, 0.0, None, float("nan"), float("inf"), 2e14]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded_epsilon(F.col("v"), 2)).collect()]
+    assert got == [0.13, -0.12, 1.0 if (1.005 + 2**-52) * 100 < 100.5 else 1.01, 0.0, None, None, None, 2e14]
+
+
+def test_last_parentheses_and_whole_names(spark):
+    df = spark.createDataFrame([("P1 (x) (EGFR) ",), ("EGFR",), ("(A) b",)], "h string")
+    assert [r[0] for r in df.select(symbol_in_last_parens(F.col("h"))).collect()] == ["EGFR", None, None]
+    assert exact_column(["Gene name", "gene_symbol"], ["symbol", "GENE SYMBOL"]) == "gene_symbol"
+    with pytest.raises(KeyError):
+        exact_column(["gene_symbol_2"], ["gene symbol"])
+    with pytest.raises(ValueError, match="all called"):
+        exact_column(["a b", "A_B"], ["ab"])
+
+
+def test_unknown_entities_are_removed_and_counted(spark):
+    known = spark.createDataFrame([("ach-1 ",), ("ACH-1",), (None,)], "DepMap_ID string")
+    kept, audit = known_rows(spark.createDataFrame([(" ACH-1", 1), ("ACH-2", 2), ("ACH-2", 3), (None, 4), ("", 5)], "DepMap_ID string, v int"), known)
+    assert [tuple(r) for r in kept.collect()] == [(" ACH-1", 1)] and tuple(audit.first()) == (5, 1, 4, 1, "ACH-2")
+    kept, audit = known_rows(spark.createDataFrame([], "DepMap_ID string, v int"), known)
+    assert kept.count() == 0 and tuple(audit.first()) == (0, 0, 0, 0, None)
+
+
+def test_dropped_rows_are_counted_on_the_way(spark):
+    seen = Observation("packed")
+    rows = spark.createDataFrame([("A", " g ", 1.0), (None, "g", 2.0), ("B", None, 3.0), ("C", "h", None)], "id string, g string, v double")
+    assert packed(rows, "depmap_rna", "id", F.col("g"), F.col("v"), "u", "1", seen=seen).count() == 2 and seen.get == {"rows": 4, "dropped": 2}
+
+
+def test_exports_have_seventeen_columns(spark, tmp_path):
+    row = spark.createDataFrame([(1, "ACH-1", "a, b", None, "d", "m", "G", None, 0.5, 0.4, "r", None, 0.2, 0.3, 0.0, 1.0, 0.75, "more")], ", ".join(f"`{c}` {t}" for c, t in EXPORTED.items()) + ", more string")
+    assert save_export(row, f"{tmp_path}/x") and read_export(spark, f"{tmp_path}/x").collect() == row.drop("more").collect()
+    (raw,) = (p.read_bytes() for p in (tmp_path / "x").glob("part-*.csv"))
+    assert raw.startswith(b"\xef\xbb\xbfrank,DepMap_ID,") and raw.count(b"\r\n") == 2 and len(EXPORTED) == 17
+    assert not save_export(row.limit(0), f"{tmp_path}/y") and not (tmp_path / "y").exists()
+    row.select("rank", "DepMap_ID").write.option("header", True).csv(f"{tmp_path}/z")
+    with pytest.raises(ValueError, match="exported ranking"):
+        read_export(spark, f"{tmp_path}/z")

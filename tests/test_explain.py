@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators.explain import fingerprint, masked, numbers_in, reasons, verify
+from rankloom.operators.explain import alternatives, fingerprint, masked, merged_alternatives, merged_trace, numbers_in, reasons, verify
 from rankloom.operators.panels import percentile_rank, stratum
 from rankloom.operators.reviews import assert_blinded
 
@@ -124,3 +124,26 @@ def test_supplementary_cards_and_details_of_a_saved_run(spark, tmp_path):
     # A list that isn't what it was when the writer began is noticed.
     changed = ranked.withColumn("finalScore", F.col("finalScore") + F.when(F.col("rank") == 2, 0.01).otherwise(0.0))
     assert not explain_run(read(), "GENE_MULTIOMICS", "G", None, reread=lambda: changed)[1].first()["unchanged"]
+
+
+SEEN = "DepMap_ID string, rank long, cellLine string, lineage string, disease string, rnaScore double, proteinScore double, finalScore double, targetGeneLabel string"
+
+
+def test_merged_alternatives_keep_the_order_of_ranks(spark):
+    rows = [("A", 1, "a", "l", "d", 0.5, None, 0.9, "G"), ("Z", 2, "z", "l", "d", 0.4, 0.1, 0.8, "G"), ("B", 3, "b", None, None, 0.6, None, 0.8, "G"), ("C", 4, "c", "l", "d", None, 0.7, 0.7, "G")]
+    df = spark.createDataFrame(rows, SEEN)
+    got = [(r["DepMap_ID"], r["similarityScore"], r["lineage"]) for r in merged_alternatives(df).collect()]
+    assert got == [("Z", 0.9, "l"), ("B", 0.9, None), ("C", 0.0, "l")]
+    assert [r["DepMap_ID"] for r in alternatives(df, 2).collect()] == ["B", "Z"] and merged_alternatives(df.where("rank = 1")).count() == 0
+
+
+def test_merged_trace_names_no_role(spark):
+    schema = "depmapRnaRaw double, hpaRnaRaw double, geoRnaRaw double, proteinRaw double, hasMutation boolean, hasHighImpactMutation boolean, mutationRaw double, hasFusion boolean, fusionRaw double, fusionConfidenceRaw double"
+    df = spark.createDataFrame([(1.0, None, 2.0, 3.0, True, True, 4.0, True, 1.0, None), (None, None, None, None, False, False, None, False, None, 3.0), (None, 0.0, None, None, True, False, 1.0, True, 2.0, 3.0)], schema)
+    got = [[(t["dataset"], t["type"], t["value"]) for t in r[0]] for r in df.select(merged_trace()).collect()]
+    assert got == [
+        [("DepMap_RNAseq", "rna_expression", 1.0), ("GEO_RNA", "rna_expression", 2.0), ("CCLE_Gygi_Proteomics", "protein_expression", 3.0), ("DepMap_Mutation", "high_impact_mutation", 4.0), ("DepMap_Fusion", "fusion", 1.0)],
+        [],
+        [("HPA_RNAseq", "rna_expression", 0.0), ("DepMap_Mutation", "mutation", 1.0), ("DepMap_Fusion", "fusion", 2.0), ("DepMap_Fusion", "fusion_confidence", 3.0)],
+    ]
+    assert {t["unit"] for t in df.select(merged_trace()).first()[0]} == {"log2(TPM+1)", "log2(intensity+1)", "log2 MS intensity", "event count", "event evidence"}
