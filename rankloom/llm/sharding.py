@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import exact_cumsum, exact_rank, stored
+from rankloom.llm.common import discard, exact_cumsum, exact_rank, stored
 
 #: Rows that one sorted bucket holds on average.
 BUCKET_ROWS = 50_000
@@ -67,20 +67,23 @@ def interleave(
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("mix"),
     ).toDF("doc_id", "size", "source", "text_crc32", "group", "mix")
     rows = rows.withColumn("stratum", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    rows = rows.withColumn("part", F.floor(F.conv(F.substring("mix", 1, 4), 16, 10).cast("int") * parts / 65_536))
+    # Texts are read once; all that follows is planned over narrow rows.
+    read = stored(rows, "read")
+    rows = read.withColumn("part", F.floor(F.conv(F.substring("mix", 1, 4), 16, 10).cast("int") * parts / 65_536))
     tie = [F.col("doc_id"), F.col("group")]
     rows = exact_rank(rows, ["stratum"], "part", [F.col("mix"), *tie], "rank")
     rows = rows.withColumn("fraction", (F.col("rank") + 0.5) / F.col("rank_total")).drop("part", "rank", "rank_total")
     rows = rows.withColumn("part", F.floor(F.col("fraction") * parts))
     rows = exact_rank(rows, [], "part", [F.col("fraction"), F.col("mix"), *tie], "pos")
     rows = stored(rows.drop("mix", "part", "stratum", "fraction", "pos_total"), "interleave")
+    discard(read)
 
     part = lambda pos: F.expr(f"({pos} * {parts}L) div {span}L")
     targets = [(s + 1) * n // n_shards - s * n // n_shards for s in range(n_shards)]
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("shard"))
-    groups = stored(rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("first")).where("m > 1"), "groups")
-    big, rooms = most_room_first(groups.where((F.col("m") * BIG > n // n_shards) & (F.col("m") <= max(targets))), targets, "big")
-    small = groups.where(F.col("m") * BIG <= n // n_shards).withColumn("part", part("first"))
+    copies = stored(rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("first")).where("m > 1"), "groups")
+    big, rooms = most_room_first(copies.where((F.col("m") * BIG > n // n_shards) & (F.col("m") <= max(targets))), targets, "big")
+    small = copies.where(F.col("m") * BIG <= n // n_shards).withColumn("part", part("first"))
     small = exact_cumsum(small, [], "part", [F.col("first")], F.col("m"), "at")
     spread = F.floor(F.col("at") / F.col("at_total") * float(sum(rooms)))
     small = small.withColumn("shard", past(spread, list(accumulate(rooms))))
@@ -95,7 +98,8 @@ def interleave(
     whole = joined.where("shard is not null").select("doc_id", "size", "source", "text_crc32", "pos", "shard")
     single = exact_rank(joined.where("shard is null").drop("shard").withColumn("part", part("pos")), [], "part", [F.col("pos")], "q")
     single = single.withColumn("shard", past(F.col("q"), ends)).select(*whole.columns)
-    dealt = whole.unionByName(single).withColumn("part", part("pos"))
+    dealt = stored(whole.unionByName(single).withColumn("part", part("pos")), "dealt")
+    discard(rows, copies, big, small, late)
     dealt = exact_rank(dealt, ["shard"], "part", [F.col("pos")], "slot")
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
