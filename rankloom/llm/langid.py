@@ -8,7 +8,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import bounded_batches
@@ -83,33 +83,66 @@ def lower_letters() -> tuple[np.ndarray, np.ndarray]:
     return np.array(points), np.array([ord(chr(cp).lower()[0]) for cp in points])
 
 
-def build(samples: dict[str, str]) -> dict:
-    """The automata of all languages as one: the number of each letter (0: no letter, last: in no sample), of all states
-    where their transitions lie, and of each language where every letter leads from its beginning. State 0 leads nowhere."""
-    letters = sorted({low for text in samples.values() for ch in text if ch.isalpha() and (low := ch.lower()[:1])})
-    width = len(letters) + 2
-    of = np.full(0x110000, width - 1, np.int32)
-    of[[ord(ch) for ch in letters]] = range(1, width - 1)
+def letters_of(samples: dict[str, str]) -> list[str]:
+    """The lower-case letters of all samples."""
+    return sorted({low for text in samples.values() for ch in text if ch.isalpha() and (low := ch.lower()[:1])})
+
+
+def classes_of(letters: list[str]) -> np.ndarray:
+    """The number of each code point: 0 for no letter, then those of the samples' letters, last one for all other letters."""
+    of = np.full(0x110000, len(letters) + 1, np.int32)
+    of[[ord(ch) for ch in letters]] = range(1, len(letters) + 1)
     points, lower = lower_letters()
     classes = np.zeros(0x110000, np.int32)
     classes[points] = of[lower]
-    names, logs = sorted(samples), []
+    return classes
+
+
+def automaton_of(text: str, classes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """A language's sample as the places where each letter leads from the beginning (-1: nowhere), the transitions, and the logarithm of its length."""
+    codes = classes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    codes = codes[(codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)]
+    step = suffix_automaton(codes.tolist())
+    places, table = packed(step, width)
+    root = np.full(width, -1, np.int64)
+    root[list(step[0])] = places[list(step[0].values())]
+    return root, table, float(np.log2(max(2, len(codes))))
+
+
+def build(samples: dict[str, str], spark: SparkSession | None = None) -> dict:
+    """The automata of all languages as one: the number of each letter (0: no letter, last: in no sample), of all states
+    where their transitions lie, and of each language where every letter leads from its beginning. State 0 leads nowhere.
+
+    With a session a task builds one language's automaton; all of them are as large as the bounded samples.
+    """
+    letters, names = letters_of(samples), sorted(samples)
+    width = len(letters) + 2
+
+    parts = {}
+    if spark is None:
+        parts = {n: automaton_of(samples[n], classes_of(letters), width) for n in names}
+    elif names:
+        texts = spark.sparkContext.broadcast([samples[n] for n in names])
+
+        def automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    root, table, log = automaton_of(texts.value[k], classes_of(letters), width)
+                    yield pa.RecordBatch.from_pylist([{"lang": names[k], "root": root.tobytes(), "steps": table.tobytes(), "log": log}])
+
+        made = spark.range(0, len(names), 1, len(names)).mapInArrow(automata, "lang string, root binary, steps binary, log double")
+        parts = {r["lang"]: (np.frombuffer(r["root"], np.int64), np.frombuffer(r["steps"], np.int64), r["log"]) for r in made.collect()}
     # The state at place 0 has no transitions.
     tables, roots, size = [np.full(width, -1, np.int64)], [], width
     for name in names:
-        codes = classes[np.frombuffer(samples[name].encode("utf-32-le", "replace"), np.uint32)]
-        codes = codes[(codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)]
-        step = suffix_automaton(codes.tolist())
-        places, table = packed(step, width)
-        root = np.zeros(width, np.int64)
-        root[list(step[0])] = places[list(step[0].values())] + size
-        roots.append(root)
+        root, table, _ = parts[name]
+        roots.append(np.where(root >= 0, root + size, 0))
         tables.append(np.where(table >= 0, table + (size << 32 | size), -1))
         size += len(table)
-        logs.append(np.log2(max(2, len(codes))))
     if size >= 1 << 31:
         raise ValueError("The samples are too large; learn from fewer characters or languages.")
-    return {"classes": classes, "names": names, "table": np.concatenate(tables), "root": np.array(roots, np.int64).reshape(len(names), width), "logs": np.array(logs)}
+    logs = np.array([parts[n][2] for n in names])
+    return {"classes": classes_of(letters), "names": names, "table": np.concatenate(tables), "root": np.array(roots, np.int64).reshape(len(names), width), "logs": logs}
 
 
 def parse(model: dict, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -245,5 +278,5 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", k
     rows = docs.select(*keep, text_col)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop(text_col).dtypes)
     bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(build(samples))
+    held = docs.sparkSession.sparkContext.broadcast(build(samples, docs.sparkSession))
     return rows.mapInArrow(predictor(held, len(keep)), f"{kinds}, lang_pred string, score double")
