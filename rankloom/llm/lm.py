@@ -135,10 +135,15 @@ def requester(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return request
 
 
-#: Of a block: the corpus counts of the words or bigrams it asked a group for, in the order asked. Of a group of words
+#: Of a block: a hash of the words or bigrams it asked a group for, and their corpus counts in the order asked. Of a group of words
 #: (block -1): its distinct training words, and its kept and deleted training tokens.
-ANSWERS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("kept", pa.binary()), ("deleted", pa.binary()), ("distinct", pa.int64()), ("n_kept", pa.int64()), ("n_deleted", pa.int64())])
-ANSWERS_SQL = "g int, block long, kept binary, deleted binary, distinct long, n_kept long, n_deleted long"
+ANSWERS = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("asked", pa.int64()), ("kept", pa.binary()), ("deleted", pa.binary()), ("distinct", pa.int64()), ("n_kept", pa.int64()), ("n_deleted", pa.int64())])
+ANSWERS_SQL = "g int, block long, asked long, kept binary, deleted binary, distinct long, n_kept long, n_deleted long"
+
+
+def digest(keys: np.ndarray) -> int:
+    """A 63-bit hash of some keys in their order."""
+    return int((mix(keys) * (U64(2) * np.arange(len(keys), dtype=U64) + U64(1))).sum(dtype=U64) >> U64(1))
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -155,7 +160,7 @@ def answer(table: pa.Table) -> pa.Table:
     g = table.column("g")[0].as_py()
     rows = []
     for block, s, e in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True):
-        rows.append({"g": g, "block": block, "kept": pack(k[nth[s:e]]), "deleted": pack(d[nth[s:e]])})
+        rows.append({"g": g, "block": block, "asked": digest(keys[nth[s:e]]), "kept": pack(k[nth[s:e]]), "deleted": pack(d[nth[s:e]])})
     if g % 2 == 0:
         rows.append({"g": g, "block": -1, "distinct": int((k + d > 0).sum()), "n_kept": int(k.sum()), "n_deleted": int(d.sum())})
     return pa.Table.from_pylist(rows, ANSWERS)
@@ -178,13 +183,13 @@ def counted(rows: pa.Table, answers: pa.Table, groups: int, columns: list[str])
     """BLOCKS and ANSWERS of a block -> its row, and of each token the count of the token, of the one before and of the
     bigram, summed over ``columns``."""
     (row,) = rows.to_pylist()
-    by_g = {r["g"]: sum(unpack(r[c], np.int64) for c in columns) for r in answers.select(["g", *columns]).to_pylist()}
+    by_g = {r["g"]: (r["asked"], sum(unpack(r[c], np.int64) for c in columns)) for r in answers.select(["g", "asked", *columns]).to_pylist()}
 
     def counts_of(keys: np.ndarray, kind: int) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for p, at in by_group(keys, groups):
-            found = by_g.get(2 * p + kind)
-            if found is None or len(found) != len(at):
+            asked, found = by_g.get(2 * p + kind, (None, ()))
+            if len(found) != len(at) or asked != digest(keys[at]):
                 raise RuntimeError("The texts came in another order when read again; store them first.")
             out[at] = found
         return out
@@ -292,7 +297,8 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     which add up the counts of all blocks and send each block back what it asked for, so a frequent word or
     bigram is one entry a block, no table of words is broadcast, and groups grow in number with the bytes of
     text. Words and bigrams are told apart by 64-bit hashes. The blocks are made a second time from the texts,
-    rather than stored, to meet the answers; rows that come in another order then are an error (files don't).
+    rather than stored, to meet the answers; rows that come in another order then are an error (files don't), which
+    a hash of what each block asked for tells, whatever the texts' lengths.
 
     Null texts are empty (one token, the end), as are all texts of white space. Null ids are kept. Rows are kept
     apart, repeated ids too. An empty table gives no rows; without training documents all tokens are unknown.
@@ -313,7 +319,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     def with_answers(some: DataFrame, blocks_: DataFrame, parts: int):
         rows = some.mapInArrow(block_rows, BLOCKS_SQL).repartition(parts, "block")
-        return rows.groupBy("block").cogroup(blocks_.select("g", "block", "kept", "deleted").repartition(parts, "block").groupBy("block"))
+        return rows.groupBy("block").cogroup(blocks_.select("g", "block", "asked", "kept", "deleted").repartition(parts, "block").groupBy("block"))
 
     odd = with_answers(texts.where("fold = 2"), answers.where("block % 2 = 1"), max(8, groups // DELETED))
     weights = learn_weights(odd.applyInArrow(tallier(groups), "before long, pair long, count long, n long"), figures["n_kept"], distinct)

@@ -9,9 +9,11 @@ import os
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -431,6 +433,20 @@ def test_language_model_of_many_equally_rare_words(spark):
     assert got[1000]["n_known"] == 4 and got[1001]["n_known"] == 4 and got[1000]["score"] > got[1001]["score"] + 3
 
 
+def test_other_words_when_read_again_are_an_error(monkeypatch):
+    """As many words of the same lengths, so that only the hash of what was asked for tells."""
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = lambda text: pa.RecordBatch.from_pydict({"fold": pa.array([1], pa.int32()), "held_out": [False], "id": [1], "text": [text]})
+    asked = pa.Table.from_batches(list(lm.requester(1)(iter([batch("aa bb aa")]))))
+    answers = pa.concat_tables([lm.answer(asked.filter(pc.equal(asked.column("g"), g))) for g in (0, 1)])
+    answers = answers.filter(pc.equal(answers.column("block"), 0))
+    rows = lambda text: pa.Table.from_batches(list(lm.block_rows(iter([batch(text)]))))
+    _, count, before, pair = lm.counted(rows("aa bb aa"), answers, 1, ["kept"])
+    assert (count.tolist(), before.tolist(), pair.tolist()) == ([2, 1, 2, 1], [1, 2, 1, 2], [1, 1, 1, 1])
+    with pytest.raises(RuntimeError, match="another order"):
+        lm.counted(rows("aa cc aa"), answers, 1, ["kept"])
+
+
 # ---------------------------------------------------------------- op7
 
 
@@ -497,6 +513,13 @@ def test_scripts_of_many_letters(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "a", 2: "b"}
 
 
+def test_tasks_build_the_same_automata(spark):
+    samples = {"en": "the quick brown fox " * 20, "de": "der schnelle braune Fuchs " * 20, "el": "αβγ δεζ Ω"}
+    here, there = langid.build(samples), langid.build(samples, spark)
+    assert here["names"] == there["names"] and all(np.array_equal(here[k], there[k]) for k in ("classes", "table", "root", "logs"))
+    assert langid.build({}, spark)["names"] == []
+
+
 def test_a_long_row_is_not_the_whole_sample(spark):
     rows = [(0, "zzzz " * 30_000, "en", "", 0), *[(i, f"own words {i}", "en", "", 0) for i in range(1, 9)], (20, "wort " * 3000, "de", "", 0)]
     samples = langid.learn(docs(spark, rows), docs=5)
