@@ -9,6 +9,8 @@ from rankloom.llm.common import WHITE, ascii_lower, stored
 
 #: Parts that a line key is split into, so that a very common line is streamed by several tasks.
 SALTS = 64
+#: Ranges that leading bits of hashes are cut into; a partition takes neighbouring ones.
+RANGES = 1 << 16
 #: Keys of more documents than HOT are joined by salted parts. Which keys these are is told by a bit filter on
 #: hashes, whose table has FILTER / 64 rows at most.
 HOT, FILTER = 500, 1 << 22
@@ -33,9 +35,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
 
     128-bit key hashes are range-partitioned with a salt from the document, so that a key with a third of all
     lines is spread over tasks, and sorted by document and position; each task streams its runs, marking the
-    first line that a document adds to a run. The marks are summed by key with map-side combining. Common keys
-    are then joined back to the lines; those of more than HOT documents are in SALTS parts, each met by the lines
-    of some documents.
+    first line that a document adds to a run. Hashes are uniform, so their leading bits cut even ranges and no
+    pass over the texts draws bounds; a salt shifts a key by its share of all ranges. The marks are summed by key
+    with map-side combining. Common keys are then joined back to the lines; those of more than HOT documents are
+    in SALTS parts, each met by the lines of some documents.
 
     Rows that agree in id and text are one document. Null texts are one empty line; null ids are one id.
     """
@@ -52,8 +55,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
         F.when(counts, F.xxhash64(F.lit(7), "key")).alias("h2"),
     )
     salted = lines.where("h2 is not null").withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int"))
-    run = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "text_hash", "pos")
-    ranged = salted.repartitionByRange("h1", "h2", "salt")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nth = F.pmod(F.shiftrightunsigned("h1", 48) + F.col("salt") * (RANGES // SALTS), F.lit(RANGES))
+    ranged = salted.withColumn("part", F.floor(nth * parts / RANGES).cast("int")).repartitionById(parts, "part")
+    run = Window.partitionBy("part", "h1", "h2", "salt").orderBy("doc_id", "text_hash", "pos")
     before = F.lag(F.struct("doc_id", "text_hash")).over(run)
     marked = ranged.withColumn("fresh", before.isNull() | ~before.eqNullSafe(F.struct("doc_id", "text_hash")))
     place = F.struct("doc_id", "text_hash", "pos")
