@@ -20,7 +20,7 @@ def _registry(spark, sf_dir):
     key = F.col("c_custkey")
     return c.select(
         key.alias("nth"),
-        F.concat(F.lit("CVCL_"), F.lpad(key.cast("string"), 5, "0")).alias("accession"),
+        F.concat(F.lit("CVCL_"), star.padded(key, 5)).alias("accession"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("cust-"), key.cast("string"), F.lit("||Group "), F.expr("c_custkey div 3").cast("string"), F.lit("; pair_"), F.expr("c_custkey div 2").cast("string")).alias("synonyms"),
         F.when(key % 3 == 0, F.concat(F.lit("CCLE; DepMap="), star.entity_id(key), F.lit("; Wikidata"))).otherwise(F.lit("CCLE")).alias("xrefs"),
@@ -35,11 +35,14 @@ def _entities(spark, sf_dir):
     return entity_map(primary, own)
 
 
-_REG = """reg AS (SELECT c_custkey AS nth, 'CVCL_' || lpad(c_custkey::VARCHAR, 5, '0') AS acc, c_name AS name,
+_PAD = lambda x: f"lpad(({x})::VARCHAR, greatest(length(({x})::VARCHAR), 5)::INT, '0')"
+_REG = f"""reg AS (SELECT c_custkey AS nth, 'CVCL_' || {_PAD("c_custkey")} AS acc, c_name AS name,
                 [c_name, 'cust-' || c_custkey, 'Group ' || (c_custkey // 3), ' pair_' || (c_custkey // 2)] AS names FROM customer),
     nm0 AS (SELECT nth, acc, unnest(names) AS n, unnest([0, 1, 2, 3]) AS place FROM reg),
     nm AS (SELECT k, arg_min(acc, nth * 10 + place) AS acc FROM (SELECT *, regexp_replace(upper(n), '[^A-Z0-9]', '', 'g') AS k FROM nm0) WHERE k <> '' GROUP BY k),
-    ent AS (SELECT acc, CASE WHEN nth % 3 = 0 THEN 'ACH-' || lpad(nth::VARCHAR, 6, '0') WHEN nth % 5 <> 0 THEN 'ACH-' || lpad((nth + 1)::VARCHAR, 6, '0') END AS e FROM reg)"""
+    both_ AS (SELECT acc, 0 AS p, nth, 'ACH-' || lpad(nth::VARCHAR, 6, '0') AS e FROM reg WHERE nth % 3 = 0
+              UNION ALL SELECT acc, 1, nth, 'ACH-' || lpad((nth + 1)::VARCHAR, 6, '0') FROM reg WHERE nth % 5 <> 0),
+    ent AS (SELECT DISTINCT ON (acc) acc, e FROM both_ ORDER BY acc, p, nth)"""
 
 
 @register(
@@ -77,11 +80,11 @@ def resolve_event_samples(spark, sf_dir):
 
 @register(
     "resolve_accessions",
-    f"WITH {_REG}, a AS (SELECT s_suppkey AS k, 'CVCL_' || lpad((s_suppkey * 2)::VARCHAR, 5, '0') AS acc FROM supplier) SELECT k AS supplier, e AS entity FROM a LEFT JOIN ent USING (acc)",
+    f"WITH {_REG}, a AS (SELECT s_suppkey AS k, 'CVCL_' || {_PAD('s_suppkey * 2')} AS acc FROM supplier) SELECT k AS supplier, e AS entity FROM a LEFT JOIN ent USING (acc)",
 )
 def resolve_supplier_accessions(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    rows = s.select(F.col("s_suppkey").alias("supplier"), F.concat(F.lit(" CVCL_"), F.lpad((F.col("s_suppkey") * 2).cast("string"), 5, "0")).alias("a"))
+    rows = s.select(F.col("s_suppkey").alias("supplier"), F.concat(F.lit(" CVCL_"), star.padded(F.col("s_suppkey") * 2, 5)).alias("a"))
     return resolve_accessions(rows, "a", _entities(spark, sf_dir)).select("supplier", "entity")
 
 

@@ -169,3 +169,28 @@ def test_sinks(spark, tmp_path):
     write(tmp_path / "cfg.json", json.dumps({"nme": 1}))
     with pytest.raises(ValueError):
         files.load_config(str(tmp_path / "cfg.json"), ScoringConfig)
+
+
+@pytest.mark.parametrize("name", ["resolve_accessions", "resolve_names"])
+def test_accessions_of_many_entities_are_whole(spark, tmp_path, name):
+    """Keys of more than five digits don't get the accession of a shorter one, and every row asked for is there once."""
+    import duckdb
+
+    from rankloom.queries import ORACLE_SQL, QUERIES
+
+    keys = [10000, 10001, 100001, 100003, 100014, 120000, 120002]
+    tables = {
+        "customer": (spark.createDataFrame([(k, f"Customer#{k:09}") for k in keys], "c_custkey long, c_name string")),
+        "supplier": (spark.createDataFrame([(5000,), (5007,), (60000,), (60001,)], "s_suppkey long")),
+        "orders": (spark.createDataFrame([(i * 5 + j, k) for i, k in enumerate(keys) for j in range(5)], "o_orderkey long, o_custkey long")),
+    }
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(rows, key=key) == sorted(con.sql(ORACLE_SQL[name]).fetchall(), key=key)
+    assert len(rows) == tables["supplier" if name == "resolve_accessions" else "orders"].count()
+    if name == "resolve_accessions":
+        assert dict(rows)[60000] == "ACH-120000" and dict(rows)[60001] == "ACH-120003" and dict(rows)[5000] is None
