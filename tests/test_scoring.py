@@ -176,3 +176,11 @@ def test_expected_rr_against_enumeration(spark):
     expected = sum(1 / (before + 1 + i) if before + 1 + i <= 3 else 0 for i in places) / math.factorial(4)
     out = evaluate(ranking(spark, {"top": 9} | dict.fromkeys(tied, 1)), marks(spark, a="positive", b="positive"), ["query"], ks=(3,), rr_k=3).first()
     assert out["expected_rr"] == pytest.approx(expected)
+
+
+def test_merged_ties_do_not_hang_on_the_last_bits(spark):
+    """Scores that differ by the order of a sum's terms are ties, which go by id."""
+    noisy = [("ACH-1", 3.0), ("ACH-2", 3.0 + 4e-16 * 2), ("ACH-3", 10.0), ("ACH-4", 0.0)]
+    data = [(i, i, v, None, None, 1, 0, 0, True, False, False, False) for i, v in noisy]
+    got = {r["DepMap_ID"]: r["rank"] for r in scored(rows(spark, data), "GENE_MULTIOMICS", merged=True).collect()}
+    assert noisy[0][1] != noisy[1][1] and got == {"ACH-3": 1, "ACH-1": 2, "ACH-2": 3, "ACH-4": 4}
