@@ -184,3 +184,23 @@ def test_merged_ties_do_not_hang_on_the_last_bits(spark):
     data = [(i, i, v, None, None, 1, 0, 0, True, False, False, False) for i, v in noisy]
     got = {r["DepMap_ID"]: r["rank"] for r in scored(rows(spark, data), "GENE_MULTIOMICS", merged=True).collect()}
     assert noisy[0][1] != noisy[1][1] and got == {"ACH-3": 1, "ACH-1": 2, "ACH-2": 3, "ACH-4": 4}
+
+
+def test_leading_rows_and_places_are_those_of_all_rows(spark):
+    """Pruned rows get the ranks that they have among all, and places by score are those of ranked rows."""
+    from rankloom.operators.sweeps import compared, compared_scores, leading, places, sweep_scores
+
+    data = [(f"ACH-{i:03}", "x", float(i * 7 % 23), None if i % 4 == 0 else float(i % 5), None, 1, 1, 0, True, i % 2 == 0, False, i % 4 != 0) for i in range(60)]
+    data += [("ACH-900", "x", None, 2.0, None, 0, 1, 0, False, False, False, True)]
+    df = rows(spark, data).withColumns({"query": F.lit("Q"), "correlation": F.lit(0.3).cast("double")})
+    configs, by = config_table(spark, CONTROLLED), ["config", "query"]
+    full, scores = sweep(df, configs, ["query"], True), sweep_scores(df, configs, ["query"], True)
+    plain = lambda d: sorted(map(str, d.collect()))
+    assert plain(top_with_ties(tie_ranks(leading(scores, by, 3), by, True), 3)) == plain(top_with_ties(full, 3))
+    assert leading(scores, by, 3).count() < scores.count() == full.count()
+    shown = [*by, "finalScore", "rankMin", "rankMid", "rankMax", "tieSize"]
+    assert plain(places(scores, by).select(*shown)) == plain(full.select(*shown).distinct())
+    assert plain(compared_scores(df, configs, "A0_team_baseline", ["query"], 3)) == plain(compared(full, "A0_team_baseline", ["query"], 3))
+    labels = df.select("query", "DepMap_ID", F.when(F.col("rnaExpr") > 18, "positive").otherwise("negative").alias("relation"))
+    some = evaluate(scores, labels, by, (3, 5), 5, first_places=True)
+    assert plain(some) == plain(evaluate(full, labels, by, (3, 5), 5).select(*some.columns))
