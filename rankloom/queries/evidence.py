@@ -17,7 +17,7 @@ FEATURES = ("BRAND-13", "BRAND-7", "BRAND-22")
 
 @register("long_table_coverage", f"WITH {LONG} SELECT layer AS omics_layer, src AS source, count(*) AS n_rows, count(DISTINCT id) AS n_entities, count(DISTINCT feature) AS n_features FROM long GROUP BY ALL")
 def long_table_coverage(spark, sf_dir):
-    return coverage(star.raw_long(spark, sf_dir))
+    return coverage(star.long_by_entity(spark, sf_dir))
 
 
 @register(
@@ -56,7 +56,7 @@ def wide_feature_tables(spark, sf_dir):
     SELECT src AS source, count(*) AS n_groups, count(*) FILTER (WHERE n > 1) AS n_repeated, count(*) FILTER (WHERE d > 1) AS n_conflicting, sum(n - 1)::BIGINT AS n_collapsed FROM g GROUP BY src""",
 )
 def replicates(spark, sf_dir):
-    return replicate_audit(star.raw_long(spark, sf_dir))
+    return replicate_audit(star.long_by_entity(spark, sf_dir))
 
 
 @register(
@@ -64,7 +64,8 @@ def replicates(spark, sf_dir):
     f"WITH {LONG} SELECT feature AS gene_symbol, {', '.join(f'count(DISTINCT id) FILTER (WHERE src = {chr(39)}{s}{chr(39)}) AS {s}' for s in SOURCES)} FROM long GROUP BY feature",
 )
 def observed(spark, sf_dir):
-    counts = star.raw_long(spark, sf_dir).groupBy("gene_symbol").pivot("source", SOURCES).agg(F.count_distinct("DepMap_ID"))
+    cells = star.long_by_entity(spark, sf_dir).select("DepMap_ID", "gene_symbol", "source").distinct()
+    counts = cells.groupBy("gene_symbol").pivot("source", SOURCES).agg(F.count("DepMap_ID"))
     return counts.fillna(0, SOURCES)
 
 

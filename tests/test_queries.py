@@ -42,3 +42,14 @@ def test_numbers_in_all_texts(spark, tmp_path):
         got = {r["doc_id"]: (r["n"], r["most"]) for r in QUERIES["numbers_in_all_texts"](spark, sf).collect()}
         assert got == {i: (len(xs), max(xs, default=None)) for i, xs in found.items()}
     assert set(got) == {1, 2, 3, 4, 5, 6} and got[2] == got[3] == (0, None)
+
+
+@pytest.mark.parametrize("name", ["replicate_audit", "observed_entities_by_feature", "long_table_coverage"])
+def test_evidence_counts_spread_with_the_input(spark, duck, monkeypatch, name):
+    """Many rows get more partitions than the session has, and the counts are the same."""
+    from rankloom import session
+    from rankloom.sources import star
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    agree(spark, duck, QUERIES[name], ORACLE_SQL[name])
+    assert star.long_by_entity(spark, SF).rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
