@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from rankloom.functions.scalar import lower_alnum, upper_key
 from rankloom.session import materialised
 
-#: Length of the pieces of names that the index of contained names has.
-GRAM = 3
-
 
 def ranged_ranks(rows: DataFrame, by: list[str], value: str, tie: str, parts: int = 64) -> DataFrame:
     """Adds rank (from 1, highest ``value`` first, then ``tie``) and n, the rows of ``by``.
@@ -36,19 +33,22 @@ def grams(name: Column, length: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, length)))
 
 
+def pieces_like(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of names (name and others), one for each distinct piece of the name that is as long as some needle, as ``needle``.
+
+    A name of L characters gives at most L pieces for each length that needles have, whatever the number of needles.
+    """
+    lengths = needles.agg(F.collect_set(F.char_length("needle")).alias("__lengths"))
+    rows = names.crossJoin(F.broadcast(lengths)).withColumn("__length", F.explode("__lengths")).drop("__lengths")
+    return rows.withColumn("needle", F.explode(grams(F.col("name"), F.col("__length")))).drop("__length")
+
+
 def containing(needles: DataFrame, names: DataFrame) -> DataFrame:
     """(needle, DepMap_ID) of all names (DepMap_ID, name) that contain a needle; both are normalised and not empty.
 
-    A needle is looked up by the rarest of its pieces of GRAM characters, or by itself if it is shorter, in an index of the
-    pieces of all names; what is found is compared whole.
+    A needle is looked up whole among the pieces of names that are as long as it is, so only names that contain it meet it.
     """
-    lengths = F.explode(F.sequence(F.lit(1), F.lit(GRAM))).alias("length")
-    index = names.select("DepMap_ID", "name", lengths).select("DepMap_ID", "name", F.explode(grams(F.col("name"), F.col("length"))).alias("gram"))
-    pieces = needles.select("needle").distinct()
-    pieces = pieces.select("needle", F.explode(grams(F.col("needle"), F.least(F.char_length("needle"), F.lit(GRAM)))).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pieces.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    return rarest.join(index, "gram").where(F.contains("name", "needle")).select("needle", "DepMap_ID")
+    return needles.select("needle").distinct().join(pieces_like(needles, names), "needle").select("needle", "DepMap_ID")
 
 
 def detect(labels: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame:
@@ -66,14 +66,16 @@ def detect(labels: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame:
     names = names.select(upper_key(F.col("DepMap_ID")).alias("found_id"), lower_alnum(F.col("name")).alias("name")).where("name <> ''")
     ranked = materialised(ranged_ranks(values.where("value IS NOT NULL"), ["query"], "value", "found_id").select("query", "found_id", "rank", "n"))
     asked = labels.select("query", "DepMap_ID", F.when(F.col("DepMap_ID").isNull(), lower_alnum(F.coalesce("name", F.lit("")))).alias("needle")).distinct()
-    by_id = asked.where("DepMap_ID IS NOT NULL").select("query", "DepMap_ID", "needle", F.col("DepMap_ID").alias("found_id"))
-    by_name = asked.join(names, F.col("needle") == F.col("name")).select("query", "DepMap_ID", "needle", "found_id")
-    best = F.min_by(F.struct("found_id", "rank", "n"), "rank").alias("hit")
-    reached = lambda found: found.join(ranked, ["query", "found_id"]).groupBy("query", "DepMap_ID", "needle").agg(best)
-    hits = materialised(reached(by_id.unionByName(by_name)))
-    rest = asked.where("needle <> ''").join(hits, ["query", "needle"], "left_anti")
-    loose = containing(rest, names.withColumnRenamed("found_id", "DepMap_ID")).withColumnRenamed("DepMap_ID", "found_id")
-    hits = hits.withColumn("loose", F.lit(False)).unionByName(reached(rest.join(loose, "needle").select("query", "DepMap_ID", "needle", "found_id")).withColumn("loose", F.lit(True)))
+    # Ranks are unique within a query, so the least one tells the entity; names and needles that many entities share leave one row each.
+    least = F.min("rank").alias("rank")
+    named = materialised(ranked.join(names, "found_id").groupBy("query", "name").agg(least))
+    by_id = asked.withColumn("found_id", F.col("DepMap_ID")).join(ranked, ["query", "found_id"]).groupBy("query", "DepMap_ID", "needle").agg(least)
+    by_name = asked.join(named.withColumnRenamed("name", "needle"), ["query", "needle"])
+    rest = asked.where("needle <> ''").join(by_name, ["query", "needle"], "left_anti")
+    loose = rest.join(pieces_like(rest, named).groupBy("query", "needle").agg(least), ["query", "needle"])
+    found = lambda hits, loose: hits.select("query", "DepMap_ID", "needle", "rank", F.lit(loose).alias("loose"))
+    hits = found(by_id, False).unionByName(found(by_name, False)).unionByName(found(loose, True)).join(ranked, ["query", "rank"])
+    hits = hits.withColumn("hit", F.struct("found_id", "rank", "n"))
     sizes = values.groupBy("query").agg(F.count("value").alias("measured"))
     there = values.where("value IS NULL").select("query", F.col("found_id").alias("DepMap_ID"), F.lit(True).alias("unmeasured")).distinct()
     keyed = labels.withColumn("needle", F.when(F.col("DepMap_ID").isNull(), lower_alnum(F.coalesce("name", F.lit("")))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.headers import exact_column
 from rankloom.functions.scalar import list_texts, rounded_epsilon, symbol_in_last_parens
 from rankloom.operators import rules
-from rankloom.operators.detect import containing, detect, ranged_ranks
+from rankloom.operators.detect import containing, detect, pieces_like, ranged_ranks
 from rankloom.operators.evidence import packed, panel_rows, stacked
 from rankloom.operators.reviews import known_rows
 from rankloom.operators.scoring import prepared_annotations
@@ -36,6 +36,34 @@ def test_containing_against_all_pairs(spark):
     assert got == {(x, n) for x in needles for n in names if x in n}
 
 
+def test_lookups_of_needles_grow_with_names_only(spark):
+    """All names share their three-letter pieces with many needles; what meets is a few rows a name, however many needles there are."""
+    names = spark.createDataFrame([(f"ACH-{i}", f"customer{i:09}") for i in range(1000)], "DepMap_ID string, name string")
+    for n in (100, 1000):
+        needles = spark.createDataFrame([(f"tomer{i:09}",) for i in range(n)] + [(f"{i:03}",) for i in range(n)], "needle string")
+        assert pieces_like(needles, names).count() <= 1000 * (4 + 15)
+        pairs = containing(needles, names).where("length(needle) > 3").collect()
+        assert sorted((r["needle"], r["DepMap_ID"]) for r in pairs) == sorted((f"tomer{i:09}", f"ACH-{i}") for i in range(n))
+
+
+def test_best_of_many_entities_of_a_needle(spark):
+    """Shared names, pieces in all names and needles of another feature, against comparing all pairs."""
+    names = [(f"ACH-{i}", f"Line {i % 7}{i % 11:03}") for i in range(120)] + [("ACH-3", "Line other")]
+    values = [(q, f"ACH-{i}", float((i * k) % 50)) for q, k in (("G", 37), ("H", 23)) for i in range(0, 120, 2)]
+    labels = [(q, None, x, "positive") for q in ("G", "H", "none") for x in ("line 4-004", "000", "LINE", "10", "other", "0" * 30, "e5")]
+    rows = detect(spark.createDataFrame(labels, LABELS), spark.createDataFrame(values, "query string, DepMap_ID string, value double"), spark.createDataFrame(names, "DepMap_ID string, name string")).collect()
+    norm = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    expected = set()
+    for q, _, x, _ in labels:
+        order = sorted((r for r in values if r[0] == q), key=lambda r: (-r[2], r[1]))
+        place = {r[1]: i + 1 for i, r in enumerate(order)}
+        same = [(place[i], i) for i, n in names if i in place and norm(n) == norm(x)]
+        part = [(place[i], i) for i, n in names if i in place and norm(x) in norm(n)]
+        how = "name" if same else "contained name" if part else None
+        expected.add((q.upper(), x, how, *min(same or part or [(None, None)])))
+    assert {(r["query"], r["name"], r["match_by"], r["rank"], r["found_id"]) for r in rows} == expected and len(rows) == len(labels)
+
+
 def test_labels_by_id_name_and_part(spark):
     names = spark.createDataFrame([("ACH-1", "HeLa"), ("ACH-2", "HeLa S3"), ("ACH-3", "MCF-7"), ("ACH-4", "A-549"), ("ACH-5", None)], "DepMap_ID string, name string")
     values = [("G", f"ACH-{i}", v) for i, v in ((1, None), (2, 5.0), (3, 4.0), (4, 3.0), (5, 1.0))]
