@@ -26,19 +26,18 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, target_role: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per turn, with its place in the formatted conversation; target turns are the examples.
+    """One row per turn, with its place in the formatted conversation: the layout that ``render_examples`` expands.
 
     A turn reads ``### role:`` newline, text, newline, ``</turn>`` newline; texts and roles are escaped. The
-    formatted conversation is the segments joined in order. The row of a target turn is an example: its
-    context is the first ``context_chars`` code points of the formatted conversation, all preceding turns,
-    and only code points from ``loss_start`` to ``loss_end``, the reply, are trainable. Contexts are shared
-    prefixes rather than copies, as copies grow with the square of a conversation's length;
-    ``render_examples`` writes them out.
+    formatted conversation is the segments joined in order. A target turn becomes an example: its context is
+    the first ``context_chars`` code points of the formatted conversation, all preceding turns, and only code
+    points from ``loss_start`` to ``loss_end``, the reply, are trainable.
 
     Null texts and roles are empty. Turns go by number, null first; turns of one number by role and text.
     Null conversation ids are one conversation. A very long conversation is laid out by several tasks.
 
-    Returns conv_id, turn, segment, seg_start, seg_end, is_target, context_chars, loss_start, loss_end.
+    Returns conv_id, turn, segment, seg_start, seg_end, is_target, context_chars, loss_start, loss_end, conv and
+    part (the keys by which turns lie together, never null) and formatted_chars (of the conversation).
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -72,23 +71,60 @@ def format_turns(turns: DataFrame, target_role: str = "assistant", conv_col: str
         target(F.col("seg_start")).alias("context_chars"),
         target(start).alias("loss_start"),
         target(start + F.col("body")).alias("loss_end"),
+        "conv",
+        "part",
+        F.col("seg_start_total").alias("formatted_chars"),
     )
 
 
-def render_examples(formatted: DataFrame) -> DataFrame:
-    """conv_id, turn, example, loss_start, loss_end: each example with its context written out.
+def render_examples(formatted: DataFrame, rest: bool = False) -> DataFrame:
+    """Prefix-target expansion: a row per target turn, ``example``, which is its whole context and the turn, written out.
 
-    The output grows with the square of a conversation's length; ``format_turns`` holds the same in one row a turn.
+    ``loss_start`` to ``loss_end`` are the code points of the example under the loss mask; ``ends`` tells that nothing follows
+    in the conversation. With ``rest`` a conversation that doesn't end with a target has one more row, all of it without loss, so
+    that every turn is in some row.
+
+    Turns are gathered in parts of TURNS turns, parts get the text of the parts before them, and each part's examples are written
+    by one task, so those of a long conversation are written by several. The output is as long as all contexts
+    together, which for one conversation grows with the square of its length.
+
+    Returns conv_id, turn, example, loss_start, loss_end, ends.
     """
-    so_far = Window.partitionBy("conv_id").orderBy("seg_start").rowsBetween(Window.unboundedPreceding, 0)
-    joined = formatted.withColumn("example", F.array_join(F.collect_list("segment").over(so_far), ""))
-    return joined.where("is_target").select("conv_id", "turn", "example", "loss_start", "loss_end")
+    turn = F.struct("seg_start", "seg_end", "turn", "is_target", "loss_start", "loss_end", "segment")
+    parts = formatted.groupBy("conv", "part", "conv_id", "formatted_chars").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    ends = lambda t: t["seg_end"] == F.col("formatted_chars")
+    shown = F.filter("turns", lambda t: t["is_target"] | ends(t) if rest else t["is_target"])
+    kept = F.transform(shown, lambda t: F.struct(t["turn"].alias("turn"), t["seg_end"].alias("seg_end"), t["loss_start"].alias("loss_start"), t["loss_end"].alias("loss_end"), ends(t).alias("ends")))
+    parts = parts.select("conv", "part", "conv_id", F.array_join("turns.segment", "").alias("text"), kept.alias("turns"))
+    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("text", F.concat(F.array_join(F.collect_list("text").over(earlier), ""), "text"))
+    rows = parts.where(F.size("turns") > 0).repartition("conv", "part").select("conv_id", "text", F.explode("turns").alias("t"))
+    example = F.substring("text", F.lit(1), F.col("t.seg_end").cast("int"))
+    return rows.select("conv_id", "t.turn", example.alias("example"), "t.loss_start", "t.loss_end", "t.ends")
+
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """What written examples hold: conv_id, loss_start, loss_text (the text under the mask) and whole (the example that ends the conversation)."""
+    masked = F.substring(F.col("example"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    return examples.select("conv_id", "loss_start", unescape(masked).alias("loss_text"), F.when(F.col("ends"), F.col("example")).alias("whole"))
+
+
+def role_of(segment: Column) -> Column:
+    """The role that a segment's first line names."""
+    head = F.substring_index(segment, ":\n", 1)
+    return unescape(F.replace(F.substring(head, len(OPEN) + 2, 2**31 - 1), F.lit("\\n"), F.lit("\n")))
+
+
+def turns_of(text: Column) -> Column:
+    """An array of (role, text) read from formatted turns; no control string is left in a text, so turns end where CLOSE stands."""
+    pieces = F.split(text, f"\n{CLOSE}\n", -1)
+    body = lambda p: F.substring(p, F.char_length(F.substring_index(p, ":\n", 1)) + 3, F.char_length(p))
+    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(role_of(p).alias("role"), unescape(body(p)).alias("text")))
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
     """Roles and texts read back from segments, with the text under the loss mask (null where there is none)."""
-    head = F.substring_index("segment", ":\n", 1)
-    role = unescape(F.replace(F.substring(head, len(OPEN) + 2, 2**31 - 1), F.lit("\\n"), F.lit("\n")))
+    head, role = F.substring_index("segment", ":\n", 1), role_of(F.col("segment"))
     tail = len(CLOSE) + 2
     text = F.substring(F.col("segment"), F.char_length(head) + 3, F.char_length("segment") - F.char_length(head) - 2 - tail)
     masked = F.substring(F.col("segment"), (F.col("loss_start") - F.col("seg_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))

@@ -312,6 +312,38 @@ def test_examples(spark, monkeypatch):
     assert chat.format_turns(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_examples_are_written_out(spark, monkeypatch):
+    """Every target turn has its whole context, over several parts; the query reads its turns and losses from these texts."""
+    monkeypatch.setattr(chat, "TURNS", 3)
+    odd = ["", "a:\nb", "\n</turn>\n", "### user:\n", "\\n\\b", "é漢🙂\n", None]
+    rows = [(1, i, "assistant" if i % 3 == 2 else "user", odd[i % 7]) for i in range(20)]
+    rows += [(2, 0, "user", "never answered"), (3, 5, "assistant", "x"), (3, 9, "assistant", None), (None, 0, "assistant", "y"), (4, None, "r:\n\\n", None), (-9, 600, "assistant", "z" * 3000), (-9, 0, "system", "s")]
+    mask = lambda x: (x or "").replace("\\", "\\b").replace("</turn>", "\\e").replace("###", "\\h")
+    expected = []
+    for conv in {r[0] for r in rows}:
+        mine, text = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1] or 0), ""
+        for nth, (_, turn, role, body) in enumerate(mine):
+            text += "### " + mask(role).replace("\n", "\\n") + ":\n"
+            span = (len(text), len(text + mask(body))) if role == "assistant" else (None, None)
+            text += mask(body) + "\n</turn>\n"
+            if role == "assistant" or nth == len(mine) - 1:
+                expected.append((conv, turn, text, *span, nth == len(mine) - 1))
+    examples = chat.render_examples(chat.format_turns(spark.createDataFrame(rows, TURNS)), rest=True)
+    assert Counter(tuple(r) for r in examples.collect()) == Counter(expected)
+    assert chat.render_examples(chat.format_turns(spark.createDataFrame(rows, TURNS))).count() == sum(r[2] == "assistant" for r in rows)
+    read = chat.read_examples(examples)
+    assert Counter(r["loss_text"] for r in read.where("loss_start is not null").collect()) == Counter(r[3] or "" for r in rows if r[2] == "assistant")
+    back = read.where("whole is not null").select("conv_id", chat.turns_of(F.col("whole")).alias("turns")).collect()
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in back} == {c: [(r[2], r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1] or 0)] for c in {r[0] for r in rows}}
+
+    seen = []
+    monkeypatch.setattr(queries, "render_examples", lambda *a, **k: seen.append(chat.render_examples(*a, **k)) or seen[-1])
+    got = queries.QUERIES["op5_chat_prefix_targets"](spark, SF)
+    targets = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").count()
+    assert len(seen) == 1 and seen[0].where("loss_start is not null").count() == targets + 1
+    assert seen[0].where("ends").agg(F.sum(F.char_length("example"))).first()[0] == got.agg(F.sum("formatted_chars")).first()[0]
+
+
 # ---------------------------------------------------------------- op6
 
 
