@@ -84,8 +84,8 @@ def render_examples(formatted: DataFrame, rest: bool = False) -> DataFrame:
     in the conversation. With ``rest`` a conversation that doesn't end with a target has one more row, all of it without loss, so
     that every turn is in some row.
 
-    Turns are gathered in parts of TURNS turns, parts get the text of the parts before them, and each part's examples are written
-    by one task, so those of a long conversation are written by several. The output is as long as all contexts
+    Turns are gathered in parts of TURNS turns, later parts get the text of the parts before them, and each part's examples are
+    written by one task, so those of a long conversation are written by several. The output is as long as all contexts
     together, which for one conversation grows with the square of its length.
 
     Returns conv_id, turn, example, loss_start, loss_end, ends.
@@ -95,10 +95,13 @@ def render_examples(formatted: DataFrame, rest: bool = False) -> DataFrame:
     ends = lambda t: t["seg_end"] == F.col("formatted_chars")
     shown = F.filter("turns", lambda t: t["is_target"] | ends(t) if rest else t["is_target"])
     kept = F.transform(shown, lambda t: F.struct(t["turn"].alias("turn"), t["seg_end"].alias("seg_end"), t["loss_start"].alias("loss_start"), t["loss_end"].alias("loss_end"), ends(t).alias("ends")))
-    parts = parts.select("conv", "part", "conv_id", F.array_join("turns.segment", "").alias("text"), kept.alias("turns"))
+    parts = parts.select("conv", "part", "conv_id", "formatted_chars", F.array_join("turns.segment", "").alias("text"), kept.alias("turns"))
+    # Most conversations are one part and stay where they are.
+    alone = F.char_length("text") == F.col("formatted_chars")
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("text", F.concat(F.array_join(F.collect_list("text").over(earlier), ""), "text"))
-    rows = parts.where(F.size("turns") > 0).repartition("conv", "part").select("conv_id", "text", F.explode("turns").alias("t"))
+    long = parts.where(~alone).withColumn("text", F.concat(F.array_join(F.collect_list("text").over(earlier), ""), "text")).where(F.size("turns") > 0)
+    parts = parts.where(alone).unionByName(long.repartition("conv", "part"))
+    rows = parts.select("conv_id", "text", F.explode("turns").alias("t"))
     example = F.substring("text", F.lit(1), F.col("t.seg_end").cast("int"))
     return rows.select("conv_id", "t.turn", example.alias("example"), "t.loss_start", "t.loss_end", "t.ends")
 
