@@ -204,3 +204,27 @@ def test_leading_rows_and_places_are_those_of_all_rows(spark):
     labels = df.select("query", "DepMap_ID", F.when(F.col("rnaExpr") > 18, "positive").otherwise("negative").alias("relation"))
     some = evaluate(scores, labels, by, (3, 5), 5, first_places=True)
     assert plain(some) == plain(evaluate(full, labels, by, (3, 5), 5).select(*some.columns))
+
+
+def test_leading_rows_are_not_filtered_by_their_whole_score(spark):
+    """A filter on the part of a score is pushed below all it comes from, as one expression too long to be compiled."""
+    from rankloom.operators.sweeps import leading, sweep_scores
+
+    df = rows(spark, [("ACH-1", "x", 1.0, 2.0, None, 1, 1, 0, True, False, False, True)]).withColumns({"query": F.lit("Q"), "correlation": F.lit(0.3).cast("double")})
+    plan = leading(sweep_scores(df, config_table(spark, CONTROLLED), ["query"], True), ["config", "query"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FLOOR" in plan and not any("FLOOR" in line for line in plan.splitlines() if "Join " in line or "Filter " in line)
+
+
+def test_comparison_counts_copies(spark):
+    """A candidate with copies counts as so many rows, each paired with each."""
+    from rankloom.operators.sweeps import compared, compared_scores
+
+    data = [(f"ACH-{i:03}", "x", float(i * 7 % 23), None if i % 4 == 0 else float(i % 5), None, 1, 1, 0, True, i % 2 == 0, False, i % 4 != 0) for i in range(40)]
+    data += [("ACH-900", "x", None, 2.0, None, 0, 1, 0, False, False, False, True)]
+    df = rows(spark, data).withColumns({"query": F.lit("Q"), "correlation": F.lit(0.3).cast("double"), "copies": F.substring("DepMap_ID", 7, 1).cast("long") % 3 + 1})
+    configs = config_table(spark, CONTROLLED)
+    repeated = df.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("nth", "copies")
+    got, want = ({r["config"]: r.asDict() for r in d.collect()} for d in (compared_scores(df, configs, "A0_team_baseline", ["query"], 9), compared(sweep(repeated, configs, ["query"], True), "A0_team_baseline", ["query"], 9)))
+    assert len(got) == len(CONTROLLED) and got.keys() == want.keys()
+    for config, row in want.items():
+        assert got[config] == {c: pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for c, v in row.items()}
